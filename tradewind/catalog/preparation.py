@@ -15,7 +15,7 @@ from tradewind.sources.adapters import VIEWS
 
 # Line items with gaps, outliers, a sparse column and repeated rows, derived per row.
 MEASURES = {
-    "k1": "l_orderkey", "k2": "l_partkey", "k3": "l_suppkey", "k4": "l_linenumber",
+    "k1": "l_orderkey", "k2": "l_partkey", "k3": "l_suppkey", "k4": "CAST(l_linenumber AS BIGINT)",
     "quantity": "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END",
     "price": "CASE WHEN l_partkey % 503 = 0 THEN l_extendedprice * 20 ELSE l_extendedprice END",
     "discount": "CASE WHEN l_linenumber = 5 AND l_returnflag = 'A' THEN NULL ELSE l_discount END",
@@ -116,7 +116,7 @@ def type_coercion(t):
     return C.coerce_types(t.events.selectExpr(*[f"{e.format(s='STRING')} AS {n}" for n, e in TYPED.items()]))
 
 
-@query("custom_validators", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(l_quantity, 5.0) AS l_quantity, least(l_discount, 0.05) AS l_discount FROM lineitem")
+@query("custom_validators", "SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, greatest(l_quantity, 5.0) AS l_quantity, least(l_discount, 0.05) AS l_discount FROM lineitem")
 def custom_validators(t):
     rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount")
     return C.apply_validators(rows, {
@@ -233,12 +233,12 @@ def series_anomalies(t):
     return C.series_anomalies(t.series_gaps, "price")
 
 
-@query("interpolate", """WITH p AS (SELECT *, row_number() OVER w - 1 AS at FROM series_gaps WINDOW w AS (PARTITION BY series_id ORDER BY ts, id)),
-    n AS (SELECT *, last_value(CASE WHEN price IS NOT NULL THEN at END IGNORE NULLS) OVER b AS pa, last_value(price IGNORE NULLS) OVER b AS pv,
-    first_value(CASE WHEN price IS NOT NULL THEN at END IGNORE NULLS) OVER f AS na, first_value(price IGNORE NULLS) OVER f AS nv FROM p
-    WINDOW b AS (PARTITION BY series_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-    f AS (PARTITION BY series_id ORDER BY at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT id, coalesce(price, CASE WHEN pa IS NOT NULL AND na IS NOT NULL THEN pv + (nv - pv) * (at - pa) / (na - pa) END, pv) AS filled FROM n""",
+@query("interpolate", """WITH p AS (SELECT *, row_number() OVER w - 1 AS pos FROM series_gaps WINDOW w AS (PARTITION BY series_id ORDER BY ts, id)),
+    n AS (SELECT *, last_value(CASE WHEN price IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS pa, last_value(price IGNORE NULLS) OVER b AS pv,
+    first_value(CASE WHEN price IS NOT NULL THEN pos END IGNORE NULLS) OVER f AS na, first_value(price IGNORE NULLS) OVER f AS nv FROM p
+    WINDOW b AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    f AS (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT id, coalesce(price, CASE WHEN pa IS NOT NULL AND na IS NOT NULL THEN pv + (nv - pv) * (pos - pa) / (na - pa) END, pv) AS filled FROM n""",
        uses="series_gaps", rnd="filled")
 def interpolate(t):
     return C.interpolate(t.series_gaps, "price", "filled").select("id", "filled")
@@ -289,7 +289,7 @@ for _method, _sql in {
     "minmax": "(l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ()) AS quantity",
     "robust": "(l_quantity - quantile_cont(l_quantity, 0.5) OVER ()) / (quantile_cont(l_quantity, 0.75) OVER () - quantile_cont(l_quantity, 0.25) OVER ()) AS quantity",
 }.items():
-    @query(f"scale_{_method}", f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {_sql}, CAST(0 AS DOUBLE) AS constant FROM lineitem", rnd="quantity constant")
+    @query(f"scale_{_method}", f"SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {_sql}, CAST(0 AS DOUBLE) AS constant FROM lineitem", rnd="quantity constant")
     def scaled(t, _method=_method):
         rows = t.lineitem.select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.lit(3.0).alias("constant"))
@@ -354,6 +354,7 @@ def mutual_information(t):
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+SQL_KEYS = "l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber"
 PAIR = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount")]
 
 
@@ -362,7 +363,7 @@ def _pair(a, b):
             f"{a} / nullif({a} + {b} + 1e-8, 0) AS {a}_share_{b}")
 
 
-@query("pair_interactions", f"SELECT {', '.join(KEYS)}, {', '.join(_pair(a, b) for a, b in PAIR)} FROM lineitem",
+@query("pair_interactions", f"SELECT {SQL_KEYS}, {', '.join(_pair(a, b) for a, b in PAIR)} FROM lineitem",
        rnd=" ".join(f"{a}_{o}_{b}" for a, b in PAIR for o in ("x", "minus", "share")) + " l_quantity_div_l_extendedprice l_quantity_div_l_discount", places=3)
 def pair_interactions(t):
     out = {}
@@ -374,7 +375,7 @@ def pair_interactions(t):
 AUTO = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax")]
 
 
-@query("auto_interactions", f"SELECT {', '.join(KEYS)}, {', '.join(f'{a} - {b} AS {a}_minus_{b}' for a, b in AUTO)} FROM lineitem",
+@query("auto_interactions", f"SELECT {SQL_KEYS}, {', '.join(f'{a} - {b} AS {a}_minus_{b}' for a, b in AUTO)} FROM lineitem",
        rnd=" ".join(f"{a}_minus_{b}" for a, b in AUTO), places=4)
 def auto_interactions(t):
     pairs = R.auto_pairs(NUM)
@@ -384,14 +385,14 @@ def auto_interactions(t):
 LEAD = list(combinations(NUM, 2))
 
 
-@query("leading_interactions", f"SELECT {', '.join(KEYS)}, " + ", ".join(
+@query("leading_interactions", f"SELECT {SQL_KEYS}, " + ", ".join(
     f"{a} * {b} AS {a}_x_{b}, coalesce({a} / nullif({b} + 1e-8, 0), 0) AS {a}_div_{b}" for a, b in LEAD) + " FROM lineitem",
     rnd=" ".join(f"{a}_{o}_{b}" for a, b in LEAD for o in ("x", "div")), places=2)
 def leading_interactions(t):
     return t.lineitem.select(*KEYS, *[c.alias(n) for n, c in R.leading_interactions(NUM).items()])
 
 
-@query("polynomial_features", f"SELECT {', '.join(KEYS)}, pow(l_quantity, 2) AS l_quantity_pow2, pow(l_extendedprice, 2) AS l_extendedprice_pow2, pow(l_discount, 2) AS l_discount_pow2 FROM lineitem",
+@query("polynomial_features", f"SELECT {SQL_KEYS}, pow(l_quantity, 2) AS l_quantity_pow2, pow(l_extendedprice, 2) AS l_extendedprice_pow2, pow(l_discount, 2) AS l_discount_pow2 FROM lineitem",
        rnd="l_quantity_pow2 l_extendedprice_pow2 l_discount_pow2", places=4)
 def polynomial_features(t):
     return t.lineitem.select(*KEYS, *[c.alias(n) for n, c in R.polynomials(NUM).items()])

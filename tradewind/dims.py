@@ -136,6 +136,13 @@ SUSTAINABILITY = {
 }
 
 
+# Limits of the strategy and defaults of a company record.
+LIMITS = {"gross": 1.0, "net": 0.3, "single": 0.05, "conviction": 0.6, "risk_budget": 0.15, "esg_floor": 30.0,
+          "sector": 0.3, "capital": 1_000_000.0}
+COMPANY_DEFAULTS = {"data_quality": 0.7, "liquidity_score": 0.8, "esg_score": 50.0, "beta": 1.0, "debt_to_equity": 0.5,
+                    "current_price": 100.0}
+
+
 def sector_row(code: str):
     return next(s for s in SECTORS if s[0] == code)
 

@@ -46,18 +46,22 @@ def apply_validators(df: DataFrame, validators: Mapping[str, Callable]) -> DataF
         if name not in df.columns:
             continue
         if getattr(validator, "on_pandas", False):
-            @F.pandas_udf(df.schema[name].dataType)
-            def run(values: pd.Series, _validator=validator) -> pd.Series:
-                try:
-                    return _validator(values)
-                except Exception:
-                    return values
-            df = df.withColumn(name, run(F.col(name)))
+            df = df.withColumn(name, _on_batches(validator, df.schema[name].dataType)(F.col(name)))
         else:
             df = df.withColumn(name, validator(F.col(name)))
     return df
 
 
+def _on_batches(validator: Callable, kind):
+    def run(values: pd.Series) -> pd.Series:
+        try:
+            return validator(values)
+        except Exception:
+            return values
+
+    return F.pandas_udf(run, kind)
+
+
 def on_pandas(function):
     """Mark a validator that takes and returns a pandas series."""
     function.on_pandas = True
@@ -112,8 +116,8 @@ def impute_nearest(df: DataFrame, columns: Sequence[str], key: str, k: int = 5,
     gap_list = F.array_compact(F.array(*[F.when(F.col(f"_x{i}").isNull(), F.lit(i)) for i in range(d)]))
     sizes = base.agg(F.count("*").alias("n"), F.count_if(F.size(gap_list) > 0).alias("g")).first()
     tiles, parts = (max(1, math.ceil(sizes[x] / tile_rows)) for x in ("n", "g"))
-    by_hash = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint")
+    by_hash = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n).cast("bigint"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     visits = base.where(F.size(gap_list) > 0).withColumn("_part", by_hash(parts)).withColumn("_tile", every(tiles))
     donors = base.withColumn("_tile", by_hash(tiles)).withColumn("_part", every(parts))
     names = [f"_x{i}" for i in range(d)]
