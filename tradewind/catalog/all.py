@@ -1,3 +1,3 @@
 """Import every query module."""
 
-from tradewind.catalog import analytics, domain, preparation, sources, timeseries  # noqa: F401
+from tradewind.catalog import analytics, domain, preparation, sources, timeseries, trading  # noqa: F401

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradewind import dims
-from tradewind.catalog.domain import port_calls
 from tradewind.catalog.registry import query
 from tradewind.operators import disruption as D
-from tradewind.operators import esg as E
 from tradewind.operators import freight
 from tradewind.operators import sector as S
-from tradewind.operators import snapshot as N
-from tradewind.operators import strategy as T
-from tradewind.sources.adapters import ESG_FIELDS, ESG_SECTIONS, VIEWS
+from tradewind.sources.adapters import VIEWS
 
 j = F.array_join
 
@@ -156,7 +152,8 @@ DEPEND = """dep AS (SELECT s.sector_code, CASE WHEN i.n IS NULL AND o.n IS NULL
 
 
 def _mitigation() -> str:
-    own = " ".join(f"WHEN '{k}' THEN ['{chr(39).join([chr(39) + ', ' + chr(39)]).join(v) if False else (chr(39) + ', ' + chr(39)).join(v)}']" for k, v in dims.MITIGATION.items())
+    quoted = {k: "', '".join(v) for k, v in dims.MITIGATION.items()}
+    own = " ".join(f"WHEN '{k}' THEN ['{v}']" for k, v in quoted.items())
     default = "', '".join(dims.MITIGATION_DEFAULT)
     extra = ", ".join(f"CASE WHEN contains(fs, '{k}') THEN '{x}' END" for k, x in dims.MITIGATION_BY_RISK)
     return f"array_to_string(list_slice(list_concat(CASE sector {own} ELSE ['{default}'] END, list_filter([{extra}], lambda x: x IS NOT NULL)), 1, 5), '; ')"

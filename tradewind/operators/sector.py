@@ -36,8 +36,9 @@ def mitigation(sector: Column, factors: Column) -> Column:
     for name, texts in dims.MITIGATION.items():
         own = F.when(sector == name, F.array(*[F.lit(x) for x in texts])).otherwise(own)
     base = F.coalesce(own, F.array(*[F.lit(x) for x in dims.MITIGATION_DEFAULT]))
+    joined = F.array_join(factors, "; ")
     extra = F.array_compact(F.array(*[
-        F.when(F.exists(factors, lambda f, k=kind: F.contains(f, F.lit(k))), F.lit(text)) for kind, text in dims.MITIGATION_BY_RISK]))
+        F.when(F.contains(joined, F.lit(kind)), F.lit(text)) for kind, text in dims.MITIGATION_BY_RISK]))
     return F.slice(F.concat(base, extra), 1, 5)
 
 

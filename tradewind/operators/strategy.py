@@ -143,7 +143,7 @@ def book_orders(signals: DataFrame, positions: DataFrame, capital: float, order:
 
 def mark_to_market(positions: DataFrame, ticks: DataFrame, value: float, order: Sequence[str]) -> DataFrame:
     """Latest price per symbol, PnL and weight; a symbol without price stays at its entry."""
-    last = latest(ticks.select("symbol", "price", *order), ["symbol"], order).select("symbol", F.col("price").alias("_p"))
+    last = latest(ticks.select(*dict.fromkeys(["symbol", "price", *order])), ["symbol"], order).select("symbol", F.col("price").alias("_p"))
     price = F.coalesce("_p", "entry_price")
     return positions.join(last, "symbol", "left").withColumns({
         "current_price": price, "unrealized_pnl": (price - F.col("entry_price")) * F.col("shares"),
