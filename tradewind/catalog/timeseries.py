@@ -234,16 +234,15 @@ def series_volatility(t):
     return S.series_volatility(t.series, "price")
 
 
-@query("requests_in_window", """SELECT id, count(*) OVER (w RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW) AS last_second,
-    count(*) OVER (w RANGE BETWEEN INTERVAL 1 MINUTE PRECEDING AND CURRENT ROW) AS last_minute,
-    count(*) OVER (w RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS last_hour
-    FROM request_log WINDOW w AS (PARTITION BY service, client ORDER BY ts)""".replace(
-    "OVER (w RANGE", "OVER (PARTITION BY service, client ORDER BY ts RANGE").replace(" WINDOW w AS (PARTITION BY service, client ORDER BY ts)", ""),
+SPAN = "OVER (PARTITION BY service, client ORDER BY ts RANGE BETWEEN INTERVAL 1 {0} PRECEDING AND CURRENT ROW)"
+
+
+@query("requests_in_window", f"""SELECT id, count(*) {SPAN.format('SECOND')} AS last_second, count(*) {SPAN.format('MINUTE')} AS last_minute,
+    count(*) {SPAN.format('HOUR')} AS last_hour FROM request_log""",
        uses="request_log")
 def requests_in_window(t):
-    log = t.request_log.withColumn("caller", F.struct("service", "client"))
     spans = {"last_second": 1, "last_minute": 60, "last_hour": 3600}
-    return vessels.requests_before(log, "caller", "ts", spans).select("id", *spans)
+    return vessels.requests_before(t.request_log, ["service", "client"], "ts", spans).select("id", *spans)
 
 
 @query("series_momentum", f"""WITH r AS (SELECT *, row_number() OVER ({W}) AS a, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, id DESC) AS d FROM series),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tradewind.functions.quantiles import exact_quantiles, modes
 from tradewind.functions.rowwise import numeric_columns, text_columns
 from tradewind.operators.quality import outlier_flag, profile_row
-from tradewind.plans.blocks import running, with_position
+from tradewind.plans.blocks import is_hot, running, with_position
 from tradewind.plans.topk import top_k
 
 
@@ -169,9 +169,13 @@ def modified_z_flags(df: DataFrame, columns: Sequence[str], limit: float = 3.0)
     }
 
 
-def iqr_flags(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> dict[str, Column]:
+def iqr_flags(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    return _fences(exact_quantiles(df, columns, [0.25, 0.75]))
+
+
+def _fences(quartiles: Mapping[str, Sequence[float | None]], reach: float = 1.5) -> dict[str, Column]:
     out = {}
-    for c, (q1, q3) in exact_quantiles(df, columns, [0.25, 0.75]).items():
+    for c, (q1, q3) in quartiles.items():
         if q1 is None:
             out[c] = F.lit(False)
             continue
@@ -185,19 +189,28 @@ OUTLIERS: dict[str, Callable[[DataFrame, Sequence[str]], dict[str, Column]]] = {
 
 
 def cap_outliers(df: DataFrame, columns: Sequence[str], method: str = "iqr", low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """A column with any outlier is clipped to its own 5 % / 95 % quantiles."""
+    """A column with any outlier is clipped to its own 5 % / 95 % quantiles.
+
+    Fences and clipping edges come from one quantile pass.
+    """
     if not columns:
         return df
-    flags = OUTLIERS[method](df, columns)
+    if method == "iqr":
+        found = exact_quantiles(df, columns, [0.25, 0.75, low, high])
+        flags, edges = _fences({c: q[:2] for c, q in found.items()}), {c: q[2:] for c, q in found.items()}
+    else:
+        flags, edges = OUTLIERS[method](df, columns), None
     hit = df.agg(*[F.bool_or(flag).alias(c) for c, flag in flags.items()]).first()
-    return clip_quantiles(df, [c for c in columns if hit[c]], low, high)
+    touched = [c for c in columns if hit[c]]
+    return _clip(df, {c: edges[c] for c in touched}) if edges else clip_quantiles(df, touched, low, high)
 
 
 def clip_quantiles(df: DataFrame, columns: Sequence[str], low: float, high: float) -> DataFrame:
     """Clip to two quantiles, NULL kept (also the winsorizing step)."""
-    if not columns:
-        return df
-    edges = exact_quantiles(df, columns, [low, high])
+    return _clip(df, exact_quantiles(df, columns, [low, high])) if columns else df
+
+
+def _clip(df: DataFrame, edges: Mapping[str, Sequence[float | None]]) -> DataFrame:
     return df.withColumns({
         c: F.when(F.col(c).isNotNull(), F.least(F.lit(b), F.greatest(F.lit(a), F.col(c).cast("double"))))
         for c, (a, b) in edges.items() if a is not None
@@ -216,6 +229,7 @@ def series_anomalies(df: DataFrame, column: str, keys=("series_id",), ts: str =
 
 def interpolate(df: DataFrame, column: str, out: str, keys=("series_id",), order=("ts", "id"), **kw) -> DataFrame:
     """Linear by position between known neighbours; a trailing gap holds the last value."""
+    kw = {**kw, "hot": is_hot(df, list(keys), kw.get("hot_rows")) if kw.get("hot") is None else kw["hot"]}
     placed = with_position(df, keys, order, out="_at", **kw)
     here = F.when(F.col(column).isNotNull(), F.struct(F.col("_at").alias("p"), F.col(column).cast("double").alias("v")))
     ahead = running(placed, keys, ["_at"], {"_prev": ("last", here)}, **kw)

@@ -12,6 +12,7 @@ from tradewind.functions.quantiles import exact_quantiles
 from tradewind.functions.rowwise import (
     columns_present, leading_interactions, numeric_columns, polynomials, row_statistics)
 from tradewind.operators import series
+from tradewind.plans.blocks import is_hot
 from tradewind.session import checkpointed
 
 SMALL_DIMENSION = 1_000_000
@@ -171,11 +172,12 @@ def engineer(df: DataFrame, ts: str | None, columns: Sequence[str], keys=series.
     out = df
     if ts:
         out = out.withColumns(calendar.prefixed_features(ts))
-    out = series.lag_features(out, columns, (1, 7, 30), keys, order)
-    out = series.rolling_features(out, columns, (7, 14, 30), ("mean", "std", "min", "max"), True, keys, order)
+    hot = is_hot(df, list(keys))
+    out = series.lag_features(out, columns, (1, 7, 30), keys, order, hot=hot)
+    out = series.rolling_features(out, columns, (7, 14, 30), ("mean", "std", "min", "max"), True, keys, order, hot=hot)
     for c in columns:
-        out = series.moving_averages(out, c, (5, 10, 20), keys, order)
-        out = series.rsi(out, c, keys=keys, order=order)
+        out = series.moving_averages(out, c, (5, 10, 20), keys, order, hot=hot)
+        out = series.rsi(out, c, keys=keys, order=order, hot=hot)
     extra = {**leading_interactions(columns), **polynomials(columns), **row_statistics(columns)}
     return out.withColumns(extra)
 
@@ -185,11 +187,12 @@ def engineer_basic(df: DataFrame, ts: str, columns: Sequence[str], keys=series.K
     from tradewind.functions.rowwise import auto_pairs, pair_interactions
 
     out = df.withColumns({**calendar.calendar_parts(ts), **calendar.cyclic_parts(ts), **calendar.calendar_flags(ts)})
-    out = series.lag_features(out, columns, keys=keys, order=order)
-    out = series.rolling_features(out, columns, (7, 14), ("mean", "std"), keys=keys, order=order)
+    hot = is_hot(df, list(keys))
+    out = series.lag_features(out, columns, keys=keys, order=order, hot=hot)
+    out = series.rolling_features(out, columns, (7, 14), ("mean", "std"), keys=keys, order=order, hot=hot)
     for c in columns:
         out = series.z_scores(out, c, keys)
-        out = series.change_features(out, c, keys=keys, order=order)
+        out = series.change_features(out, c, keys=keys, order=order, hot=hot)
     extra = {}
     for a, b in auto_pairs(list(columns)):
         extra |= pair_interactions(a, b)

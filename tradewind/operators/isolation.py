@@ -44,7 +44,7 @@ def grow(df: DataFrame, columns: Sequence[str], key: Sequence[str], trees: int =
     limit = math.ceil(math.log2(max(size, 2)))
     average = _average_path
 
-    def build(tree_key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(tree_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data = pdf.sort_values("_u")[columns].to_numpy()
         rng = np.random.default_rng(seed + int(tree_key[0]))
         nodes, stack = [], [(0, np.arange(len(data)), 0)]
@@ -82,8 +82,8 @@ def scored(df: DataFrame, columns: Sequence[str], nodes: DataFrame, size: int =
     shared = df.sparkSession.sparkContext.broadcast(tables)
     scale = _average_path(size)
 
-    def score(*values: pd.Series) -> pd.Series:
-        data = np.column_stack([v.to_numpy(dtype=float) for v in values])
+    def score(points: pd.DataFrame) -> pd.Series:
+        data = points.to_numpy(dtype=float)
         total, row = np.zeros(len(data)), np.arange(len(data))
         for feature, cut, path in shared.value:
             at = np.zeros(len(data), dtype=int)
@@ -99,13 +99,8 @@ def scored(df: DataFrame, columns: Sequence[str], nodes: DataFrame, size: int =
         out[np.isnan(data).any(axis=1)] = np.nan
         return pd.Series(out)
 
-    return df.withColumn("anomaly_score", F.nanvl(_udf(score, len(columns))(*[F.col(c).cast("double") for c in columns]), F.lit(None)))
-
-
-def _udf(function, n: int):
-    from pyspark.sql.pandas.functions import PandasUDFType
-
-    return F.pandas_udf(function, "double", PandasUDFType.SCALAR)
+    point = F.struct(*[F.col(c).cast("double").alias(c) for c in columns])
+    return df.withColumn("anomaly_score", F.nanvl(F.pandas_udf(score, "double")(point), F.lit(None).cast("double")))
 
 
 def isolation_outliers(df: DataFrame, columns: Sequence[str], key: Sequence[str], contamination: float = 0.1, **kw) -> DataFrame:

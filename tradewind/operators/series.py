@@ -28,6 +28,11 @@ def full(aggregate: Column, value: Column, w: WindowSpec, k: int) -> Column:
     return F.when(F.count(value).over(_frame(w, k)) == k, aggregate.over(_frame(w, k)))
 
 
+def _with_hot(df: DataFrame, keys: Sequence[str], kw: dict) -> dict:
+    """Measure once per operator whether a key is hot and pass the answer to its steps."""
+    return kw if kw.get("hot") is not None else {**kw, "hot": is_hot(df, list(keys), kw.get("hot_rows"))}
+
+
 def lag_features(df: DataFrame, columns: Sequence[str], lags=(1, 3, 7, 14), keys=KEYS, order=ORDER, **kw) -> DataFrame:
     return over_blocks(
         df, keys, order, lambda w: {f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in lags},
@@ -67,8 +72,7 @@ def rolling_features(
 
 def padded_change(df: DataFrame, column: str, periods=(1,), prefix: str | None = None, keys=KEYS, order=ORDER, **kw) -> DataFrame:
     """Relative change after carrying the last known value forward."""
-    hot = is_hot(df, keys, kw.get("hot_rows"))
-    kw = {**kw, "hot": hot}
+    kw = _with_hot(df, keys, kw)
     filled = running(df, keys, order, {"_fill": ("last", F.col(column))}, **kw)
     name = prefix or f"{column}_pct_change"
 
@@ -89,10 +93,10 @@ def z_scores(df: DataFrame, column: str, keys=KEYS) -> DataFrame:
     return group_stats(df, keys, stats).withColumn(f"{column}_zscore", z).drop("_m", "_s")
 
 
-def percentile_ranks(df: DataFrame, column: str, keys=KEYS, hot_rows: int | None = None) -> DataFrame:
+def percentile_ranks(df: DataFrame, column: str, keys=KEYS, hot_rows: int | None = None, hot: bool | None = None) -> DataFrame:
     """Average-tie percentile rank per group."""
     out, keys = f"{column}_percentile", list(keys)
-    if not is_hot(df, keys, hot_rows):
+    if not (is_hot(df, keys, hot_rows) if hot is None else hot):
         group = Window.partitionBy(*keys)
         ties = F.count("*").over(Window.partitionBy(*keys, column))
         rank = F.rank().over(group.orderBy(F.col(column).asc_nulls_last()))
@@ -138,6 +142,7 @@ def ema(df: DataFrame, column: str, spans=(5, 10, 20, 50), names: dict[int, str]
         parts = sorted(spans)
         if len(parts) == 1:
             raise ValueError(f"span {parts[0]} is too short for this layout")
+        kw = _with_hot(df, keys, kw)
         for s in parts:
             df = ema(df, column, (s,), names, keys, order, **kw)
         return df
@@ -171,7 +176,7 @@ def rsi(df: DataFrame, column: str, k: int = 14, keys=KEYS, order=ORDER, **kw) -
         return {f"{column}_rsi": F.when((loss == 0) & (gain > 0), 100.0).otherwise(
             F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + F.try_divide(gain, loss)))}
 
-    kw = {**kw, "hot": is_hot(df, keys, kw.get("hot_rows"))}
+    kw = _with_hot(df, keys, kw)
     moved = over_blocks(df, keys, order, moves, back=1, **kw)
     return over_blocks(moved, keys, order, build, back=k - 1, **kw).drop("_gain", "_loss")
 
@@ -191,7 +196,7 @@ def bollinger(df: DataFrame, column: str, k: int = 20, keys=KEYS, order=ORDER, *
 
 def macd(df: DataFrame, column: str, keys=KEYS, order=ORDER, **kw) -> DataFrame:
     """EMA 12 - EMA 26, its EMA 9 and the difference."""
-    kw = {**kw, "hot": is_hot(df, keys, kw.get("hot_rows"))}
+    kw = _with_hot(df, keys, kw)
     fast_slow = ema(df, column, (12, 26), {12: "_e12", 26: "_e26"}, keys, order, **kw)
     line = fast_slow.withColumn("macd", F.col("_e12") - F.col("_e26")).drop("_e12", "_e26")
     signal = ema(line, "macd", (9,), {9: "macd_signal"}, keys, order, **kw)
@@ -200,7 +205,7 @@ def macd(df: DataFrame, column: str, keys=KEYS, order=ORDER, **kw) -> DataFrame:
 
 def volume_features(df: DataFrame, price: str, volume: str, k: int = 20, keys=KEYS, order=ORDER, **kw) -> DataFrame:
     """Volume mean, ratio to it and on-balance volume."""
-    kw = {**kw, "hot": is_hot(df, keys, kw.get("hot_rows"))}
+    kw = _with_hot(df, keys, kw)
 
     def build(w):
         v = F.col(volume)
@@ -233,8 +238,8 @@ def lead_labels(df: DataFrame, column: str, k: int, out: str = "target", keys=KE
 
 def change_volatility(df: DataFrame, column: str, k: int = 7, keys=KEYS, order=ORDER, **kw) -> DataFrame:
     """Rolling deviation of the relative changes over ``k`` full rows."""
-    kw = {**kw, "hot": is_hot(df, keys, kw.get("hot_rows"))}
-    changed = padded_change(df, column, (1,), "rate_change", keys, order, **{k2: v for k2, v in kw.items() if k2 != "hot"})
+    kw = _with_hot(df, keys, kw)
+    changed = padded_change(df, column, (1,), "rate_change", keys, order, **kw)
     c = F.col("rate_change")
     return over_blocks(
         changed, keys, order, lambda w: {"volatility": full(F.stddev_samp(c), c, w, k)}, back=k - 1, **kw)
@@ -242,6 +247,7 @@ def change_volatility(df: DataFrame, column: str, k: int = 7, keys=KEYS, order=O
 
 def series_volatility(df: DataFrame, column: str, k: int = 30, keys=KEYS, order=ORDER, **kw) -> DataFrame:
     """Deviation of returns, root of squared returns, mean rolling deviation (0 when n <= k)."""
+    kw = _with_hot(df, keys, kw)
     changed = padded_change(df, column, (1,), "_r", keys, order, **kw).where(F.col("_r").isNotNull())
     r = F.col("_r")
     rolled = over_blocks(changed, keys, order, lambda w: {"_roll": full(F.stddev_samp(r), r, w, k)}, back=k - 1, **kw)
@@ -258,8 +264,7 @@ def decompose(df: DataFrame, column: str, period: int = 12, keys=KEYS, order=ORD
     """
     keys = list(keys)
     half, even = period // 2, period % 2 == 0
-    hot = is_hot(df, keys, kw.get("hot_rows"))
-    kw = {**kw, "hot": hot}
+    kw = _with_hot(df, keys, kw)
     placed = with_position(df, keys, order, out="_at", **kw)
     placed = group_stats(placed, keys, {"_n": F.count("*")}).where(F.col("_n") >= 2 * period)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tradewind import dims
 from tradewind.functions.rowwise import clip, mean_of
 from tradewind.operators.vessels import latest
-from tradewind.plans.blocks import attach, over_blocks, running
+from tradewind.plans.blocks import attach, is_hot, over_blocks, running
 from tradewind.plans.topk import top_k
 
 LIMITS = dims.LIMITS
@@ -257,6 +257,7 @@ def returns(prices: DataFrame, keys=("symbol",), ts: str = "day", **kw) -> DataF
 
 def performance(rets: DataFrame, keys=("symbol",), ts: str = "day", periods: int = 252, **kw) -> DataFrame:
     """Total return, annual volatility, sharpe and deepest drawdown of each return series."""
+    kw = {**kw, "hot": is_hot(rets, keys, kw.get("hot_rows")) if kw.get("hot") is None else kw["hot"]}
     r = rets.where(F.col("ret").isNotNull() & (F.col("ret") > -1))
     grown = running(r, keys, [ts], {"_g": ("sum", F.log1p("ret"))}, **kw)
     peaks = running(grown, keys, [ts], {"_peak": ("max", F.col("_g"))}, **kw)
@@ -272,7 +273,8 @@ def backtest(weights: DataFrame, prices: DataFrame, cost: float = 0.001, **kw) -
 
     The day series is short (one row per day), the symbols are spread by key.
     """
-    p = F.col("price")
+    p, days = F.col("price"), {k: v for k, v in kw.items() if k != "hot"}
+    kw = {**kw, "hot": is_hot(prices, ["symbol"], kw.get("hot_rows")) if kw.get("hot") is None else kw["hot"]}
     ahead = over_blocks(prices, ["symbol"], ["day"], lambda w: {"next_ret": F.try_divide(F.lead(p, 1).over(w), p) - 1}, ahead=1, **kw)
     joined = ahead.join(weights, ["symbol", "day"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     moved = over_blocks(
@@ -282,7 +284,8 @@ def backtest(weights: DataFrame, prices: DataFrame, cost: float = 0.001, **kw) -
         F.sum(F.col("weight") * F.coalesce("next_ret", F.lit(0.0))).alias("gross_return"), F.sum("_turn").alias("turnover"),
         F.avg("next_ret").alias("benchmark_return"), F.count_if(F.col("_turn") > 0).alias("trades"))
     net = daily.withColumn("net_return", F.col("gross_return") - cost * F.col("turnover"))
-    grown = running(net, [], ["day"], {"_g": ("sum", F.log1p("net_return"))}, **kw)
+    # one row per day: a century of days is still a small frame, so no check is needed
+    grown = running(net, [], ["day"], {"_g": ("sum", F.log1p("net_return"))}, **{**days, "hot": False})
     return grown.withColumn("value", F.exp("_g")).drop("_g")
 
 

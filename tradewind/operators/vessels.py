@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind import dims
 from tradewind.functions.rowwise import great_circle_nm
+from tradewind.plans.blocks import over_time
 
 
 def valid_position() -> Column:
@@ -98,12 +99,11 @@ def select_vessels(positions: DataFrame, types: Sequence[str], box, start: str,
         & F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
 
 
-def requests_before(df: DataFrame, key: str, ts: str, seconds: dict[str, int]) -> DataFrame:
-    """Events of the same key in the last n seconds at each event."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("_us")
-    return (
-        df.withColumn("_us", micros)
-        .withColumns({name: F.count("*").over(w.rangeBetween(-s * 1_000_000, 0)) for name, s in seconds.items()})
-        .drop("_us")
-    )
+def requests_before(df: DataFrame, keys: Sequence[str], ts: str, seconds: dict[str, int], **kw) -> DataFrame:
+    """Events of the same keys in the last n seconds at each event."""
+    timed = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    return over_time(
+        timed, keys, "_us",
+        lambda w: {name: F.count("*").over(w.rangeBetween(-s * 1_000_000, 0)) for name, s in seconds.items()},
+        max(seconds.values()), **kw,
+    ).drop("_us")

@@ -43,17 +43,6 @@ def _numeric(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def with_chunks(df: DataFrame, order: str, hot_rows: int | None = None, out: str = "_chunk") -> DataFrame:
-    """Cut the order column at literal boundaries; ties always share a chunk."""
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    probe = df.select(_numeric(df, order).alias("_x"))
-    parts = min(MAX_BOUNDS, max(2, math.ceil(2 * probe.count() / max(1, limit))))
-    bounds = probe.approxQuantile("_x", [i / parts for i in range(1, parts)], 1.0 / (4 * parts))
-    splits = [-math.inf, *sorted(set(bounds)), math.inf]
-    cut = Bucketizer(splits=splits, inputCol="_x", outputCol=out, handleInvalid="keep")
-    return cut.transform(df.withColumn("_x", _numeric(df, order))).drop("_x").withColumn(out, F.col(out).cast("int"))
-
-
 def _same(keys: Sequence[str], left: str, right: str) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -67,6 +56,31 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], values: Sequenc
     return joined.select("l.*", *[F.col(f"r.{v}") for v in values])
 
 
+def with_chunks(
+    df: DataFrame, keys: Sequence[str], order: str, hot_rows: int | None = None, out: str = "_chunk"
+) -> DataFrame:
+    """Cut hot keys along the order column at literal boundaries; other keys stay whole (chunk 0).
+
+    Ties always share a chunk. The boundaries come from one sketch over the
+    rows of hot keys and are literals of the plan from then on.
+    """
+    limit, keys = HOT_ROWS if hot_rows is None else hot_rows, list(keys)
+    rows = df
+    if keys:
+        heavy = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.lit(True).alias("_heavy"))
+        rows = attach(df, heavy, keys, ["_heavy"])
+    probe = (rows.where("_heavy") if keys else rows).select(_numeric(df, order).alias("_x"))
+    parts = min(MAX_BOUNDS, max(2, math.ceil(2 * probe.count() / max(1, limit))))
+    bounds = probe.approxQuantile("_x", [i / parts for i in range(1, parts)], 1.0 / (4 * parts))
+    splits = [-math.inf, *sorted(set(bounds)), math.inf]
+    cut = Bucketizer(splits=splits, inputCol="_x", outputCol="_bucket", handleInvalid="keep")
+    placed = cut.transform(rows.withColumn("_x", _numeric(df, order)))
+    chunk = F.col("_bucket").cast("int")
+    if keys:
+        chunk = F.when(F.coalesce("_heavy", F.lit(False)), chunk).otherwise(0)
+    return placed.withColumn(out, chunk).drop("_x", "_bucket", "_heavy")
+
+
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_pos", hot_rows: int | None = None,
     hot: bool | None = None,
@@ -76,7 +90,7 @@ def with_position(
     if not hot:
         w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    cut = with_chunks(df, order[0], hot_rows)
+    cut = with_chunks(df, keys, order[0], hot_rows)
     group = [*keys, "_chunk"]
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy(*group).count().withColumn("_off", F.coalesce(F.sum("count").over(before), F.lit(0)))
@@ -127,6 +141,24 @@ def over_blocks(
     return placed.where("_blk = _own").drop("_blk", "_own", "_pos")
 
 
+def over_time(
+    df: DataFrame, keys: Sequence[str], micros: str, build: Callable[[WindowSpec], dict[str, Column]], seconds: int,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Window columns whose range frames reach ``seconds`` back along a microsecond column.
+
+    A hot key is cut into time blocks as long as the reach; a row is copied
+    into the next block, where it can still be seen.
+    """
+    keys = list(keys)
+    if not is_hot(df, keys, hot_rows):
+        return df.withColumns(build(Window.partitionBy(*keys).orderBy(micros)))
+    own = F.floor(F.col(micros) / (seconds * 1_000_000))
+    spread = df.withColumn("_own", own).withColumn("_blk", F.explode(F.array(own, own + 1)))
+    spec = Window.partitionBy(*keys, "_blk").orderBy(micros)
+    return spread.withColumns(build(spec)).where("_blk = _own").drop("_blk", "_own")
+
+
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, tuple[str, Column]],
     hot_rows: int | None = None, backward: bool = False, hot: bool | None = None,
@@ -147,7 +179,7 @@ def running(
         w = through(keys, spec)
         return df.withColumns({out: pick[how](col).over(w) for out, (how, col) in totals.items()})
 
-    cut = with_chunks(df, order[0], hot_rows)
+    cut = with_chunks(df, keys, order[0], hot_rows)
     group = [*keys, "_chunk"]
     marked = cut.withColumns({f"_in_{out}": col for out, (_, col) in totals.items()})
     place = F.struct(*[F.col(c) for c in order])

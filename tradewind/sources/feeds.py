@@ -95,19 +95,24 @@ def parse_fbx(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("fbx", _quote(F.col(text), r"(?i)FBX[\s:]*([\d,]+(?:\.\d+)?)"))
 
 
+def _bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def congestion_from_text(text: Column) -> Column:
     """Weighted share of lexicon words (counted as substrings), none -> 0.5."""
-    low = F.lower(text)
-
-    def hits(level):
+    def hits(low, level):
         # plain substring search: the text shrinks by the word's length per occurrence
         shrunk = [(F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) for w in dims.LEXICON[level]]
-        return sum(shrunk, F.lit(0.0))
+        return sum(shrunk, F.lit(0.0)).alias(level)
+
+    def share(counts):
+        total = sum((counts[level] for level in dims.LEXICON), F.lit(0.0))
+        weighted = sum((counts[level] * dims.LEXICON_WEIGHT[level] for level in dims.LEXICON), F.lit(0.0))
+        return F.when(total == 0, 0.5).otherwise(F.least(F.lit(1.0), F.try_divide(weighted, total)))
 
-    counts = {level: hits(level) for level in dims.LEXICON}
-    total = sum(counts.values(), F.lit(0))
-    weighted = sum((counts[level] * dims.LEXICON_WEIGHT[level] for level in counts), F.lit(0.0))
-    return F.when(total == 0, 0.5).otherwise(F.least(F.lit(1.0), F.try_divide(weighted, total)))
+    return _bind(_bind(F.lower(text), lambda low: F.struct(*[hits(low, level) for level in dims.LEXICON])), share)
 
 
 LOG_SCHEMA = "timestamp timestamp_ntz, level string, logger string, message string"
