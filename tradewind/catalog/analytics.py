@@ -239,13 +239,13 @@ def sector_pair_correlation(t):
     return S.pair_correlation(pairs, t.edges)
 
 
-@query("dependency_scores", """WITH e AS (SELECT origin AS src, destination AS dst, (count(*) % 10 + 1) / 10.0 AS weight FROM lane_rates GROUP BY ALL HAVING count(*) % 3 = 0),
+@query("dependency_scores", """WITH e AS (SELECT origin AS src, destination AS dst, (count(*) % 10 + 1) / 10.0 AS weight FROM lane_rates GROUP BY ALL HAVING count(*) % 10 + 1 > 5),
     i AS (SELECT dst AS node, count(*) AS n, avg(weight) AS w FROM e GROUP BY dst), o AS (SELECT src AS node, count(*) AS n FROM e GROUP BY src)
     SELECT n_name AS node, coalesce(i.n, 0) AS in_degree, coalesce(i.w, 0) AS mean_in, coalesce(o.n, 0) AS out_degree,
     CASE WHEN i.n IS NULL AND o.n IS NULL THEN 0.3 ELSE least(1.0, coalesce(i.w, 0) * 0.6 + coalesce(o.n, 0) / 25.0 * 0.4) END AS dependency
     FROM nation LEFT JOIN i ON i.node = n_name LEFT JOIN o ON o.node = n_name""", uses="lane_rates", rnd="mean_in dependency")
 def dependency_scores(t):
-    g = t.lane_rates.groupBy(F.col("origin").alias("src"), F.col("destination").alias("dst")).agg(F.count("*").alias("n")).where("n % 3 = 0")
+    g = t.lane_rates.groupBy(F.col("origin").alias("src"), F.col("destination").alias("dst")).agg(F.count("*").alias("n")).where("n % 10 + 1 > 5")
     edges = g.select("src", "dst", ((F.col("n") % 10 + 1) / 10.0).alias("weight"))
     return S.dependency_scores(edges, 25, t.nation.select(F.col("n_name").alias("node")))
 

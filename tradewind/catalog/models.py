@@ -62,7 +62,7 @@ def train_port_congestion(t):
 
 @query("port_feature_importance")
 def port_feature_importance(t):
-    return ml.importances(port_model(t, trees=20, depth=5)[0], PORT_FEATURES)
+    return ml.importances(port_model(t)[0], PORT_FEATURES)
 
 
 SHIP_FEATURES = ["value", "kind", "hour", "weekday"]
@@ -77,7 +77,7 @@ def route_training(t):
 
 @query("train_route_disruption")
 def train_route_disruption(t):
-    return ml.train_classifier(route_training(t), ml.boosted_classifier(SHIP_FEATURES, "label", 20, 4), "label", ["event_id"])[1]
+    return ml.train_classifier(route_training(t), ml.boosted_classifier(SHIP_FEATURES, "label"), "label", ["event_id"])[1]
 
 
 RATE_FEATURES = ["price", "rate_change", "volatility", "volume"]
@@ -90,7 +90,7 @@ def rate_training(t):
 
 @query("train_rate_volatility")
 def train_rate_volatility(t):
-    return ml.train_regression(rate_training(t), ml.forest_regressor(RATE_FEATURES, "target", 50, 8), "target", ["id"])[1]
+    return ml.train_regression(rate_training(t), ml.forest_regressor(RATE_FEATURES, "target", 100, 8), "target", ["id"])[1]
 
 
 COMPANY_FEATURES = ["supply_chain_complexity", "international_exposure", "inventory_turnover", "beta"]

@@ -406,11 +406,53 @@ def row_statistics(t):
     return rows.select("id", *[c.alias(n) for n, c in R.row_statistics(["price", "volume", "ratio", "extra"]).items()])
 
 
-@query("feature_engineering_full")
+W = "PARTITION BY series_id ORDER BY ts, id"
+
+
+def _roll(e: str, c: str, k: int, full: bool) -> str:
+    frame = f"OVER ({W} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({c}) {frame} = {k} THEN {e} {frame} END" if full else f"{e} {frame}"
+
+
+AGG = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+TWO = ("price", "volume")
+
+
+def _full_columns() -> dict[str, str]:
+    out = {f"{c}_lag_{k}": f"lag({c}, {k}) OVER ({W})" for c in TWO for k in (1, 7, 30)}
+    out |= {f"{c}_{f}_{k}": _roll(f"{a}({c})", c, k, True) for c in TWO for k in (7, 14, 30) for f, a in AGG.items()}
+    out |= {f"{c}_sma_{k}": _roll(f"avg({c})", c, k, True) for c in TWO for k in (5, 10, 20)}
+    out |= {"price_x_volume": "price * volume", "price_div_volume": "coalesce(price / nullif(volume + 1e-8, 0), 0)",
+            "price_pow2": "pow(price, 2)", "volume_pow2": "pow(volume, 2)", "row_mean": "(price + volume) / 2", "row_min": "least(price, volume)",
+            "row_max": "greatest(price, volume)", "row_median": "(price + volume) / 2", "row_std": "abs(price - volume) / sqrt(2)"}
+    out |= {"ts_hour": "hour(ts)", "ts_month_sin": "sin(2 * pi() * month(ts) / 12)"}
+    return out
+
+
+FULL = _full_columns()
+
+
+@query("feature_engineering_full", "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in FULL.items()) + " FROM series", uses="series",
+       rnd=" ".join(n for n in FULL if "volume_lag" not in n and n != "ts_hour" and not n.startswith(("volume_min", "volume_max"))), places=5)
 def feature_engineering_full(t):
-    return X.engineer(t.series, "ts", ["price", "volume"])
+    return X.engineer(t.series, "ts", list(TWO)).select("id", *FULL)
+
+
+def _basic_columns() -> dict[str, str]:
+    out = {f"{c}_lag_{k}": f"lag({c}, {k}) OVER ({W})" for c in TWO for k in (1, 3, 7, 14)}
+    out |= {f"{c}_{f}_{k}": _roll(f"{AGG[f]}({c})", c, k, False) for c in TWO for k in (7, 14) for f in ("mean", "std")}
+    whole = "OVER (PARTITION BY series_id)"
+    for c in TWO:
+        out[f"{c}_zscore"] = f"({c} - avg({c}) {whole}) / (stddev_samp({c}) {whole} + 1e-8)"
+        out[f"{c}_change"] = f"{c} - lag({c}) OVER ({W})"
+        out |= {f"{c}_volatility_{k}d": _roll(f"stddev_samp({c})", c, k, False) for k in (7, 14, 30)}
+    return out | {"price_minus_volume": "price - volume", "price_share_volume": "price / nullif(price + volume + 1e-8, 0)", "quarter": "quarter(ts)"}
+
+
+BASIC = _basic_columns()
 
 
-@query("feature_engineering_basic")
+@query("feature_engineering_basic", "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in BASIC.items()) + " FROM series", uses="series",
+       rnd=" ".join(n for n in BASIC if "volume_lag" not in n and n not in ("quarter", "volume_change")), places=5)
 def feature_engineering_basic(t):
-    return X.engineer_basic(t.series, "ts", ["price", "volume"])
+    return X.engineer_basic(t.series, "ts", list(TWO)).select("id", *BASIC)

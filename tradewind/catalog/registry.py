@@ -22,8 +22,8 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(Tables(ready(spark), sf_dir))
-        for column in self.rounded:
-            df = df.withColumn(column, F.round(F.col(column) + tie_break(self.places), self.places))
+        if self.rounded:
+            df = df.withColumns({c: F.round(F.col(c) + tie_break(self.places), self.places) for c in self.rounded})
         wide = {
             f.name: f.dataType.simpleString()
             for f in df.schema.fields

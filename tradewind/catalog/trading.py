@@ -124,13 +124,13 @@ def order_flow(t):
 
 
 @query("order_booking", """WITH z AS (SELECT *, floor(1e6 * abs(target_weight) / price) * CASE WHEN target_weight < 0 THEN -1 ELSE 1 END AS ts FROM order_flow),
-    f AS (SELECT z.*, p.shares AS held, p.entry_price AS entry, lag(ts) OVER (PARTITION BY z.symbol ORDER BY seq, z.symbol, k1, k2, k3) AS bf FROM z LEFT JOIN (SELECT * FROM positions WHERE p_partkey % 2 = 0) p ON p.symbol = z.symbol WHERE ts <> 0),
+    f AS (SELECT z.*, p.shares AS held, p.entry_price AS entry, lag(ts) OVER (PARTITION BY z.symbol ORDER BY seq, z.symbol, k1, k2, k3) AS bf FROM z LEFT JOIN (SELECT * FROM positions WHERE shares > 0) p ON p.symbol = z.symbol WHERE ts <> 0),
     b AS (SELECT *, ts - coalesce(bf, held, 0) AS traded FROM f)
     SELECT symbol, k1, k2, k3, CASE WHEN bf IS NULL AND held IS NULL THEN 'new_position' ELSE 'adjust_position' END AS action, CAST(ts AS BIGINT) AS target_shares, CAST(traded AS BIGINT) AS traded, abs(traded * price) AS turnover,
     CASE WHEN entry IS NULL THEN 0 ELSE (price - entry) * ts END AS unrealized_pnl, 1e6 - sum(abs(traded * price)) OVER (ORDER BY seq, symbol, k1, k2, k3 ROWS UNBOUNDED PRECEDING) AS cash FROM b WHERE traded <> 0""",
        uses="order_flow positions", rnd="turnover unrealized_pnl cash", places=1)
 def order_booking(t):
-    held = t.positions.where("p_partkey % 2 = 0")
+    held = t.positions.where("shares > 0")
     return T.book_orders(order_flow(t), held, CAPITAL, ORDER).select(
         "symbol", "k1", "k2", "k3", "action", "target_shares", "traded", "turnover", "unrealized_pnl", "cash")
 
@@ -280,7 +280,7 @@ def brand_returns(t):
 
 
 BRET = "r AS (SELECT *, price / lag(price) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM brand_prices)"
-BOOK = [f"Brand#{i}" for i in range(1, 9)]
+BOOK = sorted(f"Brand#{i}" for i in range(1, 26))
 
 
 @query("return_covariance", f"""WITH {BRET} SELECT a.symbol AS "left", b.symbol AS "right", covar_samp(a.ret, b.ret) * 252 AS covariance FROM r a JOIN r b ON a.day = b.day AND a.symbol <= b.symbol

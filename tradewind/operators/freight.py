@@ -50,11 +50,10 @@ def watched_lane_volatility(lanes: DataFrame, rates: DataFrame, as_of: str, days
 
 
 def route_volatility_with_total(rates: DataFrame, as_of: str, days: int) -> DataFrame:
-    """Volatility per route plus one row over all rates."""
-    window = since(rates, as_of, days)
-    per = volatility_of(window.groupBy(F.concat_ws("-", *LANE).alias("route")).agg(*volatility_columns()))
-    everything = volatility_of(window.agg(*volatility_columns())).withColumn("route", F.lit("overall"))
-    return per.unionByName(everything)
+    """Volatility per route plus one row over all rates, in one pass."""
+    grouped = since(rates, as_of, days).groupingSets([list(LANE), []], *LANE).agg(*volatility_columns(), F.grouping_id().alias("_g"))
+    route = F.when(F.col("_g") == 0, F.concat_ws("-", *LANE)).otherwise("overall")
+    return volatility_of(grouped).withColumn("route", route).drop("_g", *LANE)
 
 
 def lane_trend(rates: DataFrame, keys: Sequence[str] = LANE) -> DataFrame:

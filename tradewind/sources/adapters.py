@@ -110,8 +110,12 @@ def _esg_columns(provider: int) -> dict[str, str]:
     return out
 
 
+# Each provider leaves one market segment out.
+UNCOVERED = ("FURNITURE", "MACHINERY", "BUILDING", "AUTOMOBILE")
+
+
 def _esg_present(provider: int) -> str:
-    return f"(c_custkey + {provider}) % 4 <> 0"
+    return f"c_mktsegment <> '{UNCOVERED[provider]}'"
 
 
 def _esg_score_columns() -> dict[str, str]:
@@ -194,11 +198,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         COMPANIES, "FROM customer JOIN nation ON n_nationkey = c_nationkey") + ") c JOIN sectors s USING (sector_code)"),
     "esg_raw": ((), " UNION ALL ".join(
         _sql(_esg_columns(p), f"FROM customer WHERE {_esg_present(p)}") for p in range(4))),
-    "esg_scores": ((), _sql(_esg_score_columns(), "FROM customer WHERE c_custkey % 6 <> 0")),
+    "esg_scores": ((), _sql(_esg_score_columns(), "FROM customer WHERE c_mktsegment <> 'FURNITURE'")),
     "sustainability": ((), _sql({
         "symbol": "concat('C', CAST(c_custkey AS STRING))",
         **{f: f"CAST((c_custkey * {7 + 4 * i}) % 101 AS DOUBLE)" for i, f in enumerate(SUSTAINABILITY_FIELDS)},
-    }, "FROM customer WHERE c_custkey % 5 <> 0")),
+    }, "FROM customer WHERE c_acctbal > 0")),
     "port_metrics": ((), """
         SELECT n_name AS port_name, date_trunc('month', o_orderdate) AS ts, count(*) AS vessel_arrivals,
                sum(CAST(floor(o_totalprice) AS BIGINT)) / 1000.0 AS throughput,
@@ -373,11 +377,11 @@ class Tables:
 
     @cached_property
     def esg_scores(self) -> DataFrame:
-        return self._view(self.customer.where("c_custkey % 6 <> 0"), _esg_score_columns())
+        return self._view(self.customer.where("c_mktsegment <> 'FURNITURE'"), _esg_score_columns())
 
     @cached_property
     def sustainability(self) -> DataFrame:
-        return self._view(self.customer.where("c_custkey % 5 <> 0"), {
+        return self._view(self.customer.where("c_acctbal > 0"), {
             "symbol": "concat('C', CAST(c_custkey AS STRING))",
             **{f: f"CAST((c_custkey * {7 + 4 * i}) % 101 AS DOUBLE)" for i, f in enumerate(SUSTAINABILITY_FIELDS)},
         })
