@@ -80,6 +80,12 @@ def test_drawdown_and_total_return(spark):
     assert r["total_return"] == pytest.approx(1.1 * 0.5 * 1.2 - 1) and r["max_drawdown"] == pytest.approx(-0.5)
 
 
+def test_total_loss_ends_the_series(spark):
+    df = spark.createDataFrame([("s", i, r) for i, r in enumerate([0.1, -1.2, 0.2])], "symbol string, day int, ret double")
+    r = strategy.performance(df).first()
+    assert r["total_return"] == -1.0 and r["max_drawdown"] == -1.0 and r["n"] == 3
+
+
 def test_exits(spark):
     p = spark.createDataFrame([(1, 10, 89.0), (2, 10, 121.0), (3, -10, 111.0), (4, -10, 79.0), (5, 10, 100.0)], "id int, shares int, price double")
     long = F.col("shares") > 0

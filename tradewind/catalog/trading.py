@@ -267,7 +267,9 @@ WEIGHT = "((CAST(substr(symbol, 7) AS INT) + month(day)) % 5 - 2) / 50.0"
 @query("backtest", f"""WITH a AS (SELECT symbol, day, lead(price) OVER (PARTITION BY symbol ORDER BY day) / price - 1 AS nr, {WEIGHT} AS w FROM brand_prices),
     b AS (SELECT *, abs(w - coalesce(lag(w) OVER (PARTITION BY symbol ORDER BY day), 0)) AS turn FROM a),
     d AS (SELECT day, sum(w * coalesce(nr, 0)) AS gross_return, sum(turn) AS turnover, avg(nr) AS benchmark_return, count(*) FILTER (turn > 0) AS trades FROM b GROUP BY day)
-    SELECT *, gross_return - 0.001 * turnover AS net_return, exp(sum(ln(1 + gross_return - 0.001 * turnover)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)) AS value FROM d""",
+    SELECT *, CASE WHEN min(net_return) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) <= -1 THEN 0
+        ELSE exp(sum(CASE WHEN net_return > -1 THEN ln(1 + net_return) END) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)) END AS value
+    FROM (SELECT *, gross_return - 0.001 * turnover AS net_return FROM d)""",
        uses="brand_prices", rnd="gross_return turnover benchmark_return net_return value")
 def backtest(t):
     p = brand_prices(t)

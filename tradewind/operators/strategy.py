@@ -258,14 +258,17 @@ def returns(prices: DataFrame, keys=("symbol",), ts: str = "day", **kw) -> DataF
 def performance(rets: DataFrame, keys=("symbol",), ts: str = "day", periods: int = 252, **kw) -> DataFrame:
     """Total return, annual volatility, sharpe and deepest drawdown of each return series."""
     kw = {**kw, "hot": is_hot(rets, keys, kw.get("hot_rows")) if kw.get("hot") is None else kw["hot"]}
-    r = rets.where(F.col("ret").isNotNull() & (F.col("ret") > -1))
-    grown = running(r, keys, [ts], {"_g": ("sum", F.log1p("ret"))}, **kw)
+    r = rets.where(F.col("ret").isNotNull())
+    growth = F.when(F.col("ret") > -1, F.log1p("ret"))
+    lost = F.bool_or(F.col("ret") <= -1)  # a total loss leaves nothing to recover
+    grown = running(r, keys, [ts], {"_g": ("sum", growth)}, **kw)
     peaks = running(grown, keys, [ts], {"_peak": ("max", F.col("_g"))}, **kw)
     fall = F.exp(F.col("_g") - F.greatest(F.col("_peak"), F.lit(0.0))) - 1
     vol = F.stddev_samp("ret") * F.sqrt(F.lit(float(periods)))
     return peaks.groupBy(*keys).agg(
-        F.count("*").alias("n"), (F.exp(F.sum(F.log1p("ret"))) - 1).alias("total_return"), vol.alias("volatility"),
-        F.try_divide(F.avg("ret") * periods, vol).alias("sharpe"), F.least(F.lit(0.0), F.min(fall)).alias("max_drawdown"))
+        F.count("*").alias("n"), F.when(lost, -1.0).otherwise(F.exp(F.sum(growth)) - 1).alias("total_return"), vol.alias("volatility"),
+        F.try_divide(F.avg("ret") * periods, vol).alias("sharpe"),
+        F.when(lost, -1.0).otherwise(F.least(F.lit(0.0), F.min(fall))).alias("max_drawdown"))
 
 
 def backtest(weights: DataFrame, prices: DataFrame, cost: float = 0.001, **kw) -> DataFrame:
@@ -285,8 +288,11 @@ def backtest(weights: DataFrame, prices: DataFrame, cost: float = 0.001, **kw) -
         F.avg("next_ret").alias("benchmark_return"), F.count_if(F.col("_turn") > 0).alias("trades"))
     net = daily.withColumn("net_return", F.col("gross_return") - cost * F.col("turnover"))
     # one row per day: a century of days is still a small frame, so no check is needed
-    grown = running(net, [], ["day"], {"_g": ("sum", F.log1p("net_return"))}, **{**days, "hot": False})
-    return grown.withColumn("value", F.exp("_g")).drop("_g")
+    grown = running(net, [], ["day"], {
+        "_g": ("sum", F.when(F.col("net_return") > -1, F.log1p("net_return"))),
+        "_lost": ("max", (F.col("net_return") <= -1).cast("int")),
+    }, **{**days, "hot": False})
+    return grown.withColumn("value", F.when(F.col("_lost") == 1, 0.0).otherwise(F.exp("_g"))).drop("_g", "_lost")
 
 
 def covariance(rets: DataFrame, symbols: Sequence[str], annual: float = 252.0, column: str = "symbol", ts: str = "day", correlate: bool = False) -> DataFrame:
