@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tradewind.operators.vessels import latest
 
@@ -139,7 +140,16 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    return spark.read.csv(path, schema=schema, header=header, mode="DROPMALFORMED")
+    """Typed rows of delimited files; a row with a bad field is dropped whichever columns are read.
+
+    Fields are read as text and cast here, because the reader's own check
+    looks only at the columns a query asks for.
+    """
+    fields = StructType.fromDDL(schema).fields
+    raw = spark.read.csv(path, schema=", ".join(f"`{f.name}` string" for f in fields), header=header)
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in fields}
+    good = reduce(lambda a, b: a & b, [typed[n].isNotNull() | F.col(n).isNull() for n in typed])
+    return raw.where(good).select(*[c.alias(n) for n, c in typed.items()])
 
 
 def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
