@@ -135,17 +135,32 @@ def ema(df: DataFrame, column: str, spans=(5, 10, 20, 50), names: dict[int, str]
     two running sums. Blocks keep q^-i inside the range of a double, and a halo
     of K rows with q^K < 1e-16 makes each block exact by itself.
     """
+    kw = _with_hot(df, keys, kw)
+    out = with_position(df, keys, order, out="_at", **kw)
+    for group, reach, rows in _span_groups(spans):
+        out = _ema_pass(out, column, group, reach, rows, names or {}, keys, **kw)
+    return out.drop("_at")
+
+
+def _span_groups(spans: Sequence[int]):
+    """Spans that fit one block layout together, with its halo and block length."""
+    def layout(group):
+        decay = [1 - 2 / (s + 1) for s in group]
+        reach = max(math.ceil(36.8 / (1 - q)) for q in decay)
+        return reach, min(int(500 / -math.log(q)) for q in decay) - reach
+
+    group: list[int] = []
+    for s in sorted(spans):
+        reach, rows = layout([*group, s])
+        if group and rows < reach:
+            yield (tuple(group), *layout(group))
+            group = []
+        group.append(s)
+    yield (tuple(group), *layout(group))
+
+
+def _ema_pass(df, column, spans, reach, rows, names, keys, **kw) -> DataFrame:
     decay = {s: 1 - 2 / (s + 1) for s in spans}
-    reach = max(math.ceil(36.8 / (1 - q)) for q in decay.values())
-    longest = min(int(500 / -math.log(q)) for q in decay.values())
-    if longest - reach < reach:
-        parts = sorted(spans)
-        if len(parts) == 1:
-            raise ValueError(f"span {parts[0]} is too short for this layout")
-        kw = _with_hot(df, keys, kw)
-        for s in parts:
-            df = ema(df, column, (s,), names, keys, order, **kw)
-        return df
 
     def weights(w):
         at = F.row_number().over(w).cast("double")
@@ -155,12 +170,12 @@ def ema(df: DataFrame, column: str, spans=(5, 10, 20, 50), names: dict[int, str]
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
         x = F.col(column).cast("double")
         return {
-            (names or {}).get(s, f"{column}_ema_{s}"):
+            names.get(s, f"{column}_ema_{s}"):
                 F.sum(x * F.col(f"_w{s}")).over(upto) / F.sum(F.when(x.isNotNull(), F.col(f"_w{s}"))).over(upto)
             for s in spans
         }
 
-    stages = over_blocks(df, keys, order, weights, means, back=reach, block_rows=longest - reach, **kw)
+    stages = over_blocks(df, keys, ["_at"], weights, means, back=reach, block_rows=rows, at="_at", **kw)
     return stages.drop(*[f"_w{s}" for s in spans])
 
 
@@ -277,7 +292,7 @@ def decompose(df: DataFrame, column: str, period: int = 12, keys=KEYS, order=ORD
         ok = (F.col("_at") >= half) & (F.col("_at") < F.col("_n") - half)
         return {"trend": F.when(ok, total / period)}
 
-    lined = over_blocks(placed, keys, ["_at"], trend, back=half, ahead=half, **kw)
+    lined = over_blocks(placed, keys, ["_at"], trend, back=half, ahead=half, at="_at", **kw)
     phased = lined.withColumn("_phase", F.col("_at") % period)
     means = phased.groupBy(*keys, "_phase").agg(F.avg(F.col(column) - F.col("trend")).alias("_pm"))
     centre = means.groupBy(*keys).agg(F.avg("_pm").alias("_c"))

@@ -106,7 +106,7 @@ def unit_root(df: DataFrame, column: str, keys=KEYS, order=ORDER, max_lag: int |
     base = over_blocks(
         base.withColumnRenamed("_pos", "_at"), keys, ["_at"],
         lambda w: {"_level": F.lag("_e", 1).over(w), "_d0": F.col("_e") - F.lag("_e", 1).over(w)},
-        lambda w: {f"_d{i}": F.lag("_d0", i).over(w) for i in range(1, depth + 1)}, back=depth + 1, **kw,
+        lambda w: {f"_d{i}": F.lag("_d0", i).over(w) for i in range(1, depth + 1)}, back=depth + 1, at="_at", **kw,
     ).withColumnRenamed("_at", "_pos")
     fields = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
     lags = _sums(base, keys, depth).mapInPandas(_gram_solver(depth, True), f"{fields}, _lag int")
@@ -125,7 +125,7 @@ def level_stationarity(df: DataFrame, column: str, keys=KEYS, order=ORDER, **kw)
     def products(depth: int) -> DataFrame:
         lagged = over_blocks(
             base.withColumnRenamed("_pos", "_at"), keys, ["_at"],
-            lambda w: {f"_p{i}": F.col("_e") * F.lag("_e", i).over(w) for i in range(1, depth + 1)}, back=max(depth, 1), **kw)
+            lambda w: {f"_p{i}": F.col("_e") * F.lag("_e", i).over(w) for i in range(1, depth + 1)}, back=max(depth, 1), at="_at", **kw)
         return lagged.groupBy(*keys).agg(
             F.first("_n").alias("_n"), F.sum(F.col("_s") * F.col("_s")).alias("_eta"), F.sum(F.col("_e") * F.col("_e")).alias("_p0"),
             *[F.coalesce(F.sum(f"_p{i}"), F.lit(0.0)).alias(f"_p{i}") for i in range(1, depth + 1)])

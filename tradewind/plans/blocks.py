@@ -116,13 +116,14 @@ def _halo(df: DataFrame, back: int, ahead: int, rows: int) -> DataFrame:
 def over_blocks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], *stages: Callable[[WindowSpec], dict[str, Column]],
     back: int = 0, ahead: int = 0, hot_rows: int | None = None, block_rows: int | None = None,
-    hot: bool | None = None,
+    hot: bool | None = None, at: str | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach ``back`` rows behind and ``ahead`` rows on.
 
     Each stage maps a window spec to new columns and may use the columns of the
     stages before it; ``back`` and ``ahead`` cover the reach of all of them.
     ``block_rows`` forces the block layout (for formulas that need short blocks).
+    ``at`` names a column that already holds the positions of :func:`with_position`.
     """
     keys = list(keys)
     hot = is_hot(df, keys, hot_rows) if hot is None else hot
@@ -134,7 +135,8 @@ def over_blocks(
     size = block_rows or max(HOT_ROWS if hot_rows is None else hot_rows, back + ahead + 1)
     if size < max(back, ahead):
         raise ValueError("a block must be at least as long as the reach of its frames")
-    placed = _halo(with_position(df, keys, order, hot_rows=hot_rows, hot=hot), back, ahead, size)
+    known = df.withColumn("_pos", F.col(at)) if at else with_position(df, keys, order, hot_rows=hot_rows, hot=hot)
+    placed = _halo(known, back, ahead, size)
     spec = Window.partitionBy(*keys, "_blk").orderBy("_pos")
     for stage in stages:
         placed = placed.withColumns(stage(spec))

@@ -85,7 +85,7 @@ def upsert_into(updates: DataFrame, spark: SparkSession, root: str, key: str, or
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder; a local session without one gets its own."""
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
