@@ -42,7 +42,8 @@ def grow(df: DataFrame, columns: Sequence[str], key: Sequence[str], trees: int =
     """Nodes of all trees: a task grows one tree from at most ``size`` rows."""
     columns = list(columns)
     limit = math.ceil(math.log2(max(size, 2)))
-    average = _average_path
+    # path length of an unsplit leaf by row count, as plain values so that tasks need no import of this package
+    average = [_average_path(n) for n in range(size + 1)]
 
     def build(tree_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data = pdf.sort_values("_u")[columns].to_numpy()
@@ -53,7 +54,7 @@ def grow(df: DataFrame, columns: Sequence[str], key: Sequence[str], trees: int =
             low, high = data[rows].min(axis=0), data[rows].max(axis=0)
             usable = np.flatnonzero(high > low)
             if depth >= limit or len(rows) <= 1 or not len(usable):
-                nodes.append((node, -1, 0.0, depth + average(len(rows))))
+                nodes.append((node, -1, 0.0, depth + average[len(rows)]))
                 continue
             f = int(rng.choice(usable))
             cut = float(rng.uniform(low[f], high[f]))
