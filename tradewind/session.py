@@ -31,19 +31,28 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df):
-    """Cut lineage through the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    The folder named in ``spark.checkpoint.dir`` survives the loss of
-    executors. Only a local session without that setting gets a folder of its own.
+    It survives the loss of executors. Only a local session without the setting,
+    as in tests, gets a folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        current = context._jsc.sc().getCheckpointDir()
+        if current.isEmpty():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tradewind-checkpoint-"))
+            current = context._jsc.sc().getCheckpointDir()
+        shared = current.get()
+    return shared.rstrip("/")
+
+
+def checkpointed(df):
+    """Cut lineage through the shared folder of the cluster."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="tradewind-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
