@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontaminate, minhash, packing, substring, urls, warc
+from tradewind.llm import decontaminate, language, lm, minhash, packing, substring, urls, warc
 from tradewind.llm.common import workers_import
 from tradewind.session import ready
 
@@ -41,6 +41,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query("op1_warc", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest FROM p),
@@ -83,6 +89,19 @@ def op2(table):
     return decontaminate.contamination(table("documents"), table("benchmark")).drop("spans", "longest_span")
 
 
+@query("op4_language_id")
+def op4(table):
+    """Language of every document, learned from the labelled documents that are not held out."""
+    docs = table("documents")
+    return language.predicted(docs, language.learned(docs))
+
+
+@query("op5_lm_scoring")
+def op5(table):
+    """Base and lattice score of every document."""
+    return lm.scored(table("documents"), piece_vocabulary())
+
+
 @query("op6_minhash", r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
