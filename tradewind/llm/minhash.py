@@ -113,24 +113,22 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, num: int, d
             F.col("b").alias("node"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).alias("part"), F.lit(1).alias("role"))
         .union(fan.select(F.col("a").alias("node"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)), F.lit(0))),
         "comparisons")
-    wanted = stored(
-        tasks.groupBy("node").agg(F.collect_list(F.struct("center", "part", "role")).alias("at")).join(nodes.select("node", "doc_id", "text_hash", "digest"), "node"),
-        "wanted")
-    # a list of ids below a stated size goes to the texts, else both meet by a shuffle
-    side = wanted.select("text_hash", "doc_id", "digest", "at")
-    if wanted.count() <= BROADCAST_NODES and tasks.count() <= 2 * BROADCAST_NODES:
+    side = stored(
+        tasks.join(nodes.select("node", F.col("doc_id").alias("own"), "text_hash", "digest"), "node").select("text_hash", "own", "digest", "center", "part", "role"), "wanted")
+    # a list below a stated size goes to the texts, else both meet by a shuffle
+    if side.count() <= BROADCAST_NODES:
         side = F.broadcast(side)
-    found = texts.join(side.withColumnRenamed("doc_id", "own"), ["text_hash"]).filter(F.col("doc_id").eqNullSafe(F.col("own"))).select("text", "digest", "at")
+    found = texts.join(side, "text_hash").filter(F.col("doc_id").eqNullSafe(F.col("own"))).select("text", "digest", "center", "part", "role")
 
     def sets(batches: Iterator):
         import pyarrow as pa
 
         for batch in batches:
             out: list[tuple] = []
-            for text, digest, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, digest, center, part, role in zip(*(c.to_pylist() for c in batch.columns)):
                 values = shingle_set(text)
                 if hashlib.blake2b(values.tobytes(), digest_size=16).digest() == digest:
-                    out += [(t["center"], t["part"], t["role"], digest, values.tobytes()) for t in at]
+                    out.append((center, part, role, digest, values.tobytes()))
                 if len(out) >= 500:
                     yield packed(out)
                     out = []
@@ -191,12 +189,58 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     allow similarity (six deviations below the threshold). Pairs are confirmed
     on full sets (64-bit shingle hashes).
     """
+    rows, classes, roots = _grouped(docs, doc_id, text, num, den)
+    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
+    answer = stored(named.select("digest", "root").join(lowest, "root").select("digest", "component_id"), "answers")
+    full = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    # rows without words get keys of their own, else they would meet in one task
+    key = F.coalesce(F.hex("digest"), F.concat(F.lit("none:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return (
+        full.withColumn("digest", key).join(answer.withColumn("digest", F.hex("digest")), "digest", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 75, den: int = 100) -> DataFrame:
+    """The documents of which one per component stays, columns as they came.
+
+    The row with the smallest id stays (a null id only if all are null); of
+    rows with equal ids in a component one stays. Rows without words all stay.
+    """
+    rows, classes, roots = _grouped(docs, doc_id, text, num, den)
+    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # of every component the least row with an id, else the least without
+    rank = F.struct(F.col("lowest").isNull().alias("none"), F.col("lowest").alias("id"), F.col("first_hash").alias("text_hash"))
+    stays = stored(named.groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.id").alias("__id"), F.col("r.text_hash").alias("__hash")), "stays")
+    same = rows.filter("n > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n")).filter("n > 1")
+    same = stored(same.join(stays, (same["__hash"] == stays["__hash"]) & same["__id"].eqNullSafe(stays["__id"]), "left_semi").drop("n"), "same-rows")
+    has_word = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    full = docs.filter(has_word).withColumn("__hash", F.xxhash64(F.col(text)))
+
+    def picked(these: DataFrame, how: str) -> DataFrame:
+        # a list below a stated size goes to the documents, else both meet by a shuffle
+        keys = these.toDF("__id", "__hash2")
+        keys = F.broadcast(keys) if these.count() <= BROADCAST_NODES else keys
+        return full.join(keys, (F.col("__hash") == F.col("__hash2")) & F.col(doc_id).eqNullSafe(F.col("__id")), how)
+
+    repeated = same.count() > 0
+    single = stays.join(same, (same["__hash"] == stays["__hash"]) & same["__id"].eqNullSafe(stays["__id"]), "left_anti") if repeated else stays
+    out = picked(single, "left_semi").select(docs.columns).unionByName(docs.filter(~has_word))
+    if repeated:  # rows that repeat as a whole: one of each
+        out = out.unionByName(picked(same, "left_semi").dropDuplicates([doc_id, "__hash"]).select(docs.columns))
+    return out
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketch of every row, classes of equal sets, root of every class that links with another)."""
     spark = docs.sparkSession
     workers_import(spark)
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     rows = stored(_sketched(ids), "sketches")
     classes = stored(
-        rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("chosen"), F.min("doc_id").alias("lowest"))
+        rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("chosen"), F.min("doc_id").alias("lowest"),
+            F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("first_hash"))
         .withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = stored(
         rows.join(classes, "digest").filter(F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("text_hash") == F.col("chosen.text_hash")))
@@ -261,13 +305,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = links.union(_confirmed(proposed, nodes, ids, num, den))
         roots = components(links, "a", "b")
 
-    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    answer = stored(named.select("digest", "root").join(lowest, "root").select("digest", "component_id"), "answers")
-    full = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
-    # rows without words get keys of their own, else they would meet in one task
-    key = F.coalesce(F.hex("digest"), F.concat(F.lit("none:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return (
-        full.withColumn("digest", key).join(answer.withColumn("digest", F.hex("digest")), "digest", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
+    return rows, classes, roots

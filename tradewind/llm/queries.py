@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import decontaminate, language, lm, minhash, packing, substring, urls, warc
+from tradewind.llm import ann, decontaminate, language, licenses, lm, minhash, packing, substring, urls, warc
 from tradewind.llm.common import workers_import
 from tradewind.session import ready
 
@@ -89,6 +89,12 @@ def op2(table):
     return decontaminate.contamination(table("documents"), table("benchmark")).drop("spans", "longest_span")
 
 
+@query("op3_multi_index")
+def op3(table):
+    """Twenty nearest of every twentieth vector."""
+    return ann.nearest(table("embeddings"), every=20)
+
+
 @query("op4_language_id")
 def op4(table):
     """Language of every document, learned from the labelled documents that are not held out."""
@@ -135,6 +141,12 @@ def op9(table):
     return substring.substring_report(table("documents"))
 
 
+@query("op7_license_scan")
+def op7(table):
+    """Phrase places and license labels of every document."""
+    return licenses.license_scan(table("documents")).drop("matches")
+
+
 @query("op8_best_fit_packing")
 def op8(table):
     """Every document's pieces and their places in sequences of 4096 tokens."""
@@ -178,3 +190,21 @@ FROM p LEFT JOIN best ON best.page_id = p.page_id AND best.url = p.url LEFT JOIN
 def op10(table):
     """Host, path, rule and verdict of every page."""
     return urls.judged(table("pages"))
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+@dataclass(frozen=True)
+class PipelineQuery:
+    name: str
+    sql: str | None
+
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _pipeline(ready(spark), sf_dir)
+
+
+LLM_QUERIES["pipeline"] = PipelineQuery("pipeline", None)
