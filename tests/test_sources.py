@@ -58,7 +58,9 @@ def test_delimited_json_and_log_files(spark):
     root = folder()
     with open(f"{root}/a.csv", "w") as f:
         f.write("id,x\n1,2.5\n2,bad\n3,4\n")
-    assert rows(table_ops.read_delimited(spark, f"{root}/a.csv", "id int, x double"), "id") == [(1,), (3,)]
+    good, bad = table_ops.read_delimited(spark, f"{root}/a.csv", "id int, x double")
+    assert rows(good, "id") == [(1,), (3,)]
+    assert bad.count() >= 1 and all(r.bad_columns for r in bad.collect())
     table_ops.write_results(spark.range(3), f"{root}/res")
     assert spark.read.json(f"{root}/res").count() == 3
     with open(f"{root}/app.log", "w") as f:

@@ -8,65 +8,90 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
+#: Values of one bracket that may meet in one task.
+SMALL = 200_000
 
 
-def _order_statistic(values: DataFrame, n: int, k: int, small: int) -> float:
-    """The k-th smallest (0-based) of ``n`` values by narrowing brackets."""
-    base, low, high = 0, -math.inf, math.inf
-    while True:
-        if low == high:
-            return low
-        rest = values.where((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)))
-        if n <= small:
-            return rest.orderBy("x").offset(k - base).limit(1).first()["x"]
-        share, slack = (k - base) / n, 0.002
-        a, b = rest.approxQuantile("x", [max(0.0, share - slack), min(1.0, share + slack)], slack / 2)
-        c = rest.agg(
-            F.count_if(F.col("x") < a).alias("under"),
-            F.count_if((F.col("x") >= a) & (F.col("x") <= b)).alias("inside"),
-            F.max(F.when(F.col("x") < a, F.col("x"))).alias("below"),
-            F.min(F.when(F.col("x") > b, F.col("x"))).alias("above"),
-        ).first()
-        if k - base < c["under"]:
-            high, n = c["below"], c["under"]
-        elif k - base < c["under"] + c["inside"]:
-            if c["under"] == 0 and c["inside"] == n and (a, b) == (low, high):
-                return rest.orderBy("x").offset(k - base).limit(1).first()["x"]
-            low, high, base, n = a, b, base + c["under"], c["inside"]
+class _Target:
+    """The k-th smallest value of a column, known to lie in [low, high] with ``base`` values below and ``n`` inside."""
+
+    def __init__(self, column: str, k: int, n: int):
+        self.column, self.k, self.n = column, k, n
+        self.low, self.high, self.base = -math.inf, math.inf, 0
+
+    def inside(self):
+        x = F.col(self.column)
+        return (x >= F.lit(self.low)) & (x <= F.lit(self.high))
+
+
+def _narrow(values: DataFrame, wide: list[_Target]) -> None:
+    """One step for all targets at once: a pass that sketches brackets, a pass that counts them."""
+    slack, sketches = 0.002, []
+    for i, t in enumerate(wide):
+        share = (t.k - t.base) / t.n
+        at = F.array(F.lit(max(0.0, share - slack)), F.lit(min(1.0, share + slack)))
+        sketches.append(F.percentile_approx(F.when(t.inside(), F.col(t.column)), at, 4000).alias(f"s{i}"))
+    cut = values.agg(*sketches).first()
+    counts = []
+    for i, t in enumerate(wide):
+        a, b = cut[f"s{i}"]
+        x, held = F.col(t.column), t.inside()
+        counts += [
+            F.count_if(held & (x < a)).alias(f"under{i}"), F.count_if(held & (x >= a) & (x <= b)).alias(f"within{i}"), F.count_if(held & (x == a)).alias(f"equal{i}"),
+            F.max(F.when(held & (x < a), x)).alias(f"below{i}"), F.min(F.when(held & (x > b), x)).alias(f"above{i}"), F.min(F.when(held & (x > a), x)).alias(f"next{i}")]
+    c = values.agg(*counts).first()
+    for i, t in enumerate(wide):
+        (a, b), under, within, equal = cut[f"s{i}"], c[f"under{i}"], c[f"within{i}"], c[f"equal{i}"]
+        rank = t.k - t.base
+        if rank < under:
+            t.high, t.n = c[f"below{i}"], under
+        elif rank < under + equal:
+            t.low = t.high = a
+        elif rank < under + within:
+            # above the ties of a, so every step leaves at least one value behind
+            t.low, t.high, t.base, t.n = c[f"next{i}"], b, t.base + under + equal, within - equal
         else:
-            low, base = c["above"], base + c["under"] + c["inside"]
-            n = n - c["under"] - c["inside"]
+            t.low, t.base, t.n = c[f"above{i}"], t.base + under + within, t.n - under - within
 
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], small: int = SMALL
 ) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of each column, NULLs skipped.
+    """Linear-interpolated quantiles of each column; NULL and NaN are skipped.
 
-    Short columns use the built-in exact aggregate; a long column is narrowed
-    by approximate brackets whose counts are checked, so the result is exact
-    and no task holds more than ``small`` values.
+    All columns and probabilities advance together. A bracket around each
+    wanted value is narrowed by sketches, checked by exact counts, until at
+    most ``small`` values lie in it; one last pass reads these. A column of a
+    billion values takes two such steps, one of ``small`` values none.
     """
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first()
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    short = [c for c in columns if 0 < counts[c] <= small]
-    if short:
-        row = df.agg(*[
-            F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in short
-        ]).first()
-        out.update({c: list(row[c]) for c in short})
-    for c in columns:
-        n = counts[c]
-        if n > small:
-            values = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("x"))
-            found: dict[int, float] = {}
-            for i, p in enumerate(probs):
-                at = p * (n - 1)
-                below, above = math.floor(at), math.ceil(at)
-                for k in {below, above} - set(found):
-                    found[k] = _order_statistic(values, n, k, small)
-                out[c][i] = found[below] + (at - below) * (found[above] - found[below])
+    names = {c: f"x{i}" for i, c in enumerate(columns)}
+    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(x) for c, x in names.items()])
+    counts = values.agg(*[F.count(x).alias(x) for x in names.values()]).first()
+    targets: dict[tuple[str, int], _Target] = {}
+    for x in names.values():
+        n = counts[x]
+        for p in probs if n else ():
+            for k in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
+                targets[x, k] = _Target(x, k, n)
+    while wide := [t for t in targets.values() if t.n > small and t.low != t.high]:
+        _narrow(values, wide)
+    open_ones = {(t.column, t.low, t.high): f"b{i}" for i, t in enumerate(targets.values()) if t.low != t.high}
+    found: dict[tuple[str, int], float] = {key: t.low for key, t in targets.items() if t.low == t.high}
+    if open_ones:
+        brackets = [F.sort_array(F.collect_list(F.when((F.col(c) >= F.lit(low)) & (F.col(c) <= F.lit(high)), F.col(c)))).alias(b) for (c, low, high), b in open_ones.items()]
+        left = [(key, t, open_ones[t.column, t.low, t.high]) for key, t in targets.items() if t.low != t.high]
+        row = values.agg(*brackets).select(*[F.element_at(b, t.k - t.base + 1).alias(f"v{i}") for i, (_, t, b) in enumerate(left)]).first()
+        found |= {key: row[f"v{i}"] for i, (key, _, _) in enumerate(left)}
+    out: dict[str, list[float | None]] = {}
+    for c, x in names.items():
+        n, out[c] = counts[x], []
+        for p in probs:
+            if not n:
+                out[c].append(None)
+                continue
+            at = p * (n - 1)
+            a, b = found[x, math.floor(at)], found[x, math.ceil(at)]
+            out[c].append(a if a == b else a + (at - math.floor(at)) * (b - a))
     return out
 
 

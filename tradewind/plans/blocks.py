@@ -4,14 +4,14 @@
 plan while every key is small, and it is what these helpers produce then. Once
 the largest key passes ``hot_rows`` they switch to a split layout:
 
-* *chunks*: the rows of a key are cut along the order column at literal
-  boundaries, so row positions come from small per-chunk counts;
+* *chunks*: the rows are cut into ranges of the keys and all order columns, so
+  row positions come from small per-chunk counts;
 * *blocks*: rows of one key are regrouped by position into blocks, each with a
   halo of neighbours, so any frame of bounded reach is computed block by block;
 * *carries*: running totals add per-chunk totals to in-chunk totals.
 
-The boundaries are fixed when the plan is built, so a task that is run again
-after the loss of an executor sees the same layout.
+The cut rows are written to the shared checkpoint folder, so a task that is run
+again after the loss of an executor sees the same layout.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tradewind.session import checkpointed
+
 HOT_ROWS = 2_000_000
-MAX_BOUNDS = 10_000
 
 
 def is_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> bool:
@@ -36,13 +36,6 @@ def is_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> b
     return (row["n"] or 0) > limit
 
 
-def _numeric(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType.simpleString()
-    if kind.startswith("timestamp") or kind == "date":
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
-
-
 def _same(keys: Sequence[str], left: str, right: str) -> Column:
     cond = F.lit(True)
     for k in keys:
@@ -57,28 +50,17 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], values: Sequenc
 
 
 def with_chunks(
-    df: DataFrame, keys: Sequence[str], order: str, hot_rows: int | None = None, out: str = "_chunk"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None, out: str = "_chunk"
 ) -> DataFrame:
-    """Cut hot keys along the order column at literal boundaries; other keys stay whole (chunk 0).
+    """Cut the rows into ranges of (keys, order) of about half ``hot_rows`` rows each.
 
-    Ties always share a chunk. The boundaries come from one sketch over the
-    rows of hot keys and are literals of the plan from then on.
+    Any order type will do, text too, and rows that tie in the first order
+    column are cut by the others. Only rows that tie in all of them stay
+    together. A key that fits into a range lies in one or two of them.
     """
-    limit, keys = HOT_ROWS if hot_rows is None else hot_rows, list(keys)
-    rows = df
-    if keys:
-        heavy = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.lit(True).alias("_heavy"))
-        rows = attach(df, heavy, keys, ["_heavy"])
-    probe = (rows.where("_heavy") if keys else rows).select(_numeric(df, order).alias("_x"))
-    parts = min(MAX_BOUNDS, max(2, math.ceil(2 * probe.count() / max(1, limit))))
-    bounds = probe.approxQuantile("_x", [i / parts for i in range(1, parts)], 1.0 / (4 * parts))
-    splits = [-math.inf, *sorted(set(bounds)), math.inf]
-    cut = Bucketizer(splits=splits, inputCol="_x", outputCol="_bucket", handleInvalid="keep")
-    placed = cut.transform(rows.withColumn("_x", _numeric(df, order)))
-    chunk = F.col("_bucket").cast("int")
-    if keys:
-        chunk = F.when(F.coalesce("_heavy", F.lit(False)), chunk).otherwise(0)
-    return placed.withColumn(out, chunk).drop("_x", "_bucket", "_heavy")
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    parts = max(2, math.ceil(2 * df.count() / max(1, limit)))
+    return checkpointed(df.repartitionByRange(parts, *keys, *order).withColumn(out, F.spark_partition_id()))
 
 
 def with_position(
@@ -90,7 +72,7 @@ def with_position(
     if not hot:
         w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    cut = with_chunks(df, keys, order[0], hot_rows)
+    cut = with_chunks(df, keys, order, hot_rows)
     group = [*keys, "_chunk"]
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy(*group).count().withColumn("_off", F.coalesce(F.sum("count").over(before), F.lit(0)))
@@ -181,7 +163,7 @@ def running(
         w = through(keys, spec)
         return df.withColumns({out: pick[how](col).over(w) for out, (how, col) in totals.items()})
 
-    cut = with_chunks(df, keys, order[0], hot_rows)
+    cut = with_chunks(df, keys, order, hot_rows)
     group = [*keys, "_chunk"]
     marked = cut.withColumns({f"_in_{out}": col for out, (_, col) in totals.items()})
     place = F.struct(*[F.col(c) for c in order])

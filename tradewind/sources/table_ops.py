@@ -139,17 +139,21 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """Typed rows of delimited files; a row with a bad field is dropped whichever columns are read.
+def read_delimited(spark: SparkSession, path: str, schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, rejected rows) of delimited files.
 
-    Fields are read as text and cast here, because the reader's own check
+    A row with a field that does not parse is in the second frame as text, with
+    the names of its bad columns in ``bad_columns``, whichever columns are
+    read: fields are read as text and cast here, because the reader's own check
     looks only at the columns a query asks for.
     """
     fields = StructType.fromDDL(schema).fields
     raw = spark.read.csv(path, schema=", ".join(f"`{f.name}` string" for f in fields), header=header)
     typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in fields}
-    good = reduce(lambda a, b: a & b, [typed[n].isNotNull() | F.col(n).isNull() for n in typed])
-    return raw.where(good).select(*[c.alias(n) for n, c in typed.items()])
+    bad = F.array_compact(F.array(*[F.when(typed[n].isNull() & F.col(n).isNotNull(), F.lit(n)) for n in typed]))
+    return (
+        raw.where(F.size(bad) == 0).select(*[c.alias(n) for n, c in typed.items()]),
+        raw.withColumn("bad_columns", bad).where(F.size("bad_columns") > 0))
 
 
 def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
