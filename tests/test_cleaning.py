@@ -89,13 +89,12 @@ def test_scaler_fit_and_reuse(spark):
         assert features.transform_scaled(df.limit(1), fitted).first()["price"] == pytest.approx(first)
 
 
-def test_encoding_edges(spark, monkeypatch):
+def test_encoding_edges(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "k string")
     assert rows(features.one_hot(df, "k")) == [(0, 0), (0, 0), (0, 1), (1, 0)]
     wide = spark.range(40).select(F.format_string("v%03d", 39 - F.col("id")).alias("k"))
     want = [(i,) for i in range(40)]
     assert sorted(tuple(r) for r in features.label_encode(wide, "k").collect()) == want
-    monkeypatch.setattr(features, "SMALL_DIMENSION", 5)
     numbered = {r["k"]: r["i"] for r in features.ordinal_dimension(wide, "k", "i").collect()}
     assert numbered == {f"v{i:03d}": i for i in range(40)}
 

@@ -52,5 +52,6 @@ def test_training_driver_keeps_existing(spark):
 
 
 def test_cross_validation(spark):
-    row = ml.cross_validate(planted(spark, 400), ml.linear_regressor(["a", "b"], "y"), "y").first()
-    assert row["folds"] == 5 and row["mean_score"] > 0.9 and row["std_score"] < 0.1
+    scores = ml.cross_validate(planted(spark, 400), ml.linear_regressor(["a", "b"], "y"), "y", ["id"]).collect()
+    assert sorted(r["fold"] for r in scores) == list(range(5)) and all(r["score"] > 0.9 for r in scores)
+    assert abs(scores[0]["mean_score"] - sum(r["score"] for r in scores) / 5) < 1e-12 and scores[0]["std_score"] < 0.1

@@ -138,11 +138,11 @@ def training_set(t):
 
 # --- sectors ----------------------------------------------------------------
 
-CAPS = "caps AS (SELECT sector_code, sum(CAST(floor(market_cap) AS BIGINT)) / 1e9 AS market_cap FROM companies WHERE sector_code <> '60' GROUP BY sector_code)"
+CAPS = "caps AS (SELECT sector_code, sum(CAST(floor(market_cap) AS BIGINT)) / 1e9 AS market_cap FROM companies GROUP BY sector_code)"
 
 
 def caps(t):
-    return t.companies.where("sector_code <> '60'").groupBy("sector_code").agg(
+    return t.companies.groupBy("sector_code").agg(
         (F.sum(F.floor("market_cap").cast("bigint")) / 1e9).alias("market_cap"))
 
 
@@ -289,16 +289,16 @@ def rotation_signals(t):
     return S.rotation_signals(t.sector_impacts, cross_sector_impact(t)).drop("rationale")
 
 
-@query("signal_rationale", """SELECT scenario, source_sector, target_sector, printf('Pair trade: Short %s (impact: %.1f), Long %s (impact: %.1f)', source_sector, w, target_sector, b) AS rationale
-    FROM (SELECT p.*, trunc(w.predicted_impact_30d * 8) / 8 AS w, trunc(b.predicted_impact_30d * 8) / 8 AS b FROM (""" + PAIR + """) p JOIN sector_impacts w ON w.scenario = p.scenario AND w.sector = source_sector
-    JOIN sector_impacts b ON b.scenario = p.scenario AND b.sector = target_sector) WHERE w * 4 = trunc(w * 4) AND b * 4 = trunc(b * 4) AND w * 2 = trunc(w * 2) AND b * 2 = trunc(b * 2)""", uses=SIG_USES)
+def _one_place(value):
+    """SQL text of a double to one place: its shortest decimal form, ties away from zero."""
+    return f"CAST(CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(30, 18)), 1) AS DECIMAL(30, 1)) AS VARCHAR)"
+
+
+@query("signal_rationale", "SELECT p.scenario, source_sector, target_sector, 'Pair trade: Short ' || source_sector || ' (impact: ' || "
+    + _one_place("w.predicted_impact_30d") + " || '), Long ' || target_sector || ' (impact: ' || " + _one_place("b.predicted_impact_30d") + " || ')' AS rationale FROM (" + PAIR + """) p
+    JOIN sector_impacts w ON w.scenario = p.scenario AND w.sector = source_sector JOIN sector_impacts b ON b.scenario = p.scenario AND b.sector = target_sector""", uses=SIG_USES)
 def signal_rationale(t):
-    half = F.col("predicted_impact_30d") * 2
-    rows = S.pair_trades(t.sector_impacts)
-    exact = t.sector_impacts.where(half == F.floor(half)).select("scenario", "sector")
-    for side in ("source_sector", "target_sector"):
-        rows = rows.join(exact.withColumnRenamed("sector", side), ["scenario", side], "left_semi")
-    return rows.select("scenario", "source_sector", "target_sector", "rationale")
+    return S.pair_trades(t.sector_impacts).select("scenario", "source_sector", "target_sector", "rationale")
 
 
 SDG_VALUES = ", ".join(f"('{k}', [{', '.join(map(str, g))}])" for k, g in dims.SDG.items())
@@ -328,12 +328,15 @@ def _order_disruptions(t):
 
 @query("impact_correlation_change", """WITH d AS (SELECT date_trunc('month', o_orderdate) AS month, ['port_congestion', 'route_blockage', 'rate_spike'][o_orderkey % 3 + 1] AS disruption_type, (o_orderkey % 11) / 10.0 AS p, (o_custkey % 10) / 1.0 AS s FROM orders),
     m AS (SELECT month, v.sector_code, sum(p * s * sensitivity) AS impact FROM d JOIN sensitivity v USING (disruption_type) GROUP BY ALL),
-    w AS (SELECT month, max(impact) FILTER (sector_code = '10') AS a, max(impact) FILTER (sector_code = '35') AS b FROM m GROUP BY month)
-    SELECT corr(a, b) FILTER (month < TIMESTAMP '1998-04-01') AS first_half, corr(a, b) FILTER (month >= TIMESTAMP '1998-04-01') AS second_half,
-    corr(a, b) FILTER (month >= TIMESTAMP '1998-04-01') - corr(a, b) FILTER (month < TIMESTAMP '1998-04-01') AS change FROM w""", uses="sensitivity", rnd="first_half second_half change")
+    h AS (SELECT a.sector_code AS "left", b.sector_code AS "right", corr(a.impact, b.impact) FILTER (a.month < TIMESTAMP '1998-04-01') AS first_half,
+        corr(a.impact, b.impact) FILTER (a.month >= TIMESTAMP '1998-04-01') AS second_half FROM m a JOIN m b ON a.month = b.month AND a.sector_code < b.sector_code GROUP BY ALL)
+    SELECT *, second_half - first_half AS change FROM h""", uses="sensitivity", rnd="first_half second_half change")
 def impact_correlation_change(t):
-    wide = S.monthly_impact(_order_disruptions(t), t.sensitivity).groupBy("month").pivot("sector_code", ["10", "35"]).agg(F.max("impact"))
+    """Correlation of the monthly impacts of every pair of sectors, before and after a date; a month has one row per sector."""
+    monthly = S.monthly_impact(_order_disruptions(t), t.sensitivity)
     early = F.col("month") < F.lit("1998-04-01 00:00:00").cast("timestamp_ntz")
-    a, b = F.col("`10`"), F.col("`35`")
-    halves = wide.agg(F.corr(F.when(early, a), F.when(early, b)).alias("first_half"), F.corr(F.when(~early, a), F.when(~early, b)).alias("second_half"))
+    pairs = monthly.toDF(*[{"sector_code": "left", "impact": "a"}.get(c, c) for c in monthly.columns]).join(
+        monthly.toDF(*[{"sector_code": "right", "impact": "b"}.get(c, c) for c in monthly.columns]), "month").where("left < right")
+    halves = pairs.groupBy("left", "right").agg(
+        F.corr(F.when(early, F.col("a")), F.when(early, F.col("b"))).alias("first_half"), F.corr(F.when(~early, F.col("a")), F.when(~early, F.col("b"))).alias("second_half"))
     return halves.withColumn("change", F.col("second_half") - F.col("first_half"))

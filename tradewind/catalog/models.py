@@ -19,7 +19,7 @@ def unit_root_test(t):
 
 KPSS = """WITH m AS (SELECT series_id, avg(price) AS m, count(*) AS n FROM series GROUP BY series_id),
     e AS (SELECT s.series_id, n, price - m AS e, row_number() OVER w AS pos, sum(price - m) OVER (w ROWS UNBOUNDED PRECEDING) AS cs FROM series s JOIN m USING (series_id) WINDOW w AS (PARTITION BY s.series_id ORDER BY ts, id)),
-    p AS (SELECT a.series_id, a.pos - b.pos AS i, sum(a.e * b.e) AS p FROM e a JOIN e b ON a.series_id = b.series_id AND b.pos <= a.pos AND a.pos - b.pos <= 40 GROUP BY ALL),
+    p AS (SELECT a.series_id, a.pos - b.pos AS i, sum(a.e * b.e) AS p FROM e a JOIN e b ON a.series_id = b.series_id AND b.pos <= a.pos GROUP BY ALL),
     g AS (SELECT series_id, any_value(n) AS n, sum(cs * cs) AS eta FROM e GROUP BY series_id),
     c AS (SELECT g.series_id, n, eta, max(p.p) FILTER (i = 0) AS p0, floor(pow(any_value(n), 2 / 9) + 1e-9) AS cov FROM g JOIN p USING (series_id) GROUP BY series_id, n, eta),
     l AS (SELECT c.series_id, c.n, eta, p0, p0 / c.n + coalesce(sum(2 * p.p / c.n) FILTER (i BETWEEN 1 AND cov), 0) AS s0, coalesce(sum(i * 2 * p.p / c.n) FILTER (i BETWEEN 1 AND cov), 0) AS s1 FROM c JOIN p USING (series_id) GROUP BY c.series_id, c.n, eta, p0),
@@ -116,7 +116,7 @@ def company_impact_line(t):
 
 @query("cross_validation")
 def cross_validation(t):
-    return ml.cross_validate(company_training(t), ml.linear_regressor(COMPANY_FEATURES, "target"), "target")
+    return ml.cross_validate(company_training(t), ml.linear_regressor(COMPANY_FEATURES, "target"), "target", ["symbol"])
 
 
 @query("classification_metrics", """WITH s AS (SELECT toxic = 1 AS y, n_chars > 1000 AS p FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) AS n, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp,

@@ -124,14 +124,13 @@ def order_flow(t):
 
 
 @query("order_booking", """WITH z AS (SELECT *, floor(1e6 * abs(target_weight) / price) * CASE WHEN target_weight < 0 THEN -1 ELSE 1 END AS ts FROM order_flow),
-    f AS (SELECT z.*, p.shares AS held, p.entry_price AS entry, lag(ts) OVER (PARTITION BY z.symbol ORDER BY seq, z.symbol, k1, k2, k3) AS bf FROM z LEFT JOIN (SELECT * FROM positions WHERE shares > 0) p ON p.symbol = z.symbol WHERE ts <> 0),
+    f AS (SELECT z.*, p.shares AS held, p.entry_price AS entry, lag(ts) OVER (PARTITION BY z.symbol ORDER BY seq, z.symbol, k1, k2, k3) AS bf FROM z LEFT JOIN positions p ON p.symbol = z.symbol WHERE ts <> 0),
     b AS (SELECT *, ts - coalesce(bf, held, 0) AS traded FROM f)
     SELECT symbol, k1, k2, k3, CASE WHEN bf IS NULL AND held IS NULL THEN 'new_position' ELSE 'adjust_position' END AS action, CAST(ts AS BIGINT) AS target_shares, CAST(traded AS BIGINT) AS traded, abs(traded * price) AS turnover,
     CASE WHEN entry IS NULL THEN 0 ELSE (price - entry) * ts END AS unrealized_pnl, 1e6 - sum(abs(traded * price)) OVER (ORDER BY seq, symbol, k1, k2, k3 ROWS UNBOUNDED PRECEDING) AS cash FROM b WHERE traded <> 0""",
        uses="order_flow positions", rnd="turnover unrealized_pnl cash", places=1)
 def order_booking(t):
-    held = t.positions.where("shares > 0")
-    return T.book_orders(order_flow(t), held, CAPITAL, ORDER).select(
+    return T.book_orders(order_flow(t), t.positions, CAPITAL, ORDER).select(
         "symbol", "k1", "k2", "k3", "action", "target_shares", "traded", "turnover", "unrealized_pnl", "cash")
 
 
@@ -235,10 +234,10 @@ def balanced_portfolio(t):
     return T.balanced(company_signals(t).select("scenario", "symbol", "target_weight"), ["scenario"]).select("symbol", "weight")
 
 
-@query("conviction_score", """WITH p AS (SELECT scenario, sector, max(probability) AS p FROM company_impacts GROUP BY ALL), s AS (SELECT sector, avg(vulnerability_score) / 10 AS v FROM sector_impacts WHERE sector <> 'Utilities' GROUP BY sector)
+@query("conviction_score", """WITH p AS (SELECT scenario, sector, max(probability) AS p FROM company_impacts GROUP BY ALL), s AS (SELECT sector, avg(vulnerability_score) / 10 AS v FROM sector_impacts GROUP BY sector)
     SELECT scenario, sector, v AS sector_term, least(1.0, greatest(0.0, list_avg(list_filter([p, v], lambda x: x IS NOT NULL)))) AS conviction FROM p LEFT JOIN s USING (sector)""", uses="company_impacts sector_impacts", rnd="sector_term conviction")
 def conviction_score(t):
-    terms = t.sector_impacts.where("sector <> 'Utilities'").groupBy("sector").agg((F.avg("vulnerability_score") / 10).alias("sector_term"))
+    terms = t.sector_impacts.groupBy("sector").agg((F.avg("vulnerability_score") / 10).alias("sector_term"))
     return T.conviction(t.company_impacts, terms, ["scenario"]).select("scenario", "sector", "sector_term", "conviction")
 
 
@@ -282,30 +281,26 @@ def brand_returns(t):
 
 
 BRET = "r AS (SELECT *, price / lag(price) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM brand_prices)"
-BOOK = sorted(f"Brand#{i}" for i in range(1, 26))
 
 
 @query("return_covariance", f"""WITH {BRET} SELECT a.symbol AS "left", b.symbol AS "right", covar_samp(a.ret, b.ret) * 252 AS covariance FROM r a JOIN r b ON a.day = b.day AND a.symbol <= b.symbol
-    WHERE a.symbol IN ({', '.join(f"'{x}'" for x in BOOK)}) AND b.symbol IN ({', '.join(f"'{x}'" for x in BOOK)}) GROUP BY ALL""", uses="brand_prices", rnd="covariance")
+    GROUP BY ALL""", uses="brand_prices", rnd="covariance")
 def return_covariance(t):
-    return T.covariance(brand_returns(t), BOOK)
-
-
-TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    return T.covariance(brand_returns(t), T.names_of(brand_returns(t), "symbol"))
 
 
 @query("sector_correlation", f"""WITH {RETS}, s AS (SELECT sector, day, avg(ret) AS ret FROM rets GROUP BY ALL)
     SELECT a.sector AS "left", b.sector AS "right", corr(a.ret, b.ret) AS correlation FROM s a JOIN s b ON a.day = b.day AND a.sector <= b.sector GROUP BY ALL""", uses="prices", rnd="correlation")
 def sector_correlation(t):
     r = T.returns(t.prices, ["symbol", "sector"])
-    return T.covariance(r, TYPES, column="sector", correlate=True)
+    return T.covariance(r, T.names_of(r, "sector"), column="sector", correlate=True)
 
 
 @query("portfolio_weights")
 def portfolio_weights(t):
     r = brand_returns(t)
-    risk = {(x["left"], x["right"]): x["covariance"] for x in T.covariance(r, BOOK).collect()}  # pairs of the stated book
-    expected = r.where(F.col("symbol").isin(BOOK) & F.col("ret").isNotNull()).select("day", "symbol", F.col("ret").alias("expected"))
+    risk = {(x["left"], x["right"]): x["covariance"] for x in T.covariance(r, T.names_of(r, "symbol")).collect()}  # pairs of the book
+    expected = r.where(F.col("ret").isNotNull()).select("day", "symbol", F.col("ret").alias("expected"))
     return T.optimise(expected, risk)
 
 
@@ -425,10 +420,10 @@ def esg_adjusted_signals(t):
         j("esg_negative_factors", "; ").alias("negative"), j("esg_risk_factors", "; ").alias("risk"), "sdg_alignment_score", "esg_rationale")
 
 
-@query("base_sustainability", """SELECT symbol, sector, least(1.0, ln(market_cap) / 10) AS size_factor, 50 * least(1.0, ln(market_cap) / 10) * CASE sector WHEN 'Information Technology' THEN 1.2 WHEN 'Health Care' THEN 1.1 WHEN 'Industrials' THEN 0.9
-    WHEN 'Materials' THEN 0.8 WHEN 'Energy' THEN 0.7 ELSE 1.0 END AS base_score FROM (SELECT symbol, sector, market_cap / 1e8 AS market_cap FROM companies WHERE market_cap > 0)""", uses="companies", rnd="size_factor base_score")
+@query("base_sustainability", """SELECT symbol, sector, CASE WHEN market_cap > 0 THEN least(1.0, ln(market_cap) / 10) END AS size_factor, 50 * CASE WHEN market_cap > 0 THEN least(1.0, ln(market_cap) / 10) END * CASE sector WHEN 'Information Technology' THEN 1.2 WHEN 'Health Care' THEN 1.1 WHEN 'Industrials' THEN 0.9
+    WHEN 'Materials' THEN 0.8 WHEN 'Energy' THEN 0.7 ELSE 1.0 END AS base_score FROM (SELECT symbol, sector, nullif(greatest(market_cap, 0), 0) / 1e8 AS market_cap FROM companies)""", uses="companies", rnd="size_factor base_score")
 def base_sustainability(t):
-    rows = t.companies.where("market_cap > 0").select("symbol", "sector", (F.col("market_cap") / 1e8).alias("market_cap"))
+    rows = t.companies.select("symbol", "sector", (F.col("market_cap") / 1e8).alias("market_cap"))
     return E.base_sustainability(rows).drop("market_cap")
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tradewind.functions.quantiles import exact_quantiles, modes
 from tradewind.functions.rowwise import numeric_columns, text_columns
@@ -18,48 +19,59 @@ from tradewind.plans.topk import top_k
 
 
 def coerce_types(df: DataFrame, columns: Sequence[str] | None = None, share: float = 0.8) -> DataFrame:
-    """Text columns become numbers, else times, when more than 80 % of all rows parse."""
+    """Text columns become numbers, else times, when more than 80 % of all rows parse.
+
+    A number is an optional sign, digits with an optional point and an optional
+    exponent; suffixes as in ``12d`` and ``NaN`` are text.
+    """
     texts = list(columns) if columns is not None else text_columns(df)
     if not texts:
         return df
     tests = []
     for c in texts:
-        tests += [F.avg(F.col(c).try_cast("double").isNotNull().cast("double")).alias(f"{c}|n"),
+        tests += [F.avg(_number(c).isNotNull().cast("double")).alias(f"{c}|n"),
                   F.avg(F.col(c).try_cast("timestamp_ntz").isNotNull().cast("double")).alias(f"{c}|t")]
     row = df.agg(*tests).first()
     out = {}
     for c in texts:
         if (row[f"{c}|n"] or 0) > share:
-            out[c] = F.col(c).try_cast("double")
+            out[c] = _number(c)
         elif (row[f"{c}|t"] or 0) > share:
             out[c] = F.col(c).try_cast("timestamp_ntz")
     return df.withColumns(out) if out else df
 
 
+def _number(c: str) -> Column:
+    return F.when(F.trim(c).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.col(c).try_cast("double"))
+
+
 def apply_validators(df: DataFrame, validators: Mapping[str, Callable]) -> DataFrame:
     """Per-column validators: a Column -> Column function, or a pandas series function.
 
-    A pandas validator runs as a scalar Arrow function; where it fails on a
-    batch the batch is left as it is.
+    A pandas validator runs as a scalar Arrow function. If it fails on any part
+    of a column, the whole column is left as it is, whatever the batches were:
+    one pass asks, a second one applies it.
     """
     for name, validator in validators.items():
         if name not in df.columns:
             continue
         if getattr(validator, "on_pandas", False):
-            df = df.withColumn(name, _on_batches(validator, df.schema[name].dataType)(F.col(name)))
+            checked = _on_batches(validator, df.schema[name].dataType)(F.col(name))
+            if df.agg(F.bool_and(checked["ok"]).alias("ok")).first()["ok"]:
+                df = df.withColumn(name, checked["value"])
         else:
             df = df.withColumn(name, validator(F.col(name)))
     return df
 
 
 def _on_batches(validator: Callable, kind):
-    def run(values: pd.Series) -> pd.Series:
+    def run(values: pd.Series) -> pd.DataFrame:
         try:
-            return validator(values)
+            return pd.DataFrame({"value": validator(values), "ok": True})
         except Exception:
-            return values
+            return pd.DataFrame({"value": values, "ok": False})
 
-    return F.pandas_udf(run, kind)
+    return F.pandas_udf(run, StructType([StructField("value", kind), StructField("ok", BooleanType())]))
 
 
 def on_pandas(function):

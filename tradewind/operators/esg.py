@@ -158,10 +158,10 @@ def rationale() -> Column:
 
 
 def base_sustainability(companies: DataFrame, cap: str = "market_cap", sector: str = "sector") -> DataFrame:
-    """50 x min(1, ln(cap) / 10) x sector multiplier."""
+    """50 x min(1, ln(cap) / 10) x sector multiplier; NULL without a positive cap."""
     pairs = [x for name, m in dims.SUSTAINABILITY.items() for x in (F.lit(name), F.lit(m))]
     multiplier = F.coalesce(F.create_map(*pairs)[F.col(sector)], F.lit(1.0))
-    size = F.least(F.lit(1.0), F.log(F.when(F.col(cap) > 0, F.col(cap))) / 10)
+    size = F.when(F.col(cap) > 0, F.least(F.lit(1.0), F.log(F.col(cap)) / 10))
     return companies.withColumns({"size_factor": size, "base_score": 50 * size * multiplier})
 
 

@@ -15,8 +15,6 @@ from tradewind.operators import series
 from tradewind.plans.blocks import is_hot
 from tradewind.session import checkpointed
 
-SMALL_DIMENSION = 1_000_000
-
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard") -> DataFrame:
     """One row per column with centre and scale; zero scales become 1."""
@@ -68,14 +66,11 @@ def _levels(df: DataFrame, column: str, most: int) -> list | None:
 def ordinal_dimension(df: DataFrame, column: str, out: str) -> DataFrame:
     """Distinct values with their index in sorted order.
 
-    A long dimension is range-partitioned and numbered partition by partition;
-    it is checkpointed first, because the sampled ranges must not change
+    The dimension is range-partitioned and numbered partition by partition; it
+    is checkpointed first, because the sampled ranges must not change
     between the counting and the numbering pass.
     """
     values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    if df.agg(F.approx_count_distinct(column)).first()[0] <= SMALL_DIMENSION:
-        w = Window.partitionBy(F.lit(0)).orderBy(column)
-        return values.withColumn(out, F.row_number().over(w) - 1)
     ranged = checkpointed(values.repartitionByRange(column).withColumn("_p", F.spark_partition_id()))
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_p").count().withColumn("_off", F.coalesce(F.sum("count").over(before), F.lit(0)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.quantiles import exact_quantiles
 from tradewind.plans.topk import top_k
+from tradewind.session import checkpointed
 
 TREES, SAMPLE = 100, 256
 
@@ -21,20 +22,19 @@ def _average_path(n: float) -> float:
 
 
 def _samples(df: DataFrame, columns: Sequence[str], key: Sequence[str], trees: int, size: int, seed: int) -> DataFrame:
-    """``size`` rows per tree by seeded hashes: a thin slice of the rows first, then the trees."""
+    """``size`` rows per tree, drawn from all rows by seeded hashes; a row is copied only for trees that may take it."""
     rows = df.where(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)))
     n = max(1, rows.count())
 
-    def uniform(*parts):
-        return (F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / float(1 << 40)).cast("double")
+    def uniform(tree, *parts):
+        return (F.pmod(F.xxhash64(F.lit(seed + 1), tree, *parts), F.lit(1 << 40)) / float(1 << 40)).cast("double")
 
-    slice_rows = trees * size * 4
-    thin = rows.where(uniform(F.lit(seed), *key) < min(1.0, slice_rows / n)) if n > slice_rows else rows
-    share = min(1.0, 2.0 * size / min(n, slice_rows))
-    spread = thin.select(*[F.col(c).cast("double").alias(c) for c in columns], *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
-                         F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    # twice the wanted number on average: fewer than ``size`` are drawn once in 10^28 trees
+    share = min(1.0, 2.0 * size / n)
     keys = [f"_k{i}" for i in range(len(key))]
-    spread = spread.withColumn("_u", uniform(F.lit(seed + 1), F.col("tree"), *keys)).where(F.col("_u") < share)
+    spread = rows.select(*[F.col(c).cast("double").alias(c) for c in columns], *[F.col(k).alias(a) for k, a in zip(key, keys)])
+    hits = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda h: uniform(h, *[F.col(k) for k in keys]) < share)
+    spread = spread.withColumn("tree", F.explode(hits)).withColumn("_u", uniform(F.col("tree"), *[F.col(k) for k in keys]))
     return top_k(spread, ["tree"], [F.col("_u"), *map(F.col, keys)], size)
 
 
@@ -106,6 +106,6 @@ def scored(df: DataFrame, columns: Sequence[str], nodes: DataFrame, size: int =
 
 def isolation_outliers(df: DataFrame, columns: Sequence[str], key: Sequence[str], contamination: float = 0.1, **kw) -> DataFrame:
     """Flag rows whose score lies above the (1 - contamination) quantile."""
-    out = scored(df, columns, grow(df, columns, key, **kw), kw.get("size", SAMPLE)).persist()
+    out = checkpointed(scored(df, columns, grow(df, columns, key, **kw), kw.get("size", SAMPLE)))
     edge = exact_quantiles(out, ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
     return out.withColumn("outlier", F.coalesce(F.col("anomaly_score") > F.lit(edge), F.lit(False)))

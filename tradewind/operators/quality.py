@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.rowwise import numeric_columns, text_columns
 
-APPROX_DISTINCT_ABOVE = 1_000_000
-
 
 def profile_row(df: DataFrame) -> dict:
     """All per-column statistics of a frame in one aggregation pass."""
@@ -109,15 +108,11 @@ def recommendations(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct non-null values per column; a sketch decides when the exact count is affordable."""
-    rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    rows = []
-    for c in columns:
-        n = rough[c]
-        if n <= APPROX_DISTINCT_ABOVE:
-            n = df.where(F.col(c).isNotNull()).select(c).distinct().count()
-        rows.append((c, n))
-    return df.sparkSession.createDataFrame(rows, "column string, distinct_values bigint")
+    """Exact number of distinct non-null values per column; copies merge before each shuffle."""
+    parts = [
+        df.where(F.col(c).isNotNull()).select(c).distinct().agg(F.count("*").alias("distinct_values"))
+        .select(F.lit(c).alias("column"), "distinct_values") for c in columns]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def redundant_features(df: DataFrame, columns: Sequence[str], limit: float = 0.95) -> list[str]:

@@ -295,6 +295,14 @@ def backtest(weights: DataFrame, prices: DataFrame, cost: float = 0.001, **kw) -
     return grown.withColumn("value", F.when(F.col("_lost") == 1, 0.0).otherwise(F.exp("_g"))).drop("_g", "_lost")
 
 
+def names_of(rets: DataFrame, column: str, most: int = 500) -> list[str]:
+    """All names of a book in order. A book is a bounded list: more than ``most`` names are an error, not a cut."""
+    found = [r[0] for r in rets.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} names")
+    return sorted(found)
+
+
 def covariance(rets: DataFrame, symbols: Sequence[str], annual: float = 252.0, column: str = "symbol", ts: str = "day", correlate: bool = False) -> DataFrame:
     """Covariance (or correlation) of every pair of a stated list of symbols.
 
@@ -314,25 +322,59 @@ def optimise(expected: DataFrame, risk: dict[tuple[str, str], float], keys: Sequ
     """Weights per rebalance date maximising mu'w - aversion/2 w'Cw inside the limits.
 
     Dates are solved in parallel; one date holds one row per symbol of the
-    stated list behind ``risk``. Projected gradient steps with a shrink onto
-    the gross and net limits.
+    stated list behind ``risk``. Accelerated gradient steps, each with the
+    exact projection onto the single, gross and net limits.
     """
     keys = list(keys)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in expected.schema.fields if f.name in keys)
+    single, gross, net = limits["single"], limits["gross"], limits["net"]
+    names = sorted({a for pair in risk for a in pair})
+    index = {a: i for i, a in enumerate(names)}
+    matrix = np.zeros((len(names) + 1, len(names) + 1))  # the last row stands for symbols without a covariance
+    for (a, b), v in risk.items():
+        matrix[index[a], index[b]] = matrix[index[b], index[a]] = v
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = list(pdf["symbol"])
-        mu = pdf["expected"].to_numpy(dtype=float)
-        cov = np.array([[risk.get((a, b), risk.get((b, a), 0.0)) for b in names] for a in names])
-        step = 1.0 / (aversion * max(np.linalg.eigvalsh(cov).max(), 1e-6) + 1.0)
-        w = np.zeros(len(names))
-        for _ in range(300):
-            w = np.clip(w + step * (mu - aversion * cov @ w), -limits["single"], limits["single"])
-            w *= min(1.0, limits["gross"] / max(np.abs(w).sum(), 1e-12))
-            over = w.sum() - limits["net"]
-            if over > 0:
-                longs = np.where(w > 0, w, 0.0)
-                w = w - longs * over / longs.sum()
+        at = np.array([index.get(a, len(names)) for a in pdf["symbol"]])
+        mu, cov = pdf["expected"].to_numpy(dtype=float), matrix[np.ix_(at, at)]
+
+        def shrunk(u):
+            """Clip u after the least shrink towards zero that meets the gross limit; exact on its linear pieces."""
+            size = np.abs(u)
+            if np.minimum(size, single).sum() <= gross:
+                return np.clip(u, -single, single)
+            edges = np.unique(np.concatenate(([0.0], size, np.maximum(size - single, 0.0))))
+            sums = np.clip(size[None, :] - edges[:, None], 0.0, single).sum(axis=1)
+            k = int(np.flatnonzero(sums >= gross)[-1])
+            cut = edges[k]
+            if k + 1 < len(edges) and sums[k] > sums[k + 1]:
+                cut += (sums[k] - gross) / (sums[k] - sums[k + 1]) * (edges[k + 1] - edges[k])
+            return np.sign(u) * np.clip(size - cut, 0.0, single)
+
+        def project(v):
+            """Nearest point inside all limits: the multiplier of the net limit by bisection."""
+            w = shrunk(v)
+            if w.sum() <= net:
+                return w
+            low, high = 0.0, float(np.abs(v).max() + single + gross + abs(net)) * 2
+            for _ in range(60):
+                mid = (low + high) / 2
+                w = shrunk(v - mid)
+                low, high = (mid, high) if w.sum() > net else (low, mid)
+            return shrunk(v - high)
+
+        step = 1.0 / (aversion * max(np.linalg.eigvalsh(cov).max(), 0.0) + 1e-9)
+        step = min(step, 1.0 / max(np.abs(mu).max(), 1e-9))
+        w = ahead = np.zeros(len(at))
+        t = 1.0
+        for _ in range(2000):
+            new = project(ahead + step * (mu - aversion * cov @ ahead))
+            t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            ahead = new + (t - 1) / t_new * (new - w)
+            done = np.abs(new - w).max() < 1e-12
+            w, t = new, t_new
+            if done:
+                break
         out = pdf[[*keys, "symbol"]].copy()
         out["weight"] = w
         return out[np.abs(w) > 0.001]
