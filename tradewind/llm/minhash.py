@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     its text, its component is named by the ids that are there, and without
     any it is null and the row is kept.
 
-    Bands propose pairs: first every node with the node of its bucket that it
+    Bands propose pairs: first every node with the center of a bucket that it
     meets most often, then, in buckets that still hold two components, all
     pairs between different components block by block, as far as signatures
     allow similarity (six deviations below the threshold). Pairs are confirmed
@@ -248,28 +248,32 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> tup
     band = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * band + 1, band)) for k in range(BANDS)])
     members = nodes.select("node", F.explode(keys).alias("key"))
-    buckets = stored(members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").drop("z"), "buckets")
+    buckets = stored(members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = stored(members.join(buckets, "key"), "members")
-
-    met = members.filter("node > a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("times"))
+    # a bucket's center is the member that meets the most others in all its buckets: an original rather than one of its copies
+    meets = stored(members.groupBy("node").agg(F.sum("size").alias("meets")), "meets")
+    central = stored(
+        members.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("c")).select("key", F.col("c.meets").alias("most"), F.col("c.node").alias("a")), "centers")
+    met = (
+        members.join(central, "key").filter("node != a").groupBy("a", F.col("node").alias("b"), "most").agg(F.count("*").alias("times")))
     sized = nodes.select("node", "n")
-    best = met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    best = met.groupBy("b").agg(F.max(F.struct("times", "most", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     first = (
         best.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b")
         .filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b"))
     links = _confirmed(first, nodes, ids, num, den)
     roots = components(links, "a", "b")
 
-    rooted = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_keys = stored(
-        rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("size")).filter("r < s").select("key", "size"), "unresolved")
+        rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max("size").alias("size")).filter("r < s").select("key", "size"), "unresolved")
     if mixed_keys.count():
         share = num / den
         size = BANDS * ROWS
         least = int(np.floor(size * share - 6 * np.sqrt(size * share * (1 - share))))
         count = F.ceil(F.col("size") / BLOCK)
         spread = (
-            rooted.join(mixed_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+            rooted.drop("size").join(mixed_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
             .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root")
             .join(nodes.select("node", "sig"), "node"))
 
@@ -301,8 +305,9 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> tup
 
         proposed = (
             spread.select("key", "x", "y", "own", "node", "root", "sig").repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y")
-            .mapInArrow(crossed, PAIRED).distinct().join(stored(first, "tried"), ["a", "b"], "left_anti"))
-        links = links.union(_confirmed(proposed, nodes, ids, num, den))
-        roots = components(links, "a", "b")
+            .mapInArrow(crossed, PAIRED).distinct())
+        more = _confirmed(proposed, nodes, ids, num, den)
+        if not more.isEmpty():
+            roots = components(links.union(more), "a", "b")
 
     return rows, classes, roots
