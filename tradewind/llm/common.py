@@ -15,6 +15,22 @@ _ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: Of a worker process: the models of one operator.
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What this worker keeps for an operator from task to task.
+
+    Workers serve stage after stage. The models of one operator go when
+    another's are asked for: memory holds the largest of them, not their sum.
+    """
+    if operator not in _kept:
+        _kept.clear()
+        _kept[operator] = {}
+    return _kept[operator]
+
+
 def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 

@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.llm.automaton import SuffixAutomaton
-from tradewind.llm.common import alnum_words, filesystem, scratch, workers_import
+from tradewind.llm.common import alnum_words, filesystem, kept, scratch, workers_import
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")  # of the text as it is, A-Z included
-_loaded: dict[str, "Matcher"] = {}
 
 
 class Matcher:
@@ -114,8 +113,8 @@ def sharded_items(items: DataFrame, item_id: str = "item_id", text: str = "text"
 
 def _matcher(folder: str, shard: int, window: int) -> Matcher | None:
     """The matcher of a shard; a worker keeps the last four it has built."""
-    key = f"{folder}/{shard}/{window}"
-    if key not in _loaded:
+    loaded, key = kept("matchers"), f"{folder}/{shard}/{window}"
+    if key not in loaded:
         from pyarrow import fs as pafs
         from pyarrow import parquet
 
@@ -126,10 +125,10 @@ def _matcher(folder: str, shard: int, window: int) -> Matcher | None:
         rows = [
             r for info in fs.get_file_info(pafs.FileSelector(path)) if info.path.endswith(".parquet")
             for r in parquet.ParquetFile(fs.open_input_file(info.path)).read().to_pylist()]
-        while len(_loaded) >= 4:
-            _loaded.pop(next(iter(_loaded)))
-        _loaded[key] = Matcher(sorted((r["item"], r["words"].split()) for r in rows), window)
-    return _loaded[key]
+        while len(loaded) >= 4:
+            loaded.pop(next(iter(loaded)))
+        loaded[key] = Matcher(sorted((r["item"], r["words"].split()) for r in rows), window)
+    return loaded[key]
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tradewind.llm.automaton import SuffixAutomaton
-from tradewind.llm.common import encoded, workers_import
+from tradewind.llm.common import encoded, kept, workers_import
 
 #: Bound of the labelled sample: rows per language, bytes of each row and of all languages together.
 SAMPLE_ROWS, ROW_BYTES, TOTAL_BYTES = 64, 1024, 160_000
 #: Bytes parsed as one stretch; the last phrase of a stretch ends there.
 STRETCH = 1024
-_tables: dict[int, "PhraseTable"] = {}
 
 #: Bytes that part words: ASCII other than letters, as one space; A-Z become a-z, other bytes stay.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -83,30 +82,37 @@ class PhraseTable:
     def __init__(self, samples: Samples):
         self.languages = samples.languages
         used = sorted({b for texts in samples.texts for t in texts for b in t})
-        self.symbol = np.zeros(256, np.int64)  # 0: a byte of no language
+        self.symbol = np.zeros(256, np.int32)  # 0: a byte of no language
         self.symbol[used] = np.arange(1, len(used) + 1)
         self.width = len(used) + 1
-        machines = []
-        for texts in samples.texts:
-            machine = SuffixAutomaton()
-            for t in texts:
-                machine.add(t)
-            machines.append(machine)
-        sizes = [len(m.next) + 1 for m in machines]
-        self.roots = np.concatenate(([0], np.cumsum(sizes)))[:-1].astype(np.int64) if sizes else np.zeros(0, np.int64)
-        # a missing move ends the phrase; it is stored as -1 - (where the byte leads from the root)
-        table = np.zeros((sum(sizes), self.width), np.int32)
-        for root, machine in zip(self.roots.tolist(), machines):
-            alone = root + len(machine.next)  # a phrase of one byte that the language lacks
-            from_root = np.full(self.width, alone, np.int64)
-            for b, target in machine.next[0].items():
-                from_root[self.symbol[b]] = root + target
-            table[root:alone + 1] = -from_root - 1
-            table[root] = from_root
-            for s, moves in enumerate(machine.next):
-                for b, target in moves.items():
-                    table[root + s, self.symbol[b]] = root + target
-        self.moves = table.ravel()
+        roots, tables, root = [], [], 0
+        for texts in samples.texts:  # one automaton at a time is in memory
+            tables.append(self._moves(texts, root))
+            roots.append(root)
+            root += len(tables[-1])
+        self.roots = np.array(roots, np.int64)
+        self.moves = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+
+    def _moves(self, texts: tuple[bytes, ...], root: int) -> np.ndarray:
+        """The moves of one language's automaton, whose states count from ``root``.
+
+        A missing move ends the phrase; it is stored as -1 - (where the byte
+        leads from the root).
+        """
+        machine = SuffixAutomaton()
+        for t in texts:
+            machine.add(t)
+        alone = root + len(machine.next)  # a phrase of one byte that the language lacks
+        from_root = np.full(self.width, alone, np.int32)
+        for b, target in machine.next[0].items():
+            from_root[self.symbol[b]] = root + target
+        table = np.empty((len(machine.next) + 1, self.width), np.int32)
+        table[:] = -from_root - 1
+        table[0] = from_root
+        for s, moves in enumerate(machine.next):
+            for b, target in moves.items():
+                table[s, self.symbol[b]] = root + target
+        return table
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns).
@@ -125,7 +131,7 @@ class PhraseTable:
         rows = np.zeros((len(stretches), int(length[0])), np.uint8)
         flat = np.frombuffer(b"".join(s for _, s in stretches), np.uint8)
         rows[np.arange(rows.shape[1])[None, :] < length[:, None]] = flat
-        columns = self.symbol[rows.T].astype(np.int32)
+        columns = self.symbol[rows.T]
         live = np.searchsorted(-length, -np.arange(rows.shape[1]), side="left")  # stretches longer than k
         width = np.int32(self.width)
         for j, root in enumerate(self.roots.tolist()):
@@ -142,11 +148,11 @@ class PhraseTable:
 
 
 def _table(samples: Samples) -> PhraseTable:
-    key = samples.mark()
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = PhraseTable(samples)
-    return _tables[key]
+    tables, key = kept("phrase tables"), samples.mark()
+    if key not in tables:
+        tables.clear()
+        tables[key] = PhraseTable(samples)
+    return tables[key]
 
 
 def _has_letter(text: str | None) -> bool:
@@ -163,11 +169,11 @@ def judged(texts: list[str | None], samples: Samples) -> tuple[list[str], list[f
     table = _table(samples)
     known = [_has_letter(t) for t in texts]
     raws = [letters_of(t) if k else b"" for t, k in zip(texts, known)]
-    # about a million bytes advance at a time, so that states and counts stay in the cache and memory is bounded
+    # texts of some million bytes advance at a time, so that memory is bounded
     counts, at = np.zeros((len(texts), len(table.languages)), np.int64), 0
     while at < len(raws):
         end, size = at, 0
-        while end < len(raws) and (end == at or size + len(raws[end]) <= 8_000_000):
+        while end < len(raws) and (end == at or size + len(raws[end]) <= 4_000_000):
             size += len(raws[end])
             end += 1
         counts[at:end] = table.phrases(raws[at:end])

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import components, partitions, space_words, stored, workers_import
+from tradewind.llm.common import components, kept, partitions, space_words, stored, workers_import
 
 BANDS, ROWS = 32, 4  # a pair at a similarity of 0.75 meets in no band with probability (1 - 0.75^4)^32 = 5e-6
 SHINGLE = 5
@@ -40,13 +40,11 @@ class WordHashes(dict):
         return found
 
 
-_hashes: list[WordHashes] = []
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if not _hashes:
-        _hashes.append(WordHashes())
-    return np.fromiter(map(_hashes[0].__getitem__, words), np.uint64, len(words))
+    held = kept("word hashes")
+    if not held:
+        held["all"] = WordHashes()
+    return np.fromiter(map(held["all"].__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

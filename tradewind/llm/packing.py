@@ -11,9 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import encoded, stored, workers_import
+from tradewind.llm.common import encoded, kept, stored, workers_import
 
-_tokenizers: dict[str, "ChunkIds"] = {}
 _PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 _MARKS = ".,;:!?|()\"-"
 
@@ -86,9 +85,10 @@ class ChunkIds(dict):
 
 
 def ids_of(path: str) -> ChunkIds:
-    if path not in _tokenizers:
-        _tokenizers[path] = ChunkIds(path)
-    return _tokenizers[path]
+    held = kept("chunk ids")
+    if path not in held:
+        held[path] = ChunkIds(path)
+    return held[path]
 
 
 class Bins:
