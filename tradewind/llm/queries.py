@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import ann, decontaminate, language, licenses, lm, minhash, packing, substring, urls, warc
+from tradewind.llm import ann, credentials, decontaminate, language, licenses, lm, minhash, negatives, packing, periodic, substring, urls, warc
 from tradewind.llm.common import workers_import
 from tradewind.session import ready
 
@@ -191,6 +191,80 @@ def op10(table):
     """Host, path, rule and verdict of every page."""
     return urls.judged(table("pages"))
 
+@query("op11_periodic_runs")
+def op11(table):
+    """Periodic runs of every document, after the tail of some was made to repeat."""
+    found = periodic.periodic_runs(periodic.repeated_tail(table("documents")))
+    best = periodic.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def _matches_sql(name: str, number: int, kind: credentials.Kind) -> str:
+    pattern = kind.pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, source, {number} AS kind, '{name}' AS name, unnest(string_split_regex(text, '{pattern}')) AS gap,
+  unnest(regexp_extract_all(text, '{pattern}')) AS found, unnest(regexp_extract_all(text, '{pattern}', {kind.group})) AS value,
+  unnest(range(len(regexp_extract_all(text, '{pattern}')) + 1)) AS nr
+FROM d WHERE regexp_matches(text, '{pattern}')"""
+
+
+_SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+parts AS ({" UNION ALL ".join(_matches_sql(k.name, n, k) for n, k in enumerate(credentials.KINDS))}),
+placed AS (
+  SELECT doc_id, source, kind, name, value, length(found) AS n,
+    sum(length(gap) + coalesce(length(found), 0)) OVER (PARTITION BY doc_id, kind ORDER BY nr ROWS UNBOUNDED PRECEDING) AS stop
+  FROM parts),
+found AS (
+  SELECT doc_id, source, kind, name, value, CAST(stop - n AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed
+  WHERE n IS NOT NULL AND CASE name WHEN 'assign' THEN length(value) >= 6 WHEN 'login' THEN length(value) >= 6
+    WHEN 'mixed' THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 10 ELSE true END),
+owned AS (
+  SELECT value, count(DISTINCT doc_id) AS repositories, count(DISTINCT coalesce('=' || source, 'none')) AS owners FROM found GROUP BY value),
+kept AS (
+  SELECT f.*, max(stop) OVER (PARTITION BY doc_id ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+  FROM found AS f JOIN owned USING (value) WHERE kind < 3 OR (owners = 1 AND repositories < 10)),
+spans AS (SELECT *, name || ':' || start || ':' || stop AS span FROM kept WHERE kind < 3 OR reached IS NULL OR reached < stop),
+texts AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN texts USING (doc_id)"""
+
+
+@query("op12_secret_scan", _SECRETS_SQL)
+def op12(table):
+    """Secrets of every document; a document is a repository, its source the owner."""
+    return credentials.reported(*credentials.findings(table("documents"), repository="doc_id", owner="source"))
+
+
+@query("op13_hard_negatives", """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+a AS (SELECT * FROM e WHERE vec_id % 50 = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, e.vec_id AS other, a.label = e.label AS same, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+  FROM a JOIN e ON a.vec_id <> e.vec_id),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM positives AS p JOIN scores AS s ON p.anchor_id = s.anchor_id AND NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) <= 3""")
+def op13(table):
+    """Hard negatives of every fiftieth vector; every seventh label is moved by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table("embeddings").withColumn("label", moved), every=50)
+
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
