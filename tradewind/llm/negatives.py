@@ -44,12 +44,13 @@ class Bucket:
         apart = np.arccos(min(1.0, least / (length * self.longest) * (1 - 1e-9)))
         own = np.arccos(np.clip(q[look] / length, -1, 1))
         low, high = np.cos(np.minimum(np.pi, own + apart)) - 1e-9, np.cos(np.maximum(0, own - apart)) + 1e-9
-        ranges = [(np.searchsorted(self.values[f], a), np.searchsorted(self.values[f], b, side="right")) for f, a, b in zip(look, low, high)]
-        at = min(range(len(look)), key=lambda i: ranges[i][1] - ranges[i][0])
-        a, b = ranges[at]
-        if 2 * (b - a) > len(self.ids):
+        # the largest coordinate has the narrowest range of angles: if its list is read nearly whole, so are the others
+        a, b = np.searchsorted(self.values[look[0]], (low[0], high[0]))
+        if 4 * (b - a) > 3 * len(self.ids):
             return None
-        rows = self.lists[look[at], a:b]
+        ranges = [np.searchsorted(self.values[f], (x, y)) for f, x, y in zip(look, low, high)]
+        at = min(range(len(look)), key=lambda i: ranges[i][1] - ranges[i][0])
+        rows = self.lists[look[at], ranges[at][0]:ranges[at][1]]
         near = self.unit[rows[:, None], look]
         return rows[((near >= low) & (near <= high)).all(axis=1)]
 
@@ -107,9 +108,11 @@ def other_labels(own: list[Bucket], label: int, q: np.ndarray, bands: list[tuple
         limits = [max(low, x[-1][0]) if len(x) == k else low for (low, _), x in zip(bands, best)]
         scores, ids, labels = b.verified(b.candidates(q, length, float(min(limits)), look), q)
         count += len(ids)
+        near = np.flatnonzero((scores >= min(limits)) & (labels != label))
+        scores, ids = scores[near], ids[near]
         for n, (_, high) in enumerate(bands):
-            within = (scores >= limits[n]) & (scores <= high) & (labels != label)
-            if within.any():
+            within = np.flatnonzero((scores >= limits[n]) & (scores <= high))
+            if len(within):
                 best[n] = _first(best[n], scores[within], ids[within], k)
     return best, count
 
