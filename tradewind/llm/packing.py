@@ -158,8 +158,9 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     alone. Each task packs what it tokenizes, with ``bins`` bins open. What
     lies in bins that were still open at its end is packed again by a
     ``gather``-th of the tasks, round after round, until one task's worth is
-    left: at most ``bins`` sequences of the whole result are short for want of
-    pieces. Rows with equal or null ids are documents of their own.
+    left. Best fit with bounded space may need 1.7 times the fewest sequences
+    that an offline packing takes; ``bins`` of the last round may be short for
+    want of pieces. Rows with equal or null ids are documents of their own.
     """
     spark = docs.sparkSession
     workers_import(spark)
