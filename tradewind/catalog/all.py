@@ -1,3 +1,3 @@
 """Import every query module."""
 
-from tradewind.catalog import analytics, domain, live, models, preparation, sources, timeseries, trading  # noqa: F401
+from tradewind.catalog import analytics, connected, domain, live, models, preparation, sources, timeseries, trading  # noqa: F401
