@@ -17,6 +17,16 @@ def unit_root_test(t):
     return ST.unit_root(t.series, "price")
 
 
+@query("unit_root_fixed_lag", """WITH x AS (SELECT series_id, price, price - lag(price) OVER w AS d, lag(price) OVER w AS l, row_number() OVER w AS pos FROM series WINDOW w AS (PARTITION BY series_id ORDER BY ts, id)),
+    r AS (SELECT series_id, d AS y, l AS a, lag(d) OVER (PARTITION BY series_id ORDER BY pos) AS b FROM x),
+    s AS (SELECT series_id, count(*) AS m, var_pop(y) AS yy, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb FROM r WHERE b IS NOT NULL GROUP BY series_id),
+    f AS (SELECT *, aa * bb - ab * ab AS det, (ay * bb - ab * yb) / (aa * bb - ab * ab) AS beta, (yb * aa - ab * ay) / (aa * bb - ab * ab) AS other FROM s)
+    SELECT series_id, CAST(1 AS BIGINT) AS used_lag, beta / sqrt((yy - beta * ay - other * yb) / (m - 3) * bb / det) AS statistic FROM f WHERE m >= 4""", uses="series", rnd="statistic")
+def unit_root_fixed_lag(t):
+    """The statistic at one lag; its normal equations are three sums of squares and three of products. Shorter series have none."""
+    return ST.unit_root(t.series, "price", max_lag=1, choose=False).select("series_id", "used_lag", "statistic")
+
+
 KPSS = """WITH m AS (SELECT series_id, avg(price) AS m, count(*) AS n FROM series GROUP BY series_id),
     e AS (SELECT s.series_id, n, price - m AS e, row_number() OVER w AS pos, sum(price - m) OVER (w ROWS UNBOUNDED PRECEDING) AS cs FROM series s JOIN m USING (series_id) WINDOW w AS (PARTITION BY s.series_id ORDER BY ts, id)),
     p AS (SELECT a.series_id, a.pos - b.pos AS i, sum(a.e * b.e) AS p FROM e a JOIN e b ON a.series_id = b.series_id AND b.pos <= a.pos GROUP BY ALL),

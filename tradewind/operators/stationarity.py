@@ -1,8 +1,9 @@
 """Unit-root and stationarity tests for many series at once.
 
-Both tests need only sums of lagged products. Those sums are ordinary
-aggregates with partial results per task, so a single very long series is
-spread like any other; only a small matrix per series reaches Python.
+Both tests need only sums of lagged products. A series is cut into blocks of
+rows, each with the rows before it that its lags reach into; a block gives its
+sums as rows (key, i, sum), which add up like any others. So a single very long
+series is spread like any other, and the plan is the same whatever the lags.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.operators.series import KEYS, ORDER
-from tradewind.plans.blocks import attach, is_hot, over_blocks, running, with_position
+from tradewind.plans.blocks import attach, blocks_of, is_hot, running, with_position
+
+#: Rows of a block at least; more where a block's sums would outnumber a sixteenth of its rows.
+BLOCK_ROWS = 4096
 
 # MacKinnon's response surface for one series with a constant.
 TAU_STAR, TAU_MIN, TAU_MAX = -1.61, -18.83, 2.74
@@ -33,46 +37,80 @@ def _centred(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[st
     return with_position(joined, keys, order, **kw)
 
 
-def _gram_solver(depth: int, choose: bool):
-    """Batch function over per-series product sums: lag choice, or the test statistic."""
-
-    def solve(batches):
-        for pdf in batches:
-            picks, stats = [], []
-            for sums, rows, most in zip(pdf["_g"], pdf["_rows"], pdf["_lag"]):
-                full = np.zeros((depth + 3, depth + 3))
-                full[np.triu_indices(depth + 3)] = sums
-                full = full + np.triu(full, 1).T
-                target = depth + 2
-
-                def fit(p):
-                    x, y = full[: p + 2, : p + 2], full[: p + 2, target]
-                    inverse = np.linalg.pinv(x)
-                    beta = inverse @ y
-                    return beta, inverse, max(full[target, target] - beta @ y, 1e-300)
-
-                if choose:
-                    aic = [rows * math.log(fit(p)[2] / rows) + 2 * (p + 2) for p in range(int(most) + 1)]
-                    picks.append(int(np.argmin(aic)))
-                else:
-                    p = int(most)
-                    beta, inverse, ssr = fit(p)
-                    free = rows - (p + 2)
-                    stats.append(beta[1] / math.sqrt(ssr / free * inverse[1, 1]) if free > 0 else float("nan"))
-            keys = pdf.drop(columns=["_g", "_rows", "_lag"])
-            yield keys.assign(_lag=picks) if choose else keys.assign(used_lag=pdf["_lag"], statistic=stats)
-
-    return solve
-
-
-def _sums(df: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
-    """Product sums of (1, level, lagged differences, difference) over rows past the lag of their series."""
-    kept = df.where(F.col("_pos") > F.col("_lag"))
-    terms = [F.lit(1.0), F.col("_level")]
-    terms += [F.when(F.col("_lag") >= i, F.col(f"_d{i}")).otherwise(0.0) for i in range(1, depth + 1)]
-    terms.append(F.col("_d0"))
-    products = [F.sum(terms[i] * terms[j]) for i in range(len(terms)) for j in range(i, len(terms))]
-    return kept.groupBy(*keys).agg(F.array(*products).alias("_g"), F.count("*").alias("_rows"), F.first("_lag").alias("_lag"))
+def _fields(df: DataFrame, keys: Sequence[str]) -> str:
+    kinds = dict(df.dtypes)
+    return "".join(f"`{k}` {kinds[k]}, " for k in keys)
+
+
+def _block_sums(base: DataFrame, keys: Sequence[str], reach: int, rows: int, sums) -> DataFrame:
+    """(keys, _i, _v): what ``sums`` gives for each block, added up per key and index.
+
+    ``sums(x, first, start, lag)`` sees the values of a block behind those it
+    reaches into, the place of its own first value among them, that value's
+    position in the series, and the series' lag.
+    """
+    names = list(keys)
+
+    def of_block(group: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        at = np.argsort(part.column("_pos").to_numpy(), kind="stable")
+        pos, x = part.column("_pos").to_numpy()[at], part.column("_e").to_numpy()[at]
+        first = int(np.searchsorted(pos, group[-1].as_py() * rows))
+        index, value = sums(x, first, int(pos[first]), int(part.column("_lag")[0].as_py())) if first < len(pos) else (np.empty(0, np.int64), np.empty(0))
+        out = {k: pa.repeat(g, len(index)) for k, g in zip(names, group)}
+        return pa.table(out | {"_i": pa.array(index, pa.int64()), "_v": pa.array(value, pa.float64())})
+
+    placed = blocks_of(base.select(*names, "_pos", "_e", "_lag"), reach, rows)
+    found = placed.groupBy(*names, "_blk").applyInArrow(of_block, f"{_fields(base, names)}_i bigint, _v double")
+    return found.groupBy(*names, "_i").agg(F.sum("_v").alias("_v"))
+
+
+def _normal_sums(x: np.ndarray, first: int, start: int, lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Upper triangle of the products of (1, level, lag differences, difference); the series' first values at -1, -2, ...
+
+    Rows count from position lag + 1 on, where all differences exist.
+    """
+    d, skip = np.diff(x), max(0, lag + 1 - start)
+    own = np.arange(first + skip, len(x))  # places of the rows' values; a row's difference is d[place - 1]
+    full = np.zeros((lag + 3, lag + 3))
+    for part in np.array_split(own, max(1, len(own) // 8192)):
+        if len(part):
+            past = np.lib.stride_tricks.sliding_window_view(d, lag + 1)[part - 1 - lag]  # oldest first, the row's own difference last
+            terms = np.column_stack([np.ones(len(part)), x[part - 1], past[:, -2::-1], past[:, -1]])
+            full += terms.T @ terms
+    value = full[np.triu_indices(lag + 3)]
+    index = np.arange(len(value))
+    if start == 0:
+        head = x[:lag + 2]
+        index, value = np.concatenate([index, -1 - np.arange(len(head))]), np.concatenate([value, head])
+    return index, value
+
+
+def _solved(pieces: dict[int, float], lag: int, n: int, choose: bool) -> tuple[int, float]:
+    """(lag, t value of the level): the lag of least AIC on common rows if one is to be chosen, then the fit on all its rows."""
+    size = lag + 3
+    full = np.zeros((size, size))
+    full[np.triu_indices(size)] = [pieces[i] for i in range(size * (size + 1) // 2)]
+    full = full + np.triu(full, 1).T
+    head = np.array([pieces[-1 - i] for i in range(min(lag + 2, n))])
+
+    def fit(g, p):
+        x, y = g[: p + 2, : p + 2], g[: p + 2, -1]
+        inverse = np.linalg.pinv(x)
+        beta = inverse @ y
+        return beta, inverse, max(g[-1, -1] - beta @ y, 1e-300)
+
+    best = lag
+    if choose:
+        rows = n - 1 - lag
+        best = int(np.argmin([rows * math.log(fit(full, p)[2] / rows) + 2 * (p + 2) for p in range(lag + 1)]))
+    keep = [*range(best + 2), size - 1]
+    g, d = full[np.ix_(keep, keep)], np.diff(head)
+    for t in range(best + 1, lag + 1):  # rows that the longest lag had left out lie among the first values
+        row = np.array([1.0, head[t - 1], *d[t - 1 - best:t - 1][::-1], d[t - 1]])
+        g = g + np.outer(row, row)
+    beta, inverse, ssr = fit(g, best)
+    free = n - 1 - best - (best + 2)
+    return best, float(beta[1] / math.sqrt(ssr / free * inverse[1, 1])) if free > 0 else float("nan")
 
 
 def unit_root_p(statistic: Column) -> Column:
@@ -93,57 +131,65 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
 
 
-def unit_root(df: DataFrame, column: str, keys=KEYS, order=ORDER, max_lag: int | None = None, **kw) -> DataFrame:
-    """Augmented Dickey-Fuller test with constant, lag by AIC; stationary when p < 0.05."""
+def unit_root(df: DataFrame, column: str, keys=KEYS, order=ORDER, max_lag: int | None = None, choose: bool = True, **kw) -> DataFrame:
+    """Augmented Dickey-Fuller test with constant; stationary when p < 0.05.
+
+    The lag is the one of least AIC up to ``max_lag`` (by the length of the
+    series if none is given), or ``max_lag`` itself without ``choose``. Series
+    too short for any lag have no row.
+    """
     keys, order = list(keys), list(order)
     kw = {**kw, "hot": is_hot(df, keys, kw.get("hot_rows"))}
     base = _centred(df, column, keys, order, **kw)
     rule = F.least(F.floor(F.col("_n") / 2) - 2, F.ceil(12 * F.pow(F.col("_n") / 100.0, F.lit(0.25))))
     base = base.withColumn("_lag", rule.cast("int") if max_lag is None else F.least(rule, F.lit(max_lag)).cast("int")).where("_lag >= 0")
-    depth = base.agg(F.max("_lag")).first()[0]
-    if depth is None:
-        return df.sparkSession.createDataFrame([], f"{', '.join(f'{k} {dict(df.dtypes)[k]}' for k in keys)}, used_lag int, statistic double, p_value double, stationary boolean")
-    base = over_blocks(
-        base.withColumnRenamed("_pos", "_at"), keys, ["_at"],
-        lambda w: {"_level": F.lag("_e", 1).over(w), "_d0": F.col("_e") - F.lag("_e", 1).over(w)},
-        lambda w: {f"_d{i}": F.lag("_d0", i).over(w) for i in range(1, depth + 1)}, back=depth + 1, at="_at", **kw,
-    ).withColumnRenamed("_at", "_pos")
-    fields = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    lags = _sums(base, keys, depth).mapInPandas(_gram_solver(depth, True), f"{fields}, _lag int")
-    again = attach(base.drop("_lag"), lags, keys, ["_lag"])
-    out = _sums(again, keys, depth).mapInPandas(_gram_solver(depth, False), f"{fields}, used_lag int, statistic double")
+    if not choose:
+        base = base.where(F.col("_lag") == max_lag)
+    depth = base.agg(F.max("_lag")).first()[0] or 0
+    rows = max(kw.get("hot_rows") or BLOCK_ROWS, 8 * (depth + 3) ** 2)
+    sums = _block_sums(base, keys, depth + 1, rows, _normal_sums)
+    facts = base.where("_pos = 0").select(*keys, "_n", "_lag")
+    # a few hundred sums per series, however long it is
+    pieces = attach(sums.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_v")).alias("_g")), facts, keys, ["_n", "_lag"])
+
+    def solve(batches):
+        for batch in batches:
+            g, n, lag = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_g", "_n", "_lag"))
+            answers = [_solved({x["_i"]: x["_v"] for x in one}, p, size, choose) for one, size, p in zip(g, n, lag)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(keys)], pa.array([a for a, _ in answers], pa.int32()), pa.array([t for _, t in answers], pa.float64())], [*keys, "used_lag", "statistic"])
+
+    out = pieces.mapInArrow(solve, f"{_fields(df, keys)}used_lag int, statistic double")
     return out.withColumn("p_value", unit_root_p(F.col("statistic"))).withColumn("stationary", F.col("p_value") < 0.05)
 
 
+def _lag_sums(x: np.ndarray, first: int, start: int, lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of each own value times the one i places before it, for i up to the lag."""
+    lags = np.arange(min(lag, start + len(x) - first - 1) + 1)
+    return lags, np.array([x[max(first, i):] @ x[max(first, i) - i:len(x) - i] for i in lags])
+
+
 def level_stationarity(df: DataFrame, column: str, keys=KEYS, order=ORDER, **kw) -> DataFrame:
     """KPSS test around a level, data-dependent lag; stationary when p > 0.05."""
     keys, order = list(keys), list(order)
     kw = {**kw, "hot": is_hot(df, keys, kw.get("hot_rows"))}
     base = running(_centred(df, column, keys, order, **kw), keys, ["_pos"], {"_s": ("sum", F.col("_e"))}, **kw)
+    facts = base.groupBy(*keys).agg(F.first("_n").alias("_n"), F.sum(F.col("_s") * F.col("_s")).alias("_eta"))
     n = F.col("_n").cast("double")
 
-    def products(depth: int) -> DataFrame:
-        lagged = over_blocks(
-            base.withColumnRenamed("_pos", "_at"), keys, ["_at"],
-            lambda w: {f"_p{i}": F.col("_e") * F.lag("_e", i).over(w) for i in range(1, depth + 1)}, back=max(depth, 1), at="_at", **kw)
-        return lagged.groupBy(*keys).agg(
-            F.first("_n").alias("_n"), F.sum(F.col("_s") * F.col("_s")).alias("_eta"), F.sum(F.col("_e") * F.col("_e")).alias("_p0"),
-            *[F.coalesce(F.sum(f"_p{i}"), F.lit(0.0)).alias(f"_p{i}") for i in range(1, depth + 1)])
-
-    window = F.floor(F.pow(n, F.lit(2 / 9)) + 1e-9)
-    first = base.agg(F.max(window)).first()[0] or 0
-    pilot = products(int(first))
-    s0 = F.col("_p0") / n + sum((F.when(F.lit(i) <= window, 2 * F.col(f"_p{i}") / n).otherwise(0.0) for i in range(1, int(first) + 1)), F.lit(0.0))
-    s1 = sum((F.when(F.lit(i) <= window, i * 2 * F.col(f"_p{i}") / n).otherwise(0.0) for i in range(1, int(first) + 1)), F.lit(0.0))
-    auto = F.floor(1.1447 * F.pow(F.pow(F.try_divide(s1, s0), F.lit(2.0)), F.lit(1 / 3)) * F.pow(n, F.lit(1 / 3)))
-    lags = pilot.select(*keys, F.least(F.coalesce(auto, F.lit(0)), F.col("_n") - 1).cast("int").alias("lags"))
-    depth = int(lags.agg(F.max("lags")).first()[0] or 0)
-    full = attach(products(depth), lags, keys, ["lags"])
-    weighted = sum(
-        (F.when(F.lit(i) <= F.col("lags"), 2 * F.col(f"_p{i}") * (1 - i / (F.col("lags") + 1.0))).otherwise(0.0) for i in range(1, depth + 1)),
-        F.lit(0.0))
-    stat = F.try_divide(F.col("_eta") / (n * n), (F.col("_p0") + weighted) / n)
-    out = full.select(*keys, "lags", stat.alias("statistic"))
+    def products(lagged: DataFrame) -> DataFrame:
+        depth = int(lagged.agg(F.max("_lag")).first()[0] or 0)
+        return attach(_block_sums(lagged, keys, depth, max(kw.get("hot_rows") or BLOCK_ROWS, depth + 1, 16 * depth), _lag_sums), facts, keys, ["_n", "_eta"])
+
+    i, p = F.col("_i"), F.col("_v")
+    pilot = products(base.withColumn("_lag", F.floor(F.pow(n, F.lit(2 / 9)) + 1e-9).cast("int"))).groupBy(*keys, "_n").agg(
+        F.sum(F.when(i == 0, p).otherwise(2 * p) / n).alias("_s0"), F.sum(i * 2 * p / n).alias("_s1"))
+    auto = F.floor(1.1447 * F.pow(F.pow(F.try_divide("_s1", "_s0"), F.lit(2.0)), F.lit(1 / 3)) * F.pow(n, F.lit(1 / 3)))
+    lags = pilot.select(*keys, F.least(F.coalesce(auto, F.lit(0)), F.col("_n") - 1).cast("int").alias("_lag"))
+    full = attach(products(attach(base.drop("_lag"), lags, keys, ["_lag"])), lags, keys, ["_lag"])
+    weighted = F.sum(F.when(i == 0, p).otherwise(2 * p * (1 - i / (F.col("_lag") + 1.0))))
+    out = full.groupBy(*keys, F.col("_lag").alias("lags"), "_n", "_eta").agg(weighted.alias("_w")).select(
+        *keys, "lags", F.try_divide(F.col("_eta") / (n * n), F.col("_w") / n).alias("statistic"))
     return out.withColumn("p_value", level_p(F.col("statistic"))).withColumn("stationary", F.col("p_value") > 0.05)
 
 

@@ -95,6 +95,13 @@ def _halo(df: DataFrame, back: int, ahead: int, rows: int) -> DataFrame:
     return df.withColumn("_own", own).withColumn("_blk", F.explode(targets))
 
 
+def blocks_of(df: DataFrame, back: int, rows: int) -> DataFrame:
+    """Rows with a position ``_pos`` and the block ``_blk`` they belong to, the last ``back`` ones of a block in the next one too."""
+    if rows < back:
+        raise ValueError("a block must be at least as long as the reach into it")
+    return _halo(df, back, 0, rows).drop("_own")
+
+
 def over_blocks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], *stages: Callable[[WindowSpec], dict[str, Column]],
     back: int = 0, ahead: int = 0, hot_rows: int | None = None, block_rows: int | None = None,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,7 +26,11 @@ def local_session(cpus: int | str = "*", name: str = "tradewind") -> SparkSessio
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Pin the zone the operators assume (all stored times are zone-less UTC)."""
+    """Pin the zone the operators assume (all stored times are zone-less UTC) and let local workers import the package.
+
+    A cluster ships the package with ``--py-files``.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
