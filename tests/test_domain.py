@@ -113,3 +113,26 @@ def test_covariance_has_symmetric_diagonal(spark):
     df = spark.createDataFrame([(d, s, float((d * (7 if s == "a" else 3)) % 5)) for d in range(20) for s in "ab"], "day int, symbol string, ret double")
     got = {(r["left"], r["right"]): r["correlation"] for r in strategy.covariance(df, ["a", "b"], correlate=True).collect()}
     assert got["a", "a"] == pytest.approx(1) and got["b", "b"] == pytest.approx(1) and abs(got["a", "b"]) <= 1
+
+
+def test_covariance_of_many_names_in_small_blocks(spark):
+    """More names than any list would hold, gaps, dates without a partner; every block size gives the same pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(f"s{k:03d}", day, None if rng.random() < 0.1 else float(rng.normal() * 0.02 + 5)) for k in range(40) for day in range(30) if rng.random() < 0.8]
+    rows += [("lone", 99, 0.5), ("s000", 100, None)]
+    df = spark.createDataFrame(rows, "symbol string, day int, ret double").repartition(4)
+    by = {}
+    for s, d, x in rows:
+        by.setdefault(s, {})[d] = x
+    want = {}
+    for a in by:
+        for b in by:
+            if a <= b and by[a].keys() & by[b].keys():
+                both = [(by[a][d], by[b][d]) for d in by[a].keys() & by[b].keys() if by[a][d] is not None and by[b][d] is not None]
+                want[a, b] = float(np.cov(*zip(*both))[0, 1]) * 252 if len(both) > 1 else None
+    for names, dates in ((256, 1024), (7, 11)):
+        got = {(r["left"], r["right"]): r["covariance"] for r in strategy.covariance(df, names=names, dates=dates).collect()}
+        assert got.keys() == want.keys()
+        assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in want.items())

@@ -286,20 +286,20 @@ BRET = "r AS (SELECT *, price / lag(price) OVER (PARTITION BY symbol ORDER BY da
 @query("return_covariance", f"""WITH {BRET} SELECT a.symbol AS "left", b.symbol AS "right", covar_samp(a.ret, b.ret) * 252 AS covariance FROM r a JOIN r b ON a.day = b.day AND a.symbol <= b.symbol
     GROUP BY ALL""", uses="brand_prices", rnd="covariance")
 def return_covariance(t):
-    return T.covariance(brand_returns(t), T.names_of(brand_returns(t), "symbol"))
+    return T.covariance(brand_returns(t))
 
 
 @query("sector_correlation", f"""WITH {RETS}, s AS (SELECT sector, day, avg(ret) AS ret FROM rets GROUP BY ALL)
     SELECT a.sector AS "left", b.sector AS "right", corr(a.ret, b.ret) AS correlation FROM s a JOIN s b ON a.day = b.day AND a.sector <= b.sector GROUP BY ALL""", uses="prices", rnd="correlation")
 def sector_correlation(t):
     r = T.returns(t.prices, ["symbol", "sector"])
-    return T.covariance(r, T.names_of(r, "sector"), column="sector", correlate=True)
+    return T.covariance(r, column="sector", correlate=True)
 
 
 @query("portfolio_weights")
 def portfolio_weights(t):
     r = brand_returns(t)
-    risk = {(x["left"], x["right"]): x["covariance"] for x in T.covariance(r, T.names_of(r, "symbol")).collect()}  # pairs of the book
+    risk = {(x["left"], x["right"]): x["covariance"] for x in T.covariance(r).collect()}  # pairs of the book
     expected = r.where(F.col("ret").isNotNull()).select("day", "symbol", F.col("ret").alias("expected"))
     return T.optimise(expected, risk)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tradewind.functions.rowwise import clip, mean_of
 from tradewind.operators.vessels import latest
 from tradewind.plans.blocks import attach, is_hot, over_blocks, running
 from tradewind.plans.topk import top_k
+from tradewind.session import checkpointed
 
 LIMITS = dims.LIMITS
 
@@ -295,27 +297,62 @@ def backtest(weights: DataFrame, prices: DataFrame, cost: float = 0.001, **kw) -
     return grown.withColumn("value", F.when(F.col("_lost") == 1, 0.0).otherwise(F.exp("_g"))).drop("_g", "_lost")
 
 
-def names_of(rets: DataFrame, column: str, most: int = 500) -> list[str]:
-    """All names of a book in order. A book is a bounded list: more than ``most`` names are an error, not a cut."""
-    found = [r[0] for r in rets.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"{column} has more than {most} names")
-    return sorted(found)
+def covariance(rets: DataFrame, symbols: Sequence[str] | None = None, annual: float = 252.0, column: str = "symbol", ts: str = "day", correlate: bool = False,
+               names: int = 256, dates: int = 1024) -> DataFrame:
+    """Covariance (or correlation) of every pair of symbols that share a date, over the dates on which both have a return.
 
-
-def covariance(rets: DataFrame, symbols: Sequence[str], annual: float = 252.0, column: str = "symbol", ts: str = "day", correlate: bool = False) -> DataFrame:
-    """Covariance (or correlation) of every pair of a stated list of symbols.
-
-    Dates are rows and symbols columns, so all pairs come from one aggregation
-    over the dates: no pair of rows is ever joined.
+    Symbols fall into blocks of about ``names``, dates into blocks of about
+    ``dates``. A task multiplies two symbol blocks over one block of dates, and
+    the sums of a pair add up over the date blocks. Any number of symbols will
+    do: none is listed anywhere, and no pair of rows is joined. ``symbols``
+    restricts the result to a stated list.
     """
-    wide = rets.groupBy(ts).pivot(column, list(symbols)).agg(F.avg("ret"))
-    measure = F.corr if correlate else F.covar_samp
-    pairs = list(combinations_with_replacement(symbols, 2))
-    row = wide.agg(F.array(*[measure(F.col(f"`{a}`"), F.col(f"`{b}`")) for a, b in pairs]).alias("v"))
-    named = F.arrays_zip(F.array(*[F.lit(a) for a, _ in pairs]).alias("left"), F.array(*[F.lit(b) for _, b in pairs]).alias("right"), F.col("v"))
-    return row.select(F.inline(named)).toDF("left", "right", "v").select(
-        "left", "right", (F.col("v") * (1.0 if correlate else annual)).alias("correlation" if correlate else "covariance"))
+    rows = rets.where(F.col(column).isNotNull() & F.col(ts).isNotNull())
+    if symbols is not None:
+        rows = rows.where(F.col(column).isin(list(symbols)))
+    # written once: sizes, means and products all read it
+    one = checkpointed(rows.groupBy(F.col(column).alias("_s"), F.col(ts).alias("_t")).agg(F.avg("ret").alias("_x")))
+    sizes = one.agg(F.approx_count_distinct("_s").alias("s"), F.approx_count_distinct("_t").alias("t")).first()
+    groups, spans = max(1, math.ceil(sizes["s"] / names)), max(1, math.ceil(sizes["t"] / dates))
+    # the same shift on all dates leaves a covariance as it is and keeps its sums small
+    means = one.groupBy("_s").agg(F.avg("_x").alias("_m"))
+    placed = one.join(means, "_s").select(
+        "_s", "_t", (F.col("_x") - F.col("_m")).alias("_x"), F.pmod(F.xxhash64("_s"), F.lit(groups)).cast("int").alias("_g"), F.pmod(F.xxhash64("_t"), F.lit(spans)).cast("int").alias("_d"))
+    cells = placed.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumns({"_lo": F.least("_g", "_h"), "_hi": F.greatest("_g", "_h")})
+
+    def products(cell: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        lo, hi = cell[0].as_py(), cell[1].as_py()
+        known, who = np.unique(part.column("_s").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        when = part.column("_t").combine_chunks().dictionary_encode().indices.to_numpy()
+        own = np.zeros(len(known), np.int64)
+        own[who] = part.column("_g").to_numpy()
+        x = part.column("_x").to_numpy(zero_copy_only=False).astype(float)
+        value, held, there = (np.zeros((when.max() + 1, len(known))) for _ in range(3))
+        there[when, who] = 1
+        held[when, who] = ~np.isnan(x)
+        value[when, who] = np.nan_to_num(x)
+        a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        shared = there[:, a].T @ there[:, b] > 0
+        if lo == hi:
+            shared &= a[:, None] <= b[None, :]
+        i, j = np.nonzero(shared)
+        squares = value * value
+        sums = [held[:, a].T @ held[:, b], value[:, a].T @ held[:, b], held[:, a].T @ value[:, b], value[:, a].T @ value[:, b], squares[:, a].T @ held[:, b], held[:, a].T @ squares[:, b]]
+        n, sa, sb, sab, saa, sbb = (m[i, j] for m in sums)
+        left, right = a[i], b[j]
+        turned = left > right  # names are sorted: the smaller number is the smaller name
+        return pa.table({
+            "left": known[np.minimum(left, right)].tolist(), "right": known[np.maximum(left, right)].tolist(), "n": n, "sa": np.where(turned, sb, sa), "sb": np.where(turned, sa, sb),
+            "sab": sab, "saa": np.where(turned, sbb, saa), "sbb": np.where(turned, saa, sbb)})
+
+    parts = cells.groupBy("_lo", "_hi", "_d").applyInArrow(products, "left string, right string, n double, sa double, sb double, sab double, saa double, sbb double")
+    total = parts.groupBy("left", "right").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "sab", "saa", "sbb")])
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    joint = F.col("sab") - F.try_divide(sa * sb, n)
+    if correlate:
+        spread = F.sqrt((F.col("saa") - F.try_divide(sa * sa, n)) * (F.col("sbb") - F.try_divide(sb * sb, n)))
+        return total.select("left", "right", F.when(n >= 2, F.try_divide(joint, spread)).alias("correlation"))
+    return total.select("left", "right", F.when(n >= 2, joint / (n - 1) * annual).alias("covariance"))
 
 
 def optimise(expected: DataFrame, risk: dict[tuple[str, str], float], keys: Sequence[str] = ("day",), aversion: float = 2.0, limits=LIMITS) -> DataFrame:
