@@ -110,3 +110,40 @@ def test_isolation_forest_finds_planted_rows(spark):
     assert out.where("id < 20 AND outlier").count() == 20
     assert 50 <= out.where("outlier").count() <= 100
     assert out.where("anomaly_score <= 0 OR anomaly_score >= 1").count() == 0
+
+
+def test_step_forest_equals_trees_walked_one_by_one():
+    from tradewind.operators import isolation
+
+    rng = np.random.default_rng(3)
+    pool = np.concatenate([rng.normal(size=300), [9.0, 9.0, -7.5]])
+    cuts, scores = isolation.step_forest(pool, 20, 64, 5)
+    again, size = np.random.default_rng(5), 64
+    trees = [isolation.step_tree(np.sort(again.choice(pool, size, replace=False)), again, 6) for _ in range(20)]
+    for x in [*pool, *cuts, -100.0, 100.0]:
+        path = np.mean([paths[sum(c <= x for c in own)] for own, paths in trees])
+        assert scores[np.searchsorted(cuts, x, side="right")] == pytest.approx(2 ** (-path / isolation._average_path(size)))
+    assert all(len(paths) == len(own) + 1 and (np.diff(own) > 0).all() for own, paths in trees)
+    assert scores[np.searchsorted(cuts, 9.0, side="right")] > scores[np.searchsorted(cuts, 0.0, side="right")]
+
+
+@pytest.mark.parametrize("chunk", [50_000, 13])
+def test_forest_of_each_series_finds_what_was_planted(spark, monkeypatch, chunk):
+    from tradewind.operators import clean, isolation
+
+    monkeypatch.setattr(isolation, "CHUNK", chunk)
+    rng = np.random.default_rng(1)
+    rows = [("a", i, i, float(x)) for i, x in enumerate(rng.normal(10, 1, 200))] + [("b", i, 1000 + i, float(x)) for i, x in enumerate(rng.normal(0, 0.1, 60))]
+    planted = {("a", 500): 40.0, ("a", 501): -30.0, ("b", 502): 3.0}
+    rows += [(k, 999, i, v) for (k, i), v in planted.items()]
+    rows += [("short", i, 2000 + i, 1.0 if i else 50.0) for i in range(10)] + [("flat", i, 3000 + i, 5.0) for i in range(30)]
+    rows += [("a", 0, 4000, None), ("b", 0, 4001, float("nan")), (None, 0, 4002, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, ts int, id int, price double").repartition(6)
+    found = clean.series_anomalies(df, "price").where("method = 'isolation_forest'").collect()
+    marked = {(r["series_id"], r["id"]) for r in found}
+    assert planted.keys() <= marked and {k for k, _ in marked} == {"a", "b"}
+    for k, n in (("a", 202), ("b", 61)):
+        own = [r for r in found if r["series_id"] == k]
+        assert len(own) <= 0.1 * n + 1 and all(r["anomalies"] == len(own) for r in own)
+    z = clean.series_anomalies(df.where("id < 4001"), "price").where("method = 'statistical'").collect()
+    assert {(r["series_id"], r["id"]) for r in z} >= {("a", 500), ("b", 502)}

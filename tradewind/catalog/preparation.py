@@ -228,9 +228,15 @@ def winsorize(t):
 
 @query("series_anomalies", """WITH s AS (SELECT series_id, avg(price) AS m, stddev_pop(price) AS s, count(price) AS n FROM series_gaps GROUP BY series_id),
     f AS (SELECT g.series_id, ts, price FROM series_gaps g JOIN s USING (series_id) WHERE n >= 10 AND s > 0 AND abs(price - m) / s > 3)
-    SELECT *, count(*) OVER (PARTITION BY series_id) AS anomalies FROM f""", uses="series_gaps", rnd="price")
+    SELECT *, 'statistical' AS method, count(*) OVER (PARTITION BY series_id) AS anomalies FROM f""", uses="series_gaps", rnd="price")
 def series_anomalies(t):
-    return C.series_anomalies(t.series_gaps, "price")
+    return C.series_anomalies(t.series_gaps, "price").where("method = 'statistical'").drop("id")
+
+
+@query("series_forest_anomalies")
+def series_forest_anomalies(t):
+    """Draws decide a forest, so its rows have no twin; tests plant outliers and compare with trees walked one by one."""
+    return C.series_anomalies(t.series_gaps, "price").where("method = 'isolation_forest'")
 
 
 @query("interpolate", """WITH p AS (SELECT *, row_number() OVER w - 1 AS pos FROM series_gaps WINDOW w AS (PARTITION BY series_id ORDER BY ts, id)),

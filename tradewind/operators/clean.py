@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tradewind.functions.quantiles import exact_quantiles, modes
+from tradewind.operators.isolation import series_outliers
 from tradewind.functions.rowwise import numeric_columns, text_columns
 from tradewind.operators.quality import outlier_flag, profile_row
 from tradewind.plans.blocks import is_hot, running, with_position
@@ -229,14 +230,21 @@ def _clip(df: DataFrame, edges: Mapping[str, Sequence[float | None]]) -> DataFra
     })
 
 
-def series_anomalies(df: DataFrame, column: str, keys=("series_id",), ts: str = "ts", limit: float = 3.0) -> DataFrame:
-    """Anomalous rows of each series (|z| > 3, at least 10 values), and their count."""
-    keys = list(keys)
+def series_anomalies(df: DataFrame, column: str, keys=("series_id",), order=("ts", "id"), limit: float = 3.0) -> DataFrame:
+    """Anomalous rows of each series by both methods, and how many the series has by that method.
+
+    ``statistical``: |z| > 3 in series of at least 10 values;
+    ``isolation_forest``: the series' own forest, in series of more than 10.
+    """
+    keys, order = list(keys), list(order)
     stats = df.groupBy(*keys).agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"), F.count(column).alias("_n"))
     joined = df.join(stats, keys)
     flagged = joined.where((F.col("_n") >= 10) & (F.col("_s") > 0) & (F.abs(F.col(column) - F.col("_m")) / F.col("_s") > limit))
-    counts = flagged.groupBy(*keys).agg(F.count("*").alias("anomalies"))
-    return flagged.select(*keys, ts, column).join(counts, keys)
+    columns = [*keys, *order, column]
+    both = flagged.select(*columns, F.lit("statistical").alias("method")).unionByName(
+        series_outliers(df, column, keys, order).select(*keys, *order, F.col(column).cast(df.schema[column].dataType).alias(column), F.lit("isolation_forest").alias("method")))
+    counts = both.groupBy(*keys, "method").agg(F.count("*").alias("anomalies"))
+    return both.join(counts, [*keys, "method"])
 
 
 def interpolate(df: DataFrame, column: str, out: str, keys=("series_id",), order=("ts", "id"), **kw) -> DataFrame:

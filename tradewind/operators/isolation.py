@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewind.functions.quantiles import exact_quantiles
+from tradewind.plans.blocks import attach
 from tradewind.plans.topk import top_k
 from tradewind.session import checkpointed
 
 TREES, SAMPLE = 100, 256
+#: Of one series: rows that its trees draw their samples from, and rows that one task scores.
+POOL, CHUNK = 4096, 50_000
 
 
 def _average_path(n: float) -> float:
@@ -109,3 +114,80 @@ def isolation_outliers(df: DataFrame, columns: Sequence[str], key: Sequence[str]
     out = checkpointed(scored(df, columns, grow(df, columns, key, **kw), kw.get("size", SAMPLE)))
     edge = exact_quantiles(out, ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
     return out.withColumn("outlier", F.coalesce(F.col("anomaly_score") > F.lit(edge), F.lit(False)))
+
+
+def step_tree(values: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cuts, path lengths between them) of one tree over sorted values: with one feature a tree cuts the line into pieces."""
+    cuts: list[float] = []
+    paths: list[float] = []
+    # depth first, left before right, so cuts and pieces come in ascending order
+    stack: list[tuple | float] = [(0, len(values), 0)]
+    while stack:
+        top = stack.pop()
+        if isinstance(top, float):
+            cuts.append(top)
+            continue
+        a, b, depth = top
+        if depth >= limit or b - a <= 1 or values[a] == values[b - 1]:
+            paths.append(depth + _average_path(b - a))
+            continue
+        cut = float(rng.uniform(values[a], values[b - 1]))
+        at = a + int(np.searchsorted(values[a:b], cut, side="left"))
+        stack += [(at, b, depth + 1), cut, (a, at, depth + 1)]
+    return np.array(cuts), np.array(paths)
+
+
+def step_forest(pool: np.ndarray, trees: int, sample: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cuts, scores between them) of a whole forest: the mean of its trees is a step function too."""
+    rng, size = np.random.default_rng(seed), min(sample, len(pool))
+    grown = [step_tree(np.sort(rng.choice(pool, size, replace=False)), rng, math.ceil(math.log2(max(size, 2)))) for _ in range(trees)]
+    cuts = np.unique(np.concatenate([c for c, _ in grown]))
+    total = np.zeros(len(cuts) + 1)
+    for own, paths in grown:
+        total += paths[np.concatenate([[0], np.searchsorted(own, cuts, side="right")])]
+    scale = _average_path(size)
+    return cuts, 2.0 ** (-(total / trees) / scale) if scale else np.full(len(cuts) + 1, 0.5)
+
+
+def series_outliers(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], least: int = 10, contamination: float = 0.1,
+                    trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """Rows of each series of more than ``least`` values that its own forest sets apart, with their score.
+
+    Each series has a forest of its own, grown by one task from at most POOL of
+    its rows, least seeded hash of ``order`` first, and kept as one step
+    function. The rows of a series are scored in chunks, so a long series is
+    many tasks. A row stands out if its score lies above the exact
+    (1 - ``contamination``) quantile of its series; the scores of a series are
+    as few as its steps, so their counts are small whatever its length. NULL
+    and NaN values and shorter series have no part.
+    """
+    keys, order = list(keys), list(order)
+    rows = df.select(*keys, *order, F.col(column).cast("double").alias("_x")).where("_x is not null and not isnan(_x)")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > least).withColumn("_chunks", F.ceil(F.col("_n") / CHUNK))
+    held = checkpointed(attach(rows, sizes, keys, ["_n", "_chunks"]).where("_n is not null").withColumn("_u", F.xxhash64(F.lit(seed), *order)))
+    pool = top_k(held, keys, [F.col("_u"), *map(F.col, order), F.col("_x")], POOL)
+    kinds = dict(df.dtypes)
+    fields = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+
+    def grow_one(group: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        at = np.lexsort((part.column("_x").to_numpy(), part.column("_u").to_numpy()))
+        own = zlib.crc32(repr([g.as_py() for g in group]).encode())
+        cuts, scores = step_forest(part.column("_x").to_numpy()[at], trees, sample, seed + own)
+        return pa.table({k: pa.repeat(g, 1) for k, g in zip(keys, group)} | {n: pa.array([x.tolist()], pa.list_(pa.float64())) for n, x in (("_cuts", cuts), ("_scores", scores))})
+
+    forests = pool.groupBy(*keys).applyInArrow(grow_one, f"{fields}_cuts array<double>, _scores array<double>")
+    forests = attach(forests, sizes, keys, ["_chunks"]).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1))).drop("_chunks")
+    chunked = held.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(seed + 1), *order), F.col("_chunks"))).select(*keys, *order, "_x", "_chunk")
+
+    def score(part: pa.Table, forest: pa.Table) -> pa.Table:
+        if not len(part):
+            return part.append_column("_score", pa.array([], pa.float64())).drop_columns(["_chunk"])
+        cuts, scores = (np.array(forest.column(c)[0].as_py(), float) for c in ("_cuts", "_scores"))
+        found = scores[np.searchsorted(cuts, part.column("_x").to_numpy(), side="right")]
+        return part.append_column("_score", pa.array(found)).drop_columns(["_chunk"])
+
+    schema = fields + "".join(f"`{c}` {kinds[c]}, " for c in order) + "_x double, _score double"
+    scored = checkpointed(chunked.groupBy(*keys, "_chunk").cogroup(forests.groupBy(*keys, "_chunk")).applyInArrow(score, schema))
+    edges = scored.groupBy(*keys).agg(F.percentile("_score", F.lit(1 - contamination)).alias("_edge"))
+    # equal scores are equal numbers here: the step function has one for each piece
+    return attach(scored, edges, keys, ["_edge"]).where("_score > _edge").select(*keys, *order, F.col("_x").alias(column), F.col("_score").alias("score"))
