@@ -147,3 +147,20 @@ def test_forest_of_each_series_finds_what_was_planted(spark, monkeypatch, chunk)
         assert len(own) <= 0.1 * n + 1 and all(r["anomalies"] == len(own) for r in own)
     z = clean.series_anomalies(df.where("id < 4001"), "price").where("method = 'statistical'").collect()
     assert {(r["series_id"], r["id"]) for r in z} >= {("a", 500), ("b", 502)}
+
+
+def test_feature_driver_without_order_or_target(spark):
+    """Without a time column only row-wise features and encodings; many levels become numbers; nothing asked for is missing."""
+    df = spark.createDataFrame([(i, float(i % 5), float(i), f"k{i % 3}", f"v{i:02d}") for i in range(24)], "id int, a double, b double, few string, many string")
+    out = features.engineer(df, None, ["a", "b"], ["few", "many", "absent"])
+    assert {"a_x_b", "a_div_b", "a_pow2", "row_mean", "row_skew", "few_k1", "few_k2", "many_encoded"} <= set(out.columns)
+    assert not {"few", "many"} & set(out.columns) and not any("_lag_" in c for c in out.columns)
+    assert rows(out, "id", "few_k1", "many_encoded")[0] == (0, 0, 0) and out.count() == 24
+
+
+def test_scaler_leaves_constant_columns_alone(spark):
+    df = spark.range(1000).select((F.col("id") * 1.0).alias("x"), F.sin(F.lit(0.5)).alias("c"))
+    out = features.scale(df, ["x", "c"]).agg(F.max(F.abs("c")).alias("c"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
+    assert out["c"] < 1e-9 and abs(out["m"]) < 1e-9 and out["s"] == pytest.approx(1.0)
+    ranked = features.select_by_f_test(df.withColumn("y", F.col("x") + F.rand(3)), "y", ["x", "c"], 5)
+    assert [r["feature"] for r in ranked.collect()] == ["x"]

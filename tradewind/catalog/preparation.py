@@ -11,7 +11,7 @@ from tradewind.functions import rowwise as R
 from tradewind.operators import clean as C
 from tradewind.operators import features as X
 from tradewind.operators import quality as Q
-from tradewind.sources.adapters import VIEWS
+from tradewind.sources.adapters import SERIES, VIEWS, _select
 
 # Line items with gaps, outliers, a sparse column and repeated rows, derived per row.
 MEASURES = {
@@ -424,41 +424,96 @@ AGG = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
 TWO = ("price", "volume")
 
 
+VIEWS["series_kinds"] = ((), "SELECT " + ", ".join(_select({**SERIES, "kind": "event_type"}, "duckdb")) + " FROM events")
+_ANGLE = {"month": ("month(ts)", 12), "dayofweek": ("isodow(ts) - 1", 7), "dayofyear": ("dayofyear(ts)", 365), "day": ("day(ts)", 31)}
+_CYCLES = {f"{n}_{f}": f"{f}(2 * pi() * ({e}) / {k})" for n, (e, k) in _ANGLE.items() for f in ("sin", "cos")}
+_PARTS = {"year": "year(ts)", "month": "month(ts)", "day": "day(ts)", "dayofweek": "isodow(ts) - 1", "dayofyear": "dayofyear(ts)", "quarter": "quarter(ts)", "week": "week(ts)"}
+_DAY = "CAST(ts AS DATE)"
+_FLAGS = {k: f"CAST({e} AS BIGINT)" for k, e in {
+    "is_weekend": "isodow(ts) > 5", "is_month_start": "day(ts) = 1", "is_month_end": f"{_DAY} = last_day(ts)", "is_quarter_start": f"{_DAY} = date_trunc('quarter', ts)",
+    "is_quarter_end": f"{_DAY} = last_day(CAST(date_trunc('quarter', ts) + INTERVAL 2 MONTH AS DATE))"}.items()}
+
+
+def _indicators(c: str, spans, bands, changes: dict[str, int]) -> dict[str, str]:
+    """Means, exponential means, bands, strength and relative changes of a series without gaps; d_, g_ and l_ columns hold its moves."""
+    m, s = _roll(f"avg({c})", c, 20, True), _roll(f"stddev_samp({c})", c, 20, True)
+    gain, loss = (_roll(f"avg({x}_{c})", f"{x}_{c}", 14, True) for x in "gl")
+    out = {f"{c}_sma_{k}": _roll(f"avg({c})", c, k, True) for k in spans}
+    out |= {f"{c}_ema_{k}": f"list_reduce(list(CAST({c} AS DOUBLE)) OVER ({W}), lambda a, x: a * {1 - 2 / (k + 1)} + x) / ((1 - pow({1 - 2 / (k + 1)}, row_number() OVER ({W}))) / {2 / (k + 1)})" for k in spans}
+    out |= dict(zip(bands, (f"{m} + 2 * {s}", f"{m} - 2 * {s}", f"4 * {s}", f"({c} - ({m} - 2 * {s})) / nullif(4 * {s}, 0)")))
+    out[f"{c}_rsi"] = f"CASE WHEN {loss} = 0 AND {gain} > 0 THEN 100.0 WHEN {loss} = 0 THEN NULL ELSE 100 - 100 / (1 + {gain} / {loss}) END"
+    return out | {n: f"{c} / nullif(lag({c}, {k}) OVER ({W}), 0) - 1" for n, k in changes.items()}
+
+
+def _moves(src: str) -> str:
+    """The rows with the gains and losses of both columns."""
+    moved = ", ".join(f"coalesce(greatest({c} - lag({c}) OVER ({W}), 0), 0) AS g_{c}, coalesce(greatest(lag({c}) OVER ({W}) - {c}, 0), 0) AS l_{c}" for c in TWO)
+    return f"(SELECT *, {moved} FROM {src})"
+
+
 def _full_columns() -> dict[str, str]:
     out = {f"{c}_lag_{k}": f"lag({c}, {k}) OVER ({W})" for c in TWO for k in (1, 7, 30)}
     out |= {f"{c}_{f}_{k}": _roll(f"{a}({c})", c, k, True) for c in TWO for k in (7, 14, 30) for f, a in AGG.items()}
-    out |= {f"{c}_sma_{k}": _roll(f"avg({c})", c, k, True) for c in TWO for k in (5, 10, 20)}
     out |= {"price_x_volume": "price * volume", "price_div_volume": "coalesce(price / nullif(volume + 1e-8, 0), 0)",
             "price_pow2": "pow(price, 2)", "volume_pow2": "pow(volume, 2)", "row_mean": "(price + volume) / 2", "row_min": "least(price, volume)",
-            "row_max": "greatest(price, volume)", "row_median": "(price + volume) / 2", "row_std": "abs(price - volume) / sqrt(2)"}
-    out |= {"ts_hour": "hour(ts)", "ts_month_sin": "sin(2 * pi() * month(ts) / 12)"}
+            "row_max": "greatest(price, volume)", "row_median": "(price + volume) / 2", "row_std": "abs(price - volume) / sqrt(2)", "row_skew": "CAST(NULL AS DOUBLE)"}
+    out |= {f"kind_{k}": f"CAST(kind = '{k}' AS BIGINT)" for k in ("error", "purchase", "signup", "view")}
+    out |= {f"ts_{k}": _PARTS[k] for k in ("year", "month", "day", "dayofweek", "quarter")} | {"ts_hour": "hour(ts)"}
+    out |= {f"ts_{k}": _CYCLES[k] for k in ("month_sin", "month_cos", "day_sin", "day_cos")} | {f"ts_{k}": _FLAGS[k] for k in ("is_weekend", "is_month_end", "is_quarter_end")}
+    for c in TWO:
+        out |= _indicators(c, (5, 10, 20), [f"{c}_bb_{b}" for b in ("upper", "lower", "width")], {f"{c}_roc_{k}": k for k in (1, 5, 10)})
     return out
 
 
 FULL = _full_columns()
+_WHOLE = ("volume_lag", "ts_year", "ts_month", "ts_day", "ts_quarter", "ts_hour", "ts_is", "kind_", "volume_min", "volume_max", "row_skew")
 
 
-@query("feature_engineering_full", "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in FULL.items()) + " FROM series", uses="series",
-       rnd=" ".join(n for n in FULL if "volume_lag" not in n and n != "ts_hour" and not n.startswith(("volume_min", "volume_max"))), places=5)
+def _doubles(columns) -> str:
+    return " ".join(n for n in columns if not n.startswith(_WHOLE) or n.endswith(("_sin", "_cos")))
+
+
+@query("feature_engineering_full", "SELECT series_id, ts, id, price, volume, " + ", ".join(f"{e} AS {n}" for n, e in FULL.items()) + f" FROM {_moves('series_kinds')}", uses="series_kinds",
+       rnd=_doubles(FULL), places=5)
 def feature_engineering_full(t):
-    return X.engineer(t.series, "ts", list(TWO)).select("id", *FULL)
+    return X.engineer(t.events.selectExpr(*_select({**SERIES, "kind": "event_type"})), "ts", list(TWO), ["kind"])
 
 
 def _basic_columns() -> dict[str, str]:
     out = {f"{c}_lag_{k}": f"lag({c}, {k}) OVER ({W})" for c in TWO for k in (1, 3, 7, 14)}
-    out |= {f"{c}_{f}_{k}": _roll(f"{AGG[f]}({c})", c, k, False) for c in TWO for k in (7, 14) for f in ("mean", "std")}
+    out |= {f"{c}_{f}_{k}": _roll(f"{a}({c})", c, k, False) for c in TWO for k in (7, 14, 30, 60) for f, a in {**AGG, "median": "median"}.items()}
     whole = "OVER (PARTITION BY series_id)"
     for c in TWO:
         out[f"{c}_zscore"] = f"({c} - avg({c}) {whole}) / (stddev_samp({c}) {whole} + 1e-8)"
+        out[f"{c}_percentile"] = f"(rank() OVER (PARTITION BY series_id ORDER BY {c}) + (count(*) OVER (PARTITION BY series_id, {c}) - 1) / 2.0) / count({c}) {whole}"
         out[f"{c}_change"] = f"{c} - lag({c}) OVER ({W})"
+        out[f"{c}_pct_change"] = f"{c} / nullif(lag({c}) OVER ({W}), 0) - 1"
         out |= {f"{c}_volatility_{k}d": _roll(f"stddev_samp({c})", c, k, False) for k in (7, 14, 30)}
-    return out | {"price_minus_volume": "price - volume", "price_share_volume": "price / nullif(price + volume + 1e-8, 0)", "quarter": "quarter(ts)"}
+    out |= _indicators("price", (5, 10, 20, 50), ("bollinger_upper", "bollinger_lower", "bollinger_width", "bollinger_position"), {})
+    out |= {"price_x_volume": "price * volume", "price_div_volume": "price / nullif(volume + 1e-8, 0)", "price_minus_volume": "price - volume",
+            "price_share_volume": "price / nullif(price + volume + 1e-8, 0)"}
+    return {"price": "price", "volume": "volume"} | _PARTS | _CYCLES | _FLAGS | out
 
 
 BASIC = _basic_columns()
+BASIC_SQL = "SELECT series_id, ts, id, " + ", ".join(f"{e} AS {n}" for n, e in BASIC.items()) + f" FROM {_moves('series')}"
+SCALED_SQL = "SELECT series_id, ts, id, " + ", ".join(f"({n} - avg({n}) OVER ()) / coalesce(nullif(stddev_pop({n}) OVER (), 0), 1) AS {n}" for n in BASIC) + f" FROM ({BASIC_SQL})"
 
 
-@query("feature_engineering_basic", "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in BASIC.items()) + " FROM series", uses="series",
-       rnd=" ".join(n for n in BASIC if "volume_lag" not in n and n not in ("quarter", "volume_change")), places=5)
+@query("feature_engineering_basic", SCALED_SQL, uses="series", rnd=" ".join(BASIC), places=4)
 def feature_engineering_basic(t):
-    return X.engineer_basic(t.series, "ts", list(TWO)).select("id", *BASIC)
+    return X.engineer_basic(t.series, "ts", list(TWO))
+
+
+def _ranked(target: str) -> str:
+    """The ten best by F, from the correlation of each scaled feature with the target, missing values as 0."""
+    each = " UNION ALL ".join(f"SELECT '{c}' AS feature, corr(coalesce({c}, 0), {target}) AS r, count(*) AS n FROM f" for c in BASIC if c != target)
+    plain = SCALED_SQL.replace(f"({target} - avg({target}) OVER ()) / coalesce(nullif(stddev_pop({target}) OVER (), 0), 1) AS {target}", target, 1)
+    return f"""WITH f AS ({plain}), c AS ({each}) SELECT * FROM (SELECT row_number() OVER (ORDER BY round(score, 6) DESC, feature) AS rank, feature FROM (SELECT feature, r * r / (1 - r * r) * (n - 2) AS score FROM c
+        WHERE r IS NOT NULL AND NOT isnan(r) AND r * r < 1)) WHERE rank <= 10"""
+
+
+@query("feature_engineering_selected", _ranked("volume"), uses="series")
+def feature_engineering_selected(t):
+    best = X.engineer_basic(t.series, "ts", list(TWO), target="volume", k=10)
+    return best.sparkSession.createDataFrame([(i, c) for i, c in enumerate(best.columns[1:], 1)], "rank int, feature string")

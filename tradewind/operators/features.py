@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions import calendar
 from tradewind.functions.quantiles import exact_quantiles
 from tradewind.functions.rowwise import (
-    columns_present, leading_interactions, numeric_columns, polynomials, row_statistics)
+    auto_pairs, columns_present, leading_interactions, numeric_columns, pair_interactions, polynomials, row_statistics)
 from tradewind.operators import series
-from tradewind.plans.blocks import is_hot
+from tradewind.plans.blocks import is_hot, over_blocks
+from tradewind.plans.chain import Chain
 from tradewind.session import checkpointed
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard") -> DataFrame:
-    """One row per column with centre and scale; zero scales become 1."""
+    """One row per column with centre and scale; scales that are zero but for rounding become 1."""
     columns = columns_present(df, columns)
     if method == "robust":
         fitted = [(c, q[1], q[2] - q[0]) for c, q in exact_quantiles(df, columns, [0.25, 0.5, 0.75]).items()]
@@ -31,7 +32,8 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard")
             raise ValueError(f"unknown scaler {method}")
         row = df.agg(*aggs).first()
         fitted = [(c, row[f"{c}|c"], row[f"{c}|s"]) for c in columns]
-    rows = [(c, centre, scale if scale else 1.0) for c, centre, scale in fitted]
+    # a constant column's deviation may be the rounding of its mean
+    rows = [(c, centre, scale if scale and abs(scale) > 1e-12 * abs(centre) else 1.0) for c, centre, scale in fitted]
     return df.sparkSession.createDataFrame(rows, "column string, centre double, scale double")
 
 
@@ -96,10 +98,17 @@ def _ranking(df: DataFrame, scored: list[tuple[str, float | None]], k: int) -> D
         [(i + 1, c, float(s)) for i, (c, s) in enumerate(best)], "rank int, feature string, score double")
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    """Correlation over the rows that have both; NULL where one side is constant but for rounding."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    varies = (F.var_pop(a) > 1e-24 * F.pow(F.avg(a), F.lit(2.0))) & (F.var_pop(b) > 1e-24 * F.pow(F.avg(b), F.lit(2.0)))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def select_by_correlation(df: DataFrame, target: str, features: Sequence[str], k: int = 20) -> DataFrame:
     """Top k by |correlation|, rows without target left out."""
     rows = df.where(F.col(target).isNotNull())
-    row = rows.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in features]).first()
+    row = rows.agg(*[_correlation(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in features]).first()
     return _ranking(df, [(c, None if row[c] is None else abs(row[c])) for c in features], k)
 
 
@@ -111,7 +120,7 @@ def select_by_f_test(df: DataFrame, target: str, features: Sequence[str], k: int
     aggs = []
     for c in features:
         x, y = F.col(c).cast("double"), F.col(target).cast("double")
-        aggs += [F.corr(x, y).alias(f"{c}|r"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"{c}|n")]
+        aggs += [_correlation(x, y).alias(f"{c}|r"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"{c}|n")]
     row = rows.agg(*aggs).first()
 
     def score(c):
@@ -159,39 +168,101 @@ def select_features(df: DataFrame, target: str, features: Sequence[str], method:
     return ranked if ranked.take(1) else select_by_correlation(df, target, features, k)
 
 
-def engineer(df: DataFrame, ts: str | None, columns: Sequence[str], keys=series.KEYS, order=series.ORDER) -> DataFrame:
-    """Calendar, lag, rolling, technical, interaction, polynomial and row statistics in this order.
+def _window_columns(columns, lags, windows, functions, only_full, averages, bands, volatility) -> tuple:
+    """Two stages of window columns of one key: all that read the values, then what reads the gains and losses among them."""
+    moves, strength = series.rsi_stages(list(bands))
 
-    Stages that share a series key share its shuffle; each adds its columns in one projection.
+    def first(w):
+        out = {f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in lags}
+        for c in columns:
+            x = F.col(c)
+            for k in windows:
+                for f in functions:
+                    agg = series.ROLLING[f](x)
+                    out[f"{c}_{f}_{k}"] = series.full(agg, x, w, k) if only_full else agg.over(w.rowsBetween(1 - k, 0))
+            if volatility:
+                out[f"{c}_change"] = x - F.lag(x, 1).over(w)
+                out |= {f"{c}_volatility_{k}d": F.stddev_samp(x).over(w.rowsBetween(1 - k, 0)) for k in volatility}
+        for c, names in bands.items():
+            out |= {f"{c}_sma_{k}": series.full(F.avg(c), F.col(c), w, k) for k in averages}
+            out |= series.bollinger_columns(c, w, names)
+        return out | moves(w)
+
+    return first, strength
+
+
+def _with_windows(df: DataFrame, columns, lags, windows, functions, only_full, averages, bands, volatility, spans, changes, keys, order) -> DataFrame:
+    """All window features of a series key: one pass over its rows, one for exponential means, one for relative changes of each column."""
+    keys = list(keys)
+    hot = is_hot(df, keys)
+    stages = _window_columns(columns, lags, windows, functions, only_full, averages, bands, volatility)
+    reach = max(max(lags), max(windows) - 1, max(averages) - 1, 19, 14)
+    out = over_blocks(df, keys, order, *stages, back=reach, hot=hot).drop(*[f"_{x}_{c}" for c in bands for x in ("gain", "loss")])
+    out = series.emas(out, {c: {} for c in bands}, spans, keys, order, hot=hot)
+    for c, (periods, name) in changes.items():
+        out = series.padded_change(out, c, periods, name, keys, order, hot=hot)
+    return out
+
+
+def engineer(df: DataFrame, ts: str | None, columns: Sequence[str], categories: Sequence[str] = (), keys=series.KEYS, order=series.ORDER,
+             chain: Chain | None = None) -> DataFrame:
+    """The full driver: lags, rolling statistics, interactions, polynomials, row statistics, encoding, calendar, technical indicators.
+
+    Lags of 1, 7 and 30 rows; mean, deviation, least and greatest of full
+    frames of 7, 14 and 30; of every column the means of 5, 10 and 20 rows,
+    exponential means of as many, changes over 1, 5 and 10 rows, bands and
+    relative strength. Without ``ts`` there are no lags, frames and calendar
+    parts, nor indicators, which need an order. Window columns of the series
+    key come from one pass; what follows reads them as stored.
     """
-    out = df
+    chain, out = chain or Chain(df.sparkSession), df
     if ts:
-        out = out.withColumns(calendar.prefixed_features(ts))
-    hot = is_hot(df, list(keys))
-    out = series.lag_features(out, columns, (1, 7, 30), keys, order, hot=hot)
-    out = series.rolling_features(out, columns, (7, 14, 30), ("mean", "std", "min", "max"), True, keys, order, hot=hot)
-    for c in columns:
-        out = series.moving_averages(out, c, (5, 10, 20), keys, order, hot=hot)
-        out = series.rsi(out, c, keys=keys, order=order, hot=hot)
-    extra = {**leading_interactions(columns), **polynomials(columns), **row_statistics(columns)}
-    return out.withColumns(extra)
-
-
-def engineer_basic(df: DataFrame, ts: str, columns: Sequence[str], keys=series.KEYS, order=series.ORDER) -> DataFrame:
-    """Calendar, lags, rolling and statistical features, then automatic interactions."""
-    from tradewind.functions.rowwise import auto_pairs, pair_interactions
-
-    out = df.withColumns({**calendar.calendar_parts(ts), **calendar.cyclic_parts(ts), **calendar.calendar_flags(ts)})
-    hot = is_hot(df, list(keys))
-    out = series.lag_features(out, columns, keys=keys, order=order, hot=hot)
-    out = series.rolling_features(out, columns, (7, 14), ("mean", "std"), keys=keys, order=order, hot=hot)
-    for c in columns:
-        out = series.z_scores(out, c, keys)
-        out = series.change_features(out, c, keys=keys, order=order, hot=hot)
-    extra = {}
-    for a, b in auto_pairs(list(columns)):
-        extra |= pair_interactions(a, b)
-    return out.withColumns(extra) if extra else out
+        bands = {c: (f"{c}_bb_upper", f"{c}_bb_lower", f"{c}_bb_width") for c in columns}
+        changes = {c: ((1, 5, 10), f"{c}_roc") for c in columns}
+        out = chain.table("windows", lambda: _with_windows(
+            df, columns, (1, 7, 30), (7, 14, 30), ("mean", "std", "min", "max"), True, (5, 10, 20), bands, (), (5, 10, 20), changes, keys, order))
+    out = out.withColumns({**leading_interactions(columns), **polynomials(columns), **row_statistics(columns)})
+    return encode(out.withColumns(calendar.prefixed_features(ts)) if ts else out, columns_present(out, categories))
+
+
+def engineer_basic(df: DataFrame, ts: str, columns: Sequence[str], target: str | None = None, k: int | None = None, method: str | None = "standard",
+                   keys=series.KEYS, order=series.ORDER, chain: Chain | None = None) -> DataFrame:
+    """The second driver: calendar, lags, rolling and group statistics, indicators, interactions, then scaling and selection.
+
+    Lags of 1, 3, 7 and 14 rows; mean, deviation, least, greatest and median of
+    the last 7, 14, 30 and 60; z-score, percentile rank, change, relative
+    change and volatility of each column; means of 5, 10, 20 and 50 rows,
+    exponential means of as many, relative strength and bands of the first
+    column with ``price`` in its name; interactions of each column with the next two.
+    Scaling is fitted on the stored result and leaves keys, order columns and
+    target as they are. With ``target`` and ``k`` the target and its k best
+    features by F, missing values as 0, are returned.
+    """
+    chain, keys, order = chain or Chain(df.sparkSession), list(keys), list(order)
+    price = [c for c in columns if "price" in c.lower()][:1]
+    windowed = chain.table("windows", lambda: _with_windows(
+        df, columns, (1, 3, 7, 14), (7, 14, 30, 60), ("mean", "std", "min", "max", "median"), False, (5, 10, 20, 50), {c: series.BANDS for c in price}, (7, 14, 30),
+        (5, 10, 20, 50), {c: ((1,), f"{c}_pct_change") for c in columns}, keys, order))
+
+    def whole() -> DataFrame:
+        out = windowed.withColumns({**calendar.calendar_parts(ts), **calendar.cyclic_parts(ts), **calendar.calendar_flags(ts)})
+        for c in columns:
+            out = series.percentile_ranks(series.z_scores(out, c, keys), c, keys)
+        pairs: dict = {}
+        for a, b in auto_pairs(list(columns)):
+            pairs |= pair_interactions(a, b)
+        return out.withColumns(pairs) if pairs else out
+
+    out = chain.table("features", whole)
+    kept = {*keys, *order, target}
+    wanted = [c for c in numeric_columns(out) if c not in kept]
+    if method:
+        scaler = fit_scaler(out, wanted, method)
+        out = chain.table("scaled", lambda: transform_scaled(out, scaler))
+    if target and k:
+        best = [r["feature"] for r in select_by_f_test(out.fillna(0.0, [target]), target, wanted, k, fill=0.0).orderBy("rank").collect()]
+        out = out.select(target, *best)
+    return out
 
 
 def numeric_features(df: DataFrame, target: str) -> list[str]:

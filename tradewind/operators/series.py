@@ -8,7 +8,7 @@ bounded reach go through :func:`over_blocks`, running ones through
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -135,10 +135,15 @@ def ema(df: DataFrame, column: str, spans=(5, 10, 20, 50), names: dict[int, str]
     two running sums. Blocks keep q^-i inside the range of a double, and a halo
     of K rows with q^K < 1e-16 makes each block exact by itself.
     """
+    return emas(df, {column: names or {}}, spans, keys, order, **kw)
+
+
+def emas(df: DataFrame, columns: Mapping[str, dict[int, str]], spans=(5, 10, 20, 50), keys=KEYS, order=ORDER, **kw) -> DataFrame:
+    """The same for several columns, whose blocks share one layout; each maps spans to names, if they are to have others."""
     kw = _with_hot(df, keys, kw)
     out = with_position(df, keys, order, out="_at", **kw)
     for group, reach, rows in _span_groups(spans):
-        out = _ema_pass(out, column, group, reach, rows, names or {}, keys, **kw)
+        out = _ema_pass(out, columns, group, reach, rows, keys, **kw)
     return out.drop("_at")
 
 
@@ -159,7 +164,7 @@ def _span_groups(spans: Sequence[int]):
     yield (tuple(group), *layout(group))
 
 
-def _ema_pass(df, column, spans, reach, rows, names, keys, **kw) -> DataFrame:
+def _ema_pass(df, columns, spans, reach, rows, keys, **kw) -> DataFrame:
     decay = {s: 1 - 2 / (s + 1) for s in spans}
 
     def weights(w):
@@ -167,46 +172,57 @@ def _ema_pass(df, column, spans, reach, rows, names, keys, **kw) -> DataFrame:
         return {f"_w{s}": F.exp(at * -math.log(q)) for s, q in decay.items()}
 
     def means(w):
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        x = F.col(column).cast("double")
-        return {
-            names.get(s, f"{column}_ema_{s}"):
-                F.sum(x * F.col(f"_w{s}")).over(upto) / F.sum(F.when(x.isNotNull(), F.col(f"_w{s}"))).over(upto)
-            for s in spans
-        }
+        upto, out = w.rowsBetween(Window.unboundedPreceding, 0), {}
+        for column, names in columns.items():
+            x = F.col(column).cast("double")
+            for s in spans:
+                mean = F.sum(x * F.col(f"_w{s}")).over(upto) / F.sum(F.when(x.isNotNull(), F.col(f"_w{s}"))).over(upto)
+                out[names.get(s, f"{column}_ema_{s}")] = mean
+        return out
 
     stages = over_blocks(df, keys, ["_at"], weights, means, back=reach, block_rows=rows, at="_at", **kw)
     return stages.drop(*[f"_w{s}" for s in spans])
 
 
-def rsi(df: DataFrame, column: str, k: int = 14, keys=KEYS, order=ORDER, **kw) -> DataFrame:
-    """Relative strength from simple means of gains and losses; the first difference counts as 0."""
+def rsi_stages(columns: Sequence[str], k: int = 14) -> tuple[Callable[[WindowSpec], dict[str, Column]], Callable[[WindowSpec], dict[str, Column]]]:
+    """Window columns of the relative strength: gains and losses of each column, then the index. They reach k rows back."""
     def moves(w):
-        d = F.col(column) - F.lag(column, 1).over(w)
-        return {"_gain": F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)),
-                "_loss": F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0))}
+        out = {}
+        for c in columns:
+            d = F.col(c) - F.lag(c, 1).over(w)
+            out |= {f"_gain_{c}": F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)), f"_loss_{c}": F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0))}
+        return out
 
     def build(w):
-        gain, loss = full(F.avg("_gain"), F.col("_gain"), w, k), full(F.avg("_loss"), F.col("_loss"), w, k)
-        return {f"{column}_rsi": F.when((loss == 0) & (gain > 0), 100.0).otherwise(
-            F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + F.try_divide(gain, loss)))}
+        out = {}
+        for c in columns:
+            gain, loss = (full(F.avg(x), F.col(x), w, k) for x in (f"_gain_{c}", f"_loss_{c}"))
+            out[f"{c}_rsi"] = F.when((loss == 0) & (gain > 0), 100.0).otherwise(
+                F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + F.try_divide(gain, loss)))
+        return out
 
-    kw = _with_hot(df, keys, kw)
-    moved = over_blocks(df, keys, order, moves, back=1, **kw)
-    return over_blocks(moved, keys, order, build, back=k - 1, **kw).drop("_gain", "_loss")
+    return moves, build
 
 
-def bollinger(df: DataFrame, column: str, k: int = 20, keys=KEYS, order=ORDER, **kw) -> DataFrame:
-    def build(w):
-        c = F.col(column)
-        mean, dev = full(F.avg(c), c, w, k), full(F.stddev_samp(c), c, w, k)
-        upper, lower = mean + dev * 2, mean - dev * 2
-        return {
-            "bollinger_upper": upper, "bollinger_lower": lower, "bollinger_width": upper - lower,
-            "bollinger_position": F.try_divide(c - lower, upper - lower),
-        }
+def rsi(df: DataFrame, column: str, k: int = 14, keys=KEYS, order=ORDER, **kw) -> DataFrame:
+    """Relative strength from simple means of gains and losses; the first difference counts as 0."""
+    moves, build = rsi_stages([column], k)
+    return over_blocks(df, keys, order, moves, build, back=k, **_with_hot(df, keys, kw)).drop(f"_gain_{column}", f"_loss_{column}")
 
-    return over_blocks(df, keys, order, build, back=k - 1, **kw)
+
+def bollinger_columns(column: str, w: WindowSpec, names: Sequence[str], k: int = 20) -> dict[str, Column]:
+    """Upper and lower band, their distance, and with a fourth name the value's place between them."""
+    c = F.col(column)
+    mean, dev = full(F.avg(c), c, w, k), full(F.stddev_samp(c), c, w, k)
+    upper, lower = mean + dev * 2, mean - dev * 2
+    return dict(zip(names, (upper, lower, upper - lower, F.try_divide(c - lower, upper - lower))))
+
+
+BANDS = ("bollinger_upper", "bollinger_lower", "bollinger_width", "bollinger_position")
+
+
+def bollinger(df: DataFrame, column: str, k: int = 20, keys=KEYS, order=ORDER, **kw) -> DataFrame:
+    return over_blocks(df, keys, order, lambda w: bollinger_columns(column, w, BANDS, k), back=k - 1, **kw)
 
 
 def macd(df: DataFrame, column: str, keys=KEYS, order=ORDER, **kw) -> DataFrame:
