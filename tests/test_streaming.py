@@ -1,7 +1,10 @@
 import datetime as dt
 import tempfile
 
+from pyspark.sql import functions as F
+
 from helpers import rows
+from tradewind.sources.versions import VersionedTable
 from tradewind.streaming import live
 
 
@@ -16,11 +19,50 @@ def test_upsert_over_many_batches(spark):
     path = write_files(df, 4)
     root = live.shared_folder(spark)
     stream = live.read_files(spark, path, "*.parquet", per_trigger=1)
-    q = live.upsert_into(stream, spark, root, "k", ["at"]).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.read.parquet(f"{root}/v{q.lastProgress['batchId']}")
-    # within one batch the newest row of a key wins; a later batch replaces the key
-    assert got.count() == 9 and rows(got.selectExpr("x = at * 2 AS ok").distinct()) == [(True,)]
+    table = VersionedTable(spark, f"{root}/table", ["k"], ["at"], stream.schema, buckets=4)
+    live.upsert_into(stream, table).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    # the newest row of a key wins, in whichever batch it came
+    assert rows(table.read(), "k", "at", "x") == sorted(((k, a, 2 * a) for k in range(9) for a in [max(x for x in range(200) if x % 9 == k)]), key=lambda r: tuple(map(str, r)))
+
+
+def test_merges_in_any_order_snapshots_and_repeats(spark):
+    schema = "k int, at int, x string"
+    table = VersionedTable(spark, live.shared_folder(spark), ["k"], ["at"], spark.createDataFrame([], schema).schema, buckets=3)
+    assert table.read().count() == 0
+    table.merge(spark.createDataFrame([(1, 5, "new"), (2, 1, "b"), (None, 1, "null key")], schema), ("s", 0))
+    table.snapshot("first")
+    before = table.manifest.read()[1]["buckets"]
+    table.merge(spark.createDataFrame([(1, 3, "late"), (1, 4, "late too")], schema), ("s", 1))
+    assert rows(table.read(), "k", "x") == [(1, "new"), (2, "b"), (None, "null key")]
+    after = table.manifest.read()[1]["buckets"]
+    assert sum(before[b] != after[b] for b in before) == 1  # only the bucket of key 1 was rewritten
+    again = spark.createDataFrame([(2, 9, "twice")], schema)
+    table.merge(again, ("s", 2))
+    number = table.manifest.read()[0]
+    table.merge(again.withColumn("at", F.lit(99)), ("s", 2))  # the same batch number: already applied
+    assert table.manifest.read()[0] == number and rows(table.read().where("k = 2"), "at") == [(9,)]
+    assert rows(table.read("first").where("k = 2"), "x") == [("b",)]
+    table.restore("first")
+    assert rows(table.read(), "k", "x") == [(1, "new"), (2, "b"), (None, "null key")]
+    table.merge(spark.createDataFrame([], schema))
+    assert table.read().count() == 3
+
+
+def test_a_lost_race_is_merged_again(spark):
+    schema = "k int, at int"
+    table = VersionedTable(spark, live.shared_folder(spark), ["k"], ["at"], spark.createDataFrame([], schema).schema, buckets=2)
+    other = VersionedTable(spark, table.root, ["k"], ["at"], table.schema, buckets=2)
+    publish, raced = table.manifest.publish, []
+
+    def late(entries, number):
+        if not raced:
+            raced.append(1)
+            other.merge(spark.createDataFrame([(1, 7), (3, 1)], schema))
+        return publish(entries, number)
+
+    table.manifest.publish = late
+    table.merge(spark.createDataFrame([(1, 2), (2, 2)], schema))
+    assert rows(table.read(), "k", "at") == [(1, 7), (2, 2), (3, 1)]
 
 
 def test_repeats_within_the_delay_are_dropped(spark):

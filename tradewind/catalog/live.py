@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradewind.catalog.domain import AREA_JOIN, CONGESTION
 from tradewind.catalog.registry import query
+from tradewind.session import checkpointed
 from tradewind.sources.adapters import VESSELS, _select
+from tradewind.sources.versions import VersionedTable
 from tradewind.streaming import live
 
 
@@ -58,13 +61,26 @@ def stream_alerts(t):
 
 @query("stream_upsert", """SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def stream_upsert(t):
+    return _upserted(t, events(t))
+
+
+def _upserted(t, feed):
+    root = live.shared_folder(t.spark)
+    updates = feed.select("user_id", "event_id", "ts", "value")
+    table = VersionedTable(t.spark, f"{root}/table", ["user_id"], ["ts", "event_id"], updates.schema)
+    live.upsert_into(updates, table).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("user_id", "event_id", "value")
+
+
+@query("stream_upsert_out_of_order", """SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def stream_upsert_out_of_order(t):
+    """Three files, one a batch, the latest rows first: a batch of older rows must not replace newer ones."""
     root = live.shared_folder(t.spark)
-    updates = events(t).select("user_id", "event_id", "ts", "value")
-    q = live.upsert_into(updates, t.spark, root, "user_id", ["ts", "event_id"]).option(
-        "checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"]
-    return t.spark.read.parquet(f"{root}/v{last}").select("user_id", "event_id", "value")
+    third = F.ntile(3).over(Window.partitionBy(F.pmod("event_id", F.lit(8))).orderBy(F.desc("ts")))
+    parts = checkpointed(t.events.withColumn("part", third))
+    for part in (1, 2, 3):
+        parts.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/feed")
+    return _upserted(t, live.read_files(t.spark, f"{root}/feed", "*.parquet", per_trigger=1))
 
 
 @query("stream_fresh_prices", """SELECT s.event_id, p.event_id AS price_id, p.value AS price FROM events s JOIN events p ON p.user_id = s.user_id AND p.ts BETWEEN s.ts - INTERVAL 5 MINUTE AND s.ts

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tradewind.catalog.registry import query
@@ -10,6 +12,7 @@ from tradewind.operators import series as S
 from tradewind.operators import stationarity as ST
 from tradewind.operators.disruption import label_disrupted
 from tradewind.operators.ports import congestion_index
+from tradewind.session import shared_folder
 
 
 @query("unit_root_test")
@@ -142,3 +145,16 @@ def classification_metrics(t):
 def regression_metrics(t):
     rows = t.lineitem.select("l_extendedprice", (F.col("l_quantity") * 2000.0).alias("guess"))
     return ml.regression_metrics(rows, "l_extendedprice", "guess")
+
+
+@query("reloaded_model_scores", """SELECT symbol, slope * supply_chain_complexity + intercept AS score FROM companies
+    CROSS JOIN (SELECT regr_slope(impact_score, supply_chain_complexity) AS slope, regr_intercept(impact_score, supply_chain_complexity) AS intercept FROM companies JOIN company_impacts USING (symbol))""",
+       uses="companies company_impacts", rnd="score")
+def reloaded_model_scores(t):
+    """The training driver fits a line, it is saved, loaded again and scores every company."""
+    rows = company_training(t)
+    trainers = {"company_impact": lambda: (ml.linear_regressor(["supply_chain_complexity"], "target").fit(rows), None)}
+    folder = f"{shared_folder(t.spark)}/models-{uuid.uuid4().hex}"
+    ml.save_models(ml.train_all(trainers), folder)
+    kept = ml.train_all(trainers, ml.load_models(["company_impact"], folder))
+    return ml.predict(kept["company_impact"], t.companies.select("symbol", "supply_chain_complexity"), "score").select("symbol", "score")

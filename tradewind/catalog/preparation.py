@@ -280,7 +280,14 @@ def cleaning_chain(t):
     return C.clean(measures(t, *VALUES))
 
 
-@query("cleaning_history")
+_SHARES = " + ".join(f"CAST(avg(CAST({c} IS NULL AS DOUBLE)) <= 0.5 AS BIGINT)" for c in VALUES)
+
+
+@query("cleaning_history", f"""WITH m AS (SELECT {', '.join(VALUES)} FROM measures), e AS (SELECT * FROM m WHERE coalesce({', '.join(f'CAST({c} AS VARCHAR)' for c in VALUES)}) IS NOT NULL),
+    d AS (SELECT DISTINCT * FROM e), n AS (SELECT (SELECT count(*) FROM m) AS m, (SELECT count(*) FROM e) AS e, (SELECT count(*) FROM d) AS d, (SELECT {_SHARES} FROM d) AS k),
+    s AS (SELECT unnest(['empty', 'duplicates', 'sparse', 'missing', 'outliers', 'types', 'validators']) AS step, unnest([m, e, d, d, d, d, d]) AS rows_in, unnest([6, 6, 6, k, k, k, k]) AS columns_in,
+        unnest([e, d, d, d, d, d, d]) AS rows_out, unnest([6, 6, k, k, k, k, k]) AS columns_out FROM n)
+    SELECT *, rows_out - rows_in AS row_change, columns_out - columns_in AS column_change FROM s""", uses="measures")
 def cleaning_history(t):
     steps: list = []
     C.clean(measures(t, *VALUES), history=steps)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tradewind import dims
 from tradewind.catalog.registry import query
 from tradewind.operators import freight, oplog
 from tradewind.sources import feeds, table_ops
+from tradewind.session import shared_folder
 from tradewind.sources.adapters import EVENTS_AS_OF, VIEWS
+from tradewind.sources.versions import VersionedTable
 
 
 @query("table_query", """SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice >= 100000
@@ -271,3 +275,69 @@ def health_severity(t):
 def business_event_counts(t):
     rows = oplog.business_events(t.events, F.col("event_type"), {"user": F.col("user_id"), "value": F.col("value")})
     return oplog.event_counts(rows)
+
+
+# --- written and read again -------------------------------------------------
+
+def _folder(t) -> str:
+    return f"{shared_folder(t.spark)}/written-{uuid.uuid4().hex}"
+
+
+@query("table_snapshots", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in ("customer", "orders", "part", "supplier")))
+def table_snapshots(t):
+    return table_ops.snapshot({n: t.table(n) for n in ("customer", "orders", "part", "supplier")}, _folder(t), "2024-02-01 00:00:00").select("table_name", "row_count")
+
+
+@query("restored_orders", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def restored_orders(t):
+    """A snapshot is taken, every third order changes and new ones come, then the snapshot is restored."""
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice").withColumn("version", F.lit(0))
+    table = VersionedTable(t.spark, _folder(t), ["o_orderkey"], ["version"], rows.schema, buckets=8)
+    table.merge(rows)
+    table.snapshot("before")
+    table.merge(rows.where("o_orderkey % 3 = 0").withColumns({"o_totalprice": F.col("o_totalprice") * 2, "version": F.lit(1)}))
+    table.merge(rows.withColumns({"o_orderkey": -F.col("o_orderkey") - 1, "version": F.lit(1)}))
+    table.restore("before")
+    return table.read().drop("version")
+
+
+@query("merged_orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders")
+def merged_orders(t):
+    """The later version comes first, the older one after it."""
+    rows = t.orders.select("o_orderkey", "o_totalprice").withColumn("version", F.lit(0))
+    table = VersionedTable(t.spark, _folder(t), ["o_orderkey"], ["version"], rows.schema, buckets=8)
+    table.merge(rows.where("o_orderkey % 3 = 0").withColumns({"o_totalprice": F.col("o_totalprice") * 2, "version": F.lit(1)}))
+    table.merge(rows)
+    return table.read().drop("version")
+
+
+@query("daily_runs", "SELECT CAST(ts AS DATE) AS date, count(*) AS events, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL")
+def daily_runs(t):
+    """Two collection runs written by day, one of them read back by its days."""
+    path = _folder(t)
+    for run in (0, 1):
+        table_ops.write_run(t.events.where(F.col("event_id") % 2 == run), path)
+    return t.spark.read.parquet(path).groupBy("date").agg(F.count("*").alias("events"), F.sum("event_id").alias("ids"))
+
+
+CSV = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz, l_returnflag string"
+
+
+def _delimited(t):
+    """Line items as text; those of line 7 have no number as quantity, those of line 6 no date."""
+    path, columns = _folder(t), [c.split()[0] for c in CSV.split(", ")]
+    rows = t.lineitem.select(*columns).withColumns({
+        "l_quantity": F.when(F.col("l_linenumber") == 7, "many").otherwise(F.col("l_quantity").cast("string")),
+        "l_shipdate": F.when(F.col("l_linenumber") == 6, "soon").otherwise(F.col("l_shipdate").cast("string"))})
+    rows.write.csv(path, header=True)
+    return table_ops.read_delimited(t.spark, path, CSV)
+
+
+@query("delimited_rows", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_shipdate, l_returnflag FROM lineitem WHERE l_linenumber < 6")
+def delimited_rows(t):
+    return _delimited(t)[0]
+
+
+@query("delimited_rejects", "SELECT CASE l_linenumber WHEN 7 THEN 'l_quantity' ELSE 'l_shipdate' END AS bad, count(*) AS n FROM lineitem WHERE l_linenumber >= 6 GROUP BY ALL")
+def delimited_rejects(t):
+    return _delimited(t)[1].groupBy(F.array_join("bad_columns", ",").alias("bad")).agg(F.count("*").alias("n"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tradewind.operators.freight import volatility_columns, volatility_of
 from tradewind.operators.ports import congestion_index
 from tradewind.operators.vessels import area_of, congestion_level
-from tradewind.sources.table_ops import upsert
+from tradewind.sources.versions import VersionedTable
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*", per_trigger: int | None = None) -> DataFrame:
@@ -71,13 +71,16 @@ def fresh_prices(signals: DataFrame, prices: DataFrame, key: str = "symbol", min
     return s.join(p, (F.col(key) == F.col("_key")) & recent, "inner").drop("_key")
 
 
-def upsert_into(updates: DataFrame, spark: SparkSession, root: str, key: str, order: Sequence[str]):
-    """Keep one row per key in versioned parquet; each batch writes a new version and then moves the pointer."""
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        current = f"{root}/v{batch_id - 1}"
-        base = session.read.parquet(current) if batch_id else batch.limit(0)
-        upsert(base, batch, order, key).write.mode("overwrite").parquet(f"{root}/v{batch_id}")
+def upsert_into(updates: DataFrame, table: VersionedTable):
+    """Keep one row per key, the last by the table's order, whatever files arrive first.
+
+    Each batch rewrites only the buckets its keys fall into. A batch that is run
+    again after a failure finds its number in the manifest and changes nothing.
+    """
+    stream = f"{table.root}/stream"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.merge(batch, (stream, number))
 
     return updates.writeStream.foreachBatch(merge)
 
