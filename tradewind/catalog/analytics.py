@@ -250,35 +250,41 @@ def dependency_scores(t):
     return S.dependency_scores(edges, 25, t.nation.select(F.col("n_name").alias("node")))
 
 
+def _one_place(value):
+    """SQL text of a double to one place: its shortest decimal form, ties away from zero."""
+    return f"CAST(CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(30, 18)), 1) AS DECIMAL(30, 1)) AS VARCHAR)"
+
+
 UNDER = """SELECT scenario, 'underweight' AS signal_type, sector AS source_sector, '' AS target_sector, least(1.0, abs(predicted_impact_30d) / 10) AS strength,
-    predicted_impact_30d AS expected_return, CASE WHEN vulnerability_score > 7 THEN 'high' ELSE 'medium' END AS risk_level, CAST(0.7 AS DOUBLE) AS confidence
-    FROM sector_impacts WHERE predicted_impact_30d < -3"""
+    predicted_impact_30d AS expected_return, CASE WHEN vulnerability_score > 7 THEN 'high' ELSE 'medium' END AS risk_level, CAST(0.7 AS DOUBLE) AS confidence,
+    'High vulnerability to supply chain disruptions (score: ' || """ + _one_place("vulnerability_score") + """ || ')' AS rationale FROM sector_impacts WHERE predicted_impact_30d < -3"""
 OVER = f"""SELECT s.scenario, 'overweight' AS signal_type, '' AS source_sector, sector AS target_sector, least(1.0, (coalesce(gain, 0) + (5 - vulnerability_score) / 5) / 2) AS strength,
-    greatest(2.0, 5 - vulnerability_score) AS expected_return, CASE WHEN vulnerability_score < 3 THEN 'low' ELSE 'medium' END AS risk_level, 0.6 + coalesce(gain, 0) * 0.2 AS confidence
-    FROM sector_impacts s LEFT JOIN (SELECT c.scenario, target_code, sum(impact_strength) AS gain FROM ({cross_sql('sector_impacts')}) c JOIN sector_impacts q
+    greatest(2.0, 5 - vulnerability_score) AS expected_return, CASE WHEN vulnerability_score < 3 THEN 'low' ELSE 'medium' END AS risk_level, 0.6 + coalesce(gain, 0) * 0.2 AS confidence,
+    'Low supply chain vulnerability and potential beneficiary of disruptions' AS rationale FROM sector_impacts s LEFT JOIN (SELECT c.scenario, target_code, sum(impact_strength) AS gain FROM ({cross_sql('sector_impacts')}) c JOIN sector_impacts q
         ON q.scenario = c.scenario AND q.sector_code = c.source_code AND q.predicted_impact_30d < -2 WHERE impact_strength > 0.3 GROUP BY ALL) g
         ON g.scenario = s.scenario AND g.target_code = s.sector_code
     WHERE vulnerability_score < 4 AND predicted_impact_30d > -1 AND (coalesce(gain, 0) > 0.3 OR vulnerability_score < 3)"""
-PAIR = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY predicted_impact_30d, sector) AS lo, row_number() OVER (PARTITION BY scenario ORDER BY predicted_impact_30d DESC, sector DESC) AS hi FROM sector_impacts)
+PAIR = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY predicted_impact_30d, sector) AS lo, row_number() OVER (PARTITION BY scenario ORDER BY predicted_impact_30d DESC, sector DESC) AS hi FROM sector_impacts)
     SELECT w.scenario, 'pair_trade' AS signal_type, w.sector AS source_sector, b.sector AS target_sector, least(1.0, (b.predicted_impact_30d - w.predicted_impact_30d) / 10) AS strength,
-    b.predicted_impact_30d - w.predicted_impact_30d AS expected_return, 'medium' AS risk_level, CAST(0.6 AS DOUBLE) AS confidence
+    b.predicted_impact_30d - w.predicted_impact_30d AS expected_return, 'medium' AS risk_level, CAST(0.6 AS DOUBLE) AS confidence,
+    'Pair trade: Short ' || w.sector || ' (impact: ' || {_one_place("w.predicted_impact_30d")} || '), Long ' || b.sector || ' (impact: ' || {_one_place("b.predicted_impact_30d")} || ')' AS rationale
     FROM r w JOIN r b ON b.scenario = w.scenario AND b.sector <> w.sector AND b.predicted_impact_30d - w.predicted_impact_30d > 3 WHERE w.lo <= 3 AND b.hi <= 3"""
 SIG_USES, SIG_RND = "sector_impacts edges sectors", "strength expected_return confidence"
 
 
 @query("underweight_signals", UNDER, uses=SIG_USES, rnd=SIG_RND)
 def underweight_signals(t):
-    return S.underweight_signals(t.sector_impacts).drop("rationale")
+    return S.underweight_signals(t.sector_impacts)
 
 
 @query("overweight_signals", OVER, uses=SIG_USES, rnd=SIG_RND)
 def overweight_signals(t):
-    return S.overweight_signals(t.sector_impacts, cross_sector_impact(t)).drop("rationale")
+    return S.overweight_signals(t.sector_impacts, cross_sector_impact(t))
 
 
 @query("pair_trades", PAIR, uses=SIG_USES, rnd=SIG_RND)
 def pair_trades(t):
-    return S.pair_trades(t.sector_impacts).drop("rationale")
+    return S.pair_trades(t.sector_impacts)
 
 
 ROTATION = f"{UNDER} UNION ALL {OVER} UNION ALL SELECT * FROM ({PAIR})"
@@ -286,17 +292,10 @@ ROTATION = f"{UNDER} UNION ALL {OVER} UNION ALL SELECT * FROM ({PAIR})"
 
 @query("rotation_signals", f"SELECT * FROM ({ROTATION}) ORDER BY strength * confidence DESC", uses=SIG_USES, rnd=SIG_RND)
 def rotation_signals(t):
-    return S.rotation_signals(t.sector_impacts, cross_sector_impact(t)).drop("rationale")
-
-
-def _one_place(value):
-    """SQL text of a double to one place: its shortest decimal form, ties away from zero."""
-    return f"CAST(CAST(round(CAST(CAST({value} AS VARCHAR) AS DECIMAL(30, 18)), 1) AS DECIMAL(30, 1)) AS VARCHAR)"
+    return S.rotation_signals(t.sector_impacts, cross_sector_impact(t))
 
 
-@query("signal_rationale", "SELECT p.scenario, source_sector, target_sector, 'Pair trade: Short ' || source_sector || ' (impact: ' || "
-    + _one_place("w.predicted_impact_30d") + " || '), Long ' || target_sector || ' (impact: ' || " + _one_place("b.predicted_impact_30d") + " || ')' AS rationale FROM (" + PAIR + """) p
-    JOIN sector_impacts w ON w.scenario = p.scenario AND w.sector = source_sector JOIN sector_impacts b ON b.scenario = p.scenario AND b.sector = target_sector""", uses=SIG_USES)
+@query("signal_rationale", f"SELECT scenario, source_sector, target_sector, rationale FROM ({PAIR})", uses=SIG_USES)
 def signal_rationale(t):
     return S.pair_trades(t.sector_impacts).select("scenario", "source_sector", "target_sector", "rationale")
 

@@ -68,7 +68,7 @@ VIEWS["outlook_trades"] = (("outlook_companies", "outlook_rotation", "companies"
     UNION ALL SELECT scenario, 'sector', symbol, sector, signal_type, strength, target_weight, expected_return, confidence, risk_level, entry_price, stop_loss, take_profit, NULL, NULL FROM (WITH {_ROTATED})""")
 _ESG = T.ADJUST.replace("FROM signals g", "FROM outlook_trades g").replace("SELECT g.symbol, g.signal_type, g.strength", "SELECT g.*")
 ESG_RND = "esg_adjustment_factor esg_adjusted_strength sdg_alignment_score"
-VIEWS["outlook_esg"] = (("outlook_trades", "esg_scores", "sustainability"),
+VIEWS["outlook_esg"] = (("outlook_trades", "esg_rated", "sustainability"),
                         _ESG.replace("    SELECT symbol, CASE WHEN scored", "    SELECT scenario, origin, symbol, CASE WHEN scored"))
 
 
@@ -94,7 +94,7 @@ def pipeline_sector_impact(t):
 
 @query("pipeline_rotation_signals", "SELECT * FROM outlook_rotation", uses="outlook_rotation", rnd=A.SIG_RND)
 def pipeline_rotation_signals(t):
-    return outlook(t).rotation_signals().drop("rationale")
+    return outlook(t).rotation_signals()
 
 
 @query("pipeline_trade_signals", "SELECT * FROM outlook_trades", uses="outlook_trades", rnd=TRADE_RND)

@@ -400,7 +400,7 @@ def _texts(kind: str) -> str:
 
 
 SDG = ", ".join(f"CASE WHEN {f} > {floor} THEN {f} * {w} END" for f, floor, w in E.SDG_TERMS)
-ADJUST = f"""WITH j AS (SELECT g.symbol, g.signal_type, g.strength, e.symbol IS NOT NULL AS scored, s.symbol IS NOT NULL AS has_chain, e.* EXCLUDE (symbol), s.* EXCLUDE (symbol) FROM signals g LEFT JOIN esg_scores e ON e.symbol = g.symbol LEFT JOIN sustainability s ON s.symbol = g.symbol),
+ADJUST = f"""WITH j AS (SELECT g.symbol, g.signal_type, g.strength, e.symbol IS NOT NULL AS scored, s.symbol IS NOT NULL AS has_chain, e.* EXCLUDE (symbol), s.* EXCLUDE (symbol) FROM signals g LEFT JOIN esg_rated e ON e.symbol = g.symbol LEFT JOIN sustainability s ON s.symbol = g.symbol),
     a AS (SELECT *, {' * '.join(f'CASE WHEN {_hit(r)} THEN {r.factor}e0 ELSE 1e0 END' for r in E.RULES)} AS f, {_texts('positive')} AS pos, {_texts('negative')} AS neg, {_texts('risk')} AS rsk, list_avg(list_filter([{SDG}], lambda x: x IS NOT NULL)) AS sdg FROM j),
     b AS (SELECT *, signal_type = 'short' AND len(neg) > len(pos) AS flip FROM a),
     c AS (SELECT *, 1 + (CASE WHEN flip THEN 2 - f ELSE f END - 1) * 0.3 AS factor, CASE WHEN flip THEN list_append(pos, 'ESG concerns support short thesis') ELSE pos END AS pos2 FROM b)
@@ -411,10 +411,10 @@ ADJUST = f"""WITH j AS (SELECT g.symbol, g.signal_type, g.strength, e.symbol IS
         CASE WHEN len(rsk) > 0 THEN concat('Risks: ', array_to_string(rsk[1:2], ', ')) END), '.') END AS esg_rationale FROM c"""
 
 
-@query("esg_adjusted_signals", ADJUST, uses="signals esg_scores sustainability", rnd="esg_adjustment_factor esg_adjusted_strength sdg_alignment_score")
+@query("esg_adjusted_signals", ADJUST, uses="signals esg_rated sustainability", rnd="esg_adjustment_factor esg_adjusted_strength sdg_alignment_score")
 def esg_adjusted_signals(t):
     signals = company_signals(t).select("symbol", "signal_type", "strength")
-    out = E.adjust_signals(signals, t.esg_scores, t.sustainability)
+    out = E.adjust_signals(signals, t.esg_rated, t.sustainability)
     return out.select(
         "symbol", "esg_adjustment_factor", "esg_adjusted_strength", "esg_adjustment_reason", j("esg_positive_factors", "; ").alias("positive"),
         j("esg_negative_factors", "; ").alias("negative"), j("esg_risk_factors", "; ").alias("risk"), "sdg_alignment_score", "esg_rationale")

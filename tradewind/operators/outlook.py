@@ -175,7 +175,7 @@ class Outlook:
         return self.chain.table("trade_signals", build)
 
     def esg_signals(self) -> DataFrame:
-        return self.chain.table("esg_signals", lambda: esg.adjust_signals(self.trade_signals(), self.t.esg_scores.drop("custkey"), self.t.sustainability))
+        return self.chain.table("esg_signals", lambda: esg.adjust_signals(self.trade_signals(), self.t.esg_rated.drop("custkey"), self.t.sustainability))
 
     def orders(self) -> DataFrame:
         return self.chain.table("orders", lambda: orders(self.esg_signals(), self.t.positions, dims.LIMITS["capital"]))

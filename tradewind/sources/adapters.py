@@ -198,7 +198,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         COMPANIES, "FROM customer JOIN nation ON n_nationkey = c_nationkey") + ") c JOIN sectors s USING (sector_code)"),
     "esg_raw": ((), " UNION ALL ".join(
         _sql(_esg_columns(p), f"FROM customer WHERE {_esg_present(p)}") for p in range(4))),
-    "esg_scores": ((), _sql(_esg_score_columns(), "FROM customer WHERE c_mktsegment <> 'FURNITURE'")),
+    "esg_scores": ((), _sql(_esg_score_columns(), "FROM customer")),
+    # companies that no provider of overall scores has rated: their signals meet no score
+    "esg_rated": (("esg_scores",), "SELECT e.* FROM esg_scores e JOIN customer ON c_custkey = custkey WHERE c_mktsegment <> 'FURNITURE'"),
     "sustainability": ((), _sql({
         "symbol": "concat('C', CAST(c_custkey AS STRING))",
         **{f: f"CAST((c_custkey * {7 + 4 * i}) % 101 AS DOUBLE)" for i, f in enumerate(SUSTAINABILITY_FIELDS)},
@@ -377,6 +379,10 @@ class Tables:
 
     @cached_property
     def esg_scores(self) -> DataFrame:
+        return self._view(self.customer, _esg_score_columns())
+
+    @cached_property
+    def esg_rated(self) -> DataFrame:
         return self._view(self.customer.where("c_mktsegment <> 'FURNITURE'"), _esg_score_columns())
 
     @cached_property
