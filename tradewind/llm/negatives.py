@@ -183,10 +183,10 @@ def hard_negatives(vectors: DataFrame, every: int, positives: int = 5, negatives
     last = held.agg(F.max("slice")).first()[0] or 0
     far = asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(spans, "slice").filter(
         "length * longest * (1 + 1e-9) >= lowest and (first != label or last != label)").select("slice", "team", "anchor", "label", "v", "lows", "highs")
-    got = _visited(sliced, far, groups, positives, negatives).join(asked.select("anchor", "ats"), "anchor").select(
-        "anchor", F.element_at("ats", F.col("band") + 1).alias("at"), F.col("other").alias("negative_id"), F.col("score").alias("negative_score"))
-    order = Window.partitionBy("anchor", "at").orderBy(F.desc("negative_score"), "negative_id")
-    got = got.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
+    order = Window.partitionBy("anchor", "band").orderBy(F.desc("score"), "other")
+    got = _visited(sliced, far, groups, positives, negatives).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
+    got = got.join(asked.select("anchor", "ats"), "anchor").select(
+        "anchor", F.element_at("ats", F.col("band") + 1).alias("at"), "rank", F.col("other").alias("negative_id"), F.col("score").alias("negative_score"))
     return got.join(pairs, ["anchor", "at"]).select(F.col("anchor").alias("anchor_id"), "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
