@@ -212,12 +212,15 @@ def predicted(docs: DataFrame, samples: Samples, doc_id: str = "doc_id", text: s
         predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double, phrase_bytes double")
 
 
-def in_known_language(docs: DataFrame, samples: Samples, text: str = "text", least_phrase: float = 2.0) -> DataFrame:
+def in_known_language(docs: DataFrame, samples: Samples, text: str = "text", least_phrase: float = 2.0, least_letters: int = 20) -> DataFrame:
     """The documents in one of the learned languages, columns as they came.
 
     Rejected are texts without a letter (null and empty ones too) and texts
     that even the best language takes apart into phrases of fewer than
     ``least_phrase`` bytes on average, as random characters or another script.
+    Texts of fewer than ``least_letters`` letters say too little for that and
+    stay: a text of one letter has one phrase of one byte in any language.
+    Repeated rows and null ids are rows like others; an empty table stays empty.
     """
     workers_import(docs.sparkSession)
     at = docs.columns.index(text)
@@ -226,7 +229,9 @@ def in_known_language(docs: DataFrame, samples: Samples, text: str = "text", lea
         import pyarrow as pa
 
         for batch in batches:
-            langs, _, lengths = judged(batch.column(at).to_pylist(), samples)
-            yield batch.filter(pa.array([lang != "und" and n >= least_phrase for lang, n in zip(langs, lengths)], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            langs, _, lengths = judged(texts, samples)
+            yield batch.filter(pa.array([
+                lang != "und" and (n >= least_phrase or sum(c.isalpha() for c in t) < least_letters) for t, lang, n in zip(texts, langs, lengths)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -46,19 +46,21 @@ class TemplateJoin:
     """Templates as token sets in one global order, rarest first, with an index over their prefixes.
 
     A block contains a template to the share if it has ``need`` of its tokens,
-    need = ceil(share * size). It then holds one of the template's
+    need = ceil(share * size), or all of them if the template has fewer than
+    ``whole_below``: a share of a short one may lack the very word that tells it
+    from another license. It then holds one of the template's
     size - need + 1 rarest tokens (prefix filter), has ``need`` known tokens
     (length filter), and what follows a first common token on either side must
     still allow ``need`` in all (positional filter).
     """
 
-    def __init__(self, templates, order: dict[bytes, int], share: float):
+    def __init__(self, templates, order: dict[bytes, int], share: float, whole_below: int = 10):
         self.sets, self.need, self.labels = [], [], []
         self.order = order
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for t, (text, label) in enumerate(templates):
             tokens = sorted(set(alnum_words(text)), key=order.__getitem__)
-            need = max(1, math.ceil(share * len(tokens) - 1e-9))
+            need = len(tokens) if len(tokens) < whole_below else max(1, math.ceil(share * len(tokens) - 1e-9))
             self.sets.append(frozenset(tokens))
             self.need.append(need)
             self.labels.append(label)
@@ -102,14 +104,17 @@ def token_order(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dict[byte
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (n.get(w, 0), w)))}
 
 
-def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES, share: float = 0.8) -> DataFrame:
+def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES, share: float = 0.8,
+                 whole_below: int = 10) -> DataFrame:
     """Phrase places and license labels of every whole text.
 
     Blocks are runs of twice the longest template's words, one starting at
     every half of that, so each run as long as a template lies in a block.
     ``matches`` lists (first word of the block, label, containment) of every
     block and template that meet. The score is 1 with a phrase, else the best
-    containment, else 0. Null and empty texts have no words, no places and no
+    containment, else 0. Templates of fewer than ``whole_below`` tokens must be
+    contained whole. Ties do not arise: all templates that meet are listed, and
+    columns other than id and text are not read. Null and empty texts have no words, no places and no
     labels (empty strings); rows that repeat repeat.
     """
     spark = docs.sparkSession
@@ -124,7 +129,7 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ph
     def scan(batches: Iterator):
         import pyarrow as pa
 
-        join = TemplateJoin(templates, order, share)
+        join = TemplateJoin(templates, order, share, whole_below)
         starts: dict[bytes, list[tuple[list[bytes], str]]] = {}
         for phrase, label in phrases:
             words = alnum_words(phrase)
