@@ -19,7 +19,8 @@ HEADLINE = [
     "mutual_information", "position_feed_upper", "port_page_numbers", "text_congestion", "upsert", "all_disruptions", "company_impact",
     "shipment_disruption_labels", "sector_impact", "cross_sector_impact", "rotation_signals", "company_trade_signals", "order_booking",
     "mark_to_market", "portfolio_metrics", "performance_metrics", "backtest", "return_covariance", "provider_merge", "composite_scores",
-    "esg_adjusted_signals", "operation_timing",
+    "esg_adjusted_signals", "operation_timing", "unit_root_test", "level_stationarity_test", "feature_engineering_full", "outliers_isolation_forest",
+    "series_forest_anomalies", "impute_nearest", "pipeline_orders", "stream_upsert", "train_rate_volatility", "sector_correlation",
 ]
 
 
