@@ -76,3 +76,28 @@ def test_alerts_are_stateless(spark):
     df = spark.createDataFrame([(1, 0.9, 40.0, 18, 0.8), (2, 0.1, 1.0, 0, 0.1)], "id int, berth_utilization double, avg_waiting_time double, queue_length int, storage_utilization double")
     out = live.run_once(live.congestion_alerts(live.read_files(spark, write_files(df, 2))))
     assert rows(out, "id") == [(1,)]
+
+
+def test_closed_windows_keep_bounded_state_and_leave_late_rows_out(spark):
+    """Six daily files and a late one: each window is sent once, state follows lanes and open windows, not rows."""
+    root = live.shared_folder(spark)
+    base = dt.datetime(2024, 1, 1)
+    rates = {}
+    for day in range(12):
+        batch = [(lane, base + dt.timedelta(days=day, minutes=m), float(100 + (m * 7 + day * 13) % 50)) for lane in ("a", "b") for m in range(0, 1440, 12)]
+        rates[day] = batch
+        late = [("a", base + dt.timedelta(hours=1), 1e9)] if day == 9 else []
+        spark.createDataFrame(batch + late, "lane string, ts timestamp_ntz, rate_40ft double").coalesce(1).write.mode("append").parquet(f"{root}/feed")
+    feed = live.read_files(spark, f"{root}/feed", "*.parquet", per_trigger=1)
+    progress = []
+    got = live.run_once(live.closed_volatility(feed, ["lane"], days=3, delay="6 hours"), progress=progress).collect()
+    assert len(got) == len({(r["window_start"], r["lane"]) for r in got})
+    for r in got:
+        days = [(r["window_start"] - base).days + i for i in range(3)]
+        held = [x for d in days for lane, _, x in rates.get(d, []) if lane == r["lane"]]
+        mean = sum(held) / len(held)
+        std = (sum((x - mean) ** 2 for x in held) / len(held)) ** 0.5
+        assert r["n_rates"] == len(held) and abs(r["mean_rate"] - mean) < 1e-6 and abs(r["volatility"] - std / mean) < 1e-9
+    assert {r["window_start"] for r in got} >= {base + dt.timedelta(days=d) for d in range(-2, 8)}
+    sizes = [op["numRowsTotal"] for p in progress for op in p["stateOperators"]]
+    assert len(progress) >= 12 and max(sizes) <= 2 * 6 and sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"]) >= 1

@@ -49,6 +49,24 @@ def stream_sliding_volatility(t):
     return live.run_once(live.sliding_volatility(rates, ["event_type"]), "complete")
 
 
+def by_days(t, batches: int = 4):
+    """The events as a feed of several files that come in the order of their days, one a batch."""
+    root = live.shared_folder(t.spark)
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    for k in range(batches):
+        low, high = (F.lit(31 * x // batches) for x in (k, k + 1))
+        t.events.where((day >= low if k else F.lit(True)) & (day < high if k + 1 < batches else F.lit(True))).coalesce(1).write.mode("append").parquet(f"{root}/feed")
+    return live.read_files(t.spark, f"{root}/feed", "*.parquet", per_trigger=1)
+
+
+@query("stream_closed_volatility", f"""SELECT * FROM (SELECT window_start, event_type, count(*) AS n_rates, avg(nullif(value, 0)) AS mean_rate, {VOL} AS volatility
+    FROM (SELECT *, date_trunc('day', ts) - to_days(CAST(i AS INT)) AS window_start FROM events, range(0, 7) AS r(i)) GROUP BY window_start, event_type)
+    WHERE window_start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""", rnd="mean_rate volatility", places=5)
+def stream_closed_volatility(t):
+    rates = by_days(t).select("ts", "event_type", F.col("value").alias("rate_40ft"))
+    return live.run_once(live.closed_volatility(rates, ["event_type"], days=7))
+
+
 @query("stream_alerts", """SELECT event_id, list_avg([least(value / 48.0, 1.0), least(event_id % 30 / 20.0, 1.0)]) AS congestion_index FROM events
     WHERE list_avg([least(value / 48.0, 1.0), least(event_id % 30 / 20.0, 1.0)]) > 0.7""", rnd="congestion_index")
 def stream_alerts(t):

@@ -58,6 +58,29 @@ def sliding_volatility(rates: DataFrame, keys: Sequence[str] = ("origin", "desti
         F.col("window.start").cast("timestamp_ntz").alias("window_start"), *keys, "n_rates", "mean_rate", "volatility")
 
 
+def closed_volatility(rates: DataFrame, keys: Sequence[str] = ("origin", "destination"), rate: str = "rate_40ft", ts: str = "ts", days: int = 30,
+                      delay: str = "1 day") -> DataFrame:
+    """Rate volatility per lane over sliding windows of days, each sent once when it has closed.
+
+    Rates fold into one row per lane and day first; when the watermark closes a
+    day, its sums enter the ``days`` windows that hold it. What is kept is a row
+    for each lane and open day and one for each lane and open window, however
+    many rates arrive; a rate later than the delay is left out, as its day has
+    been sent. The rows of a day are folded around the lane's first rate of it.
+    """
+    keys = list(keys)
+    valid = F.when(F.col(rate) != 0, F.col(rate).cast("double"))
+    daily = rates.withColumn("at", event_time(ts)).withWatermark("at", delay).groupBy(F.window("at", "1 day").alias("day"), *keys).agg(
+        F.count("*").alias("_n"), F.count(valid).alias("_k"), F.coalesce(F.avg(valid), F.lit(0.0)).alias("_m"), F.coalesce(F.var_pop(valid), F.lit(0.0)).alias("_v"))
+    k, m = F.col("_k"), F.col("_m")
+    sums = daily.select(F.window_time("day").alias("at"), *keys, "_n", "_k", (k * m).alias("_s"), (k * (F.col("_v") + m * m)).alias("_q"))
+    windows = sums.groupBy(F.window("at", f"{days} days", "1 day").alias("window"), *keys).agg(*[F.sum(c).alias(c) for c in ("_n", "_k", "_s", "_q")])
+    mean = F.try_divide("_s", "_k")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide("_q", "_k") - mean * mean))
+    return volatility_of(windows.select(
+        F.col("window.start").cast("timestamp_ntz").alias("window_start"), *keys, F.col("_n").alias("n_rates"), F.col("_k").alias("n_valid"), mean.alias("_mean"), spread.alias("_std")))
+
+
 def congestion_alerts(metrics: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Stateless alert filter."""
     return metrics.withColumn("congestion_index", congestion_index()).where(F.col("congestion_index") > threshold)
@@ -96,10 +119,11 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(root, f"stream-{uuid.uuid4().hex}")
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
     """Drain what is there and return the written rows (for batch twins and tests).
 
-    Append mode writes parquet files exactly once; complete mode rewrites the result table per batch.
+    Append mode writes parquet files exactly once; complete mode rewrites the
+    result table per batch. ``progress`` takes up what each batch reports.
     """
     spark = stream.sparkSession
     root = shared_folder(spark)
@@ -109,6 +133,8 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     else:
         query = writer.outputMode(mode).foreachBatch(_rewrite(f"{root}/rows")).start()
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
