@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tradewind.functions.quantiles import exact_quantiles, modes
-from tradewind.operators.isolation import series_outliers
 from tradewind.functions.rowwise import numeric_columns, text_columns
+from tradewind.operators.isolation import series_outliers
 from tradewind.operators.quality import outlier_flag, profile_row
 from tradewind.plans.blocks import is_hot, running, with_position
 from tradewind.plans.topk import top_k
+from tradewind.session import checkpointed
 
 
 def coerce_types(df: DataFrame, columns: Sequence[str] | None = None, share: float = 0.8) -> DataFrame:
@@ -289,8 +290,8 @@ def clean(
 ) -> DataFrame:
     """The whole chain: empty, duplicate, sparse, missing, outlying, mistyped, invalid.
 
-    The duplicate-free rows are persisted because every later step first needs
-    statistics over them.
+    The duplicate-free rows are written to the shared folder because every later
+    step first needs statistics over them.
     """
     def note(step: str, before: DataFrame, after: DataFrame) -> DataFrame:
         if history is not None:
@@ -298,7 +299,7 @@ def clean(
         return after
 
     out = note("empty", df, drop_empty(df))
-    out = note("duplicates", out, out.dropDuplicates()).persist()
+    out = note("duplicates", out, checkpointed(out.dropDuplicates()))
     out = note("sparse", out, drop_sparse(out, target=target))
     numbers = [c for c in numeric_columns(out) if c != target]
     texts = [c for c in text_columns(out) if c != target]

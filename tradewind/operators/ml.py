@@ -63,6 +63,8 @@ def train_regression(df: DataFrame, pipeline: Pipeline, label: str, key: Sequenc
     report = df.sparkSession.createDataFrame(
         [(type(model.stages[-1]).__name__, train.count() + test.count(), score(train, "r2"), score(test, "r2"), score(test, "mse"))],
         "model string, samples bigint, train_r2 double, test_r2 double, test_mse double")
+    for rows in (train, test):
+        rows.unpersist()
     return model, report
 
 
@@ -78,6 +80,8 @@ def train_classifier(df: DataFrame, pipeline: Pipeline, label: str, key: Sequenc
     report = df.sparkSession.createDataFrame(
         [(type(model.stages[-1]).__name__, train.count() + test.count(), facts["accuracy"], auc)],
         "model string, samples bigint, accuracy double, auc double")
+    for rows in (train, test, predicted):
+        rows.unpersist()
     return model, report
 
 

@@ -6,14 +6,13 @@ query), so the same code runs from files, Kafka or any other source.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewind import session
 from tradewind.operators.freight import volatility_columns, volatility_of
 from tradewind.operators.ports import congestion_index
 from tradewind.operators.vessels import area_of, congestion_level
@@ -109,14 +108,8 @@ def upsert_into(updates: DataFrame, table: VersionedTable):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder; a local session without one gets its own."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="tradewind-stream-")
-    return os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    """A fresh folder below the shared folder of the cluster."""
+    return f"{session.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_once(stream: DataFrame, mode: str = "append", progress: list | None = None) -> DataFrame:
