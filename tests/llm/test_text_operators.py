@@ -112,8 +112,31 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.deduplicated(none).count() == 0
 
 
-def test_unresolved_buckets_are_compared(spark):
+def test_spanning_links_join_what_all_pairs_join():
+    draw = np.random.default_rng(7)
+    for _ in range(30):
+        base = draw.integers(0, 2**63, 60, dtype=np.uint64)
+        sets = [np.unique(np.where(draw.random(60) < 0.12, draw.integers(0, 2**63, 60, dtype=np.uint64), base)) for _ in range(25)]
+        sets.append(base[:3])
+        roots = draw.integers(0, 12, len(sets))
+        sides = draw.random(len(sets)) < 0.5
+        for left, right in ((np.flatnonzero(sides), np.flatnonzero(~sides)), (np.arange(len(sets)),) * 2):
+            def joined(pairs):
+                label = roots.copy()
+                for i, j in pairs:
+                    label[label == label[i]] = label[j]
+                return len(set(label.tolist()))
+
+            linked = [(i, j) for i in left for j in right if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))]
+            got = minhash.spanning_links(sets, roots, left, right, 75, 100)
+            assert set(got) <= set(linked) and joined(got) == joined(linked)
+            assert len(got) == len(set(roots.tolist())) - joined(linked)
+
+
+@pytest.mark.parametrize("block", [262_144, 300])
+def test_unresolved_buckets_are_compared(spark, monkeypatch, block):
     """Three texts in a row: the outer ones link only through the middle one, whatever the buckets' first nodes are."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
     words = [f"w{i}" for i in range(400)]
     chain = [" ".join(words[k:k + 200]) for k in range(0, 200, 12)]
     rows = [(i, t, "en", "s", 0, None, None, None) for i, t in enumerate(chain)]

@@ -15,6 +15,8 @@ _ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+#: Bytes of a batch of rows between Spark and its Python workers; a longer row is a batch of its own.
+BATCH_BYTES = 1 << 22
 #: Of a worker process: the models of one operator.
 _kept: dict[str, dict] = {}
 
@@ -47,7 +49,12 @@ def space_words(text: str | None, lower: bool = True) -> list[bytes]:
 
 
 def workers_import(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package; clusters ship it with ``--py-files``."""
+    """Let Python workers of a local session import this package; clusters ship it with ``--py-files``.
+
+    Rows go to the workers in batches of BATCH_BYTES instead of 10,000 rows:
+    an executor's memory outside the heap then doesn't grow with the texts.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 

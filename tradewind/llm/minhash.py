@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import components, kept, partitions, space_words, stored, workers_import
+from tradewind.llm.common import BATCH_BYTES, components, kept, partitions, space_words, stored, workers_import
 
 BANDS, ROWS = 32, 4  # a pair at a similarity of 0.75 meets in no band with probability (1 - 0.75^4)^32 = 5e-6
 SHINGLE = 5
@@ -17,6 +17,8 @@ PAIRED = "a long, b long"
 #: Nodes whose ids may be broadcast to find their texts; beyond, the texts are joined by a shuffle.
 BROADCAST_NODES = 500_000
 BLOCK = 128
+#: Shingles of a block of a bucket on average (2 MB of hashes).
+BLOCK_SHINGLES = 262_144
 
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _draw = np.random.default_rng(20240229)
@@ -27,7 +29,7 @@ _B = _draw.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 class WordHashes(dict):
     """64-bit hash of a word, made once; at most ``most`` words stay in memory."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         import xxhash
 
         super().__init__()
@@ -84,8 +86,8 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             n, digests, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
-                values = shingle_set(text)
+            for text in batch.column(1):
+                values = shingle_set(text.as_py())
                 n.append(len(values))
                 digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 sigs.append(signature(values).tobytes() if len(values) else None)
@@ -96,6 +98,38 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sketch, f"doc_id {kind}, text_hash long, n long, digest binary, sig binary")
 
 
+def _full_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(center, part, role, digest, values) for (node, center, part, role): the full set of every wanted node, made from its text."""
+    side = stored(
+        wanted.join(nodes.select("node", F.col("doc_id").alias("own"), "text_hash", "digest"), "node").select("text_hash", "own", "digest", "center", "part", "role"), "wanted")
+    # a list below a stated size goes to the texts, else both meet by a shuffle
+    if side.count() <= BROADCAST_NODES:
+        side = F.broadcast(side)
+    found = texts.join(side, "text_hash").filter(F.col("doc_id").eqNullSafe(F.col("own"))).select("text", "digest", "center", "part", "role")
+
+    def packed(out):
+        import pyarrow as pa
+
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["center", "part", "role", "digest", "values"])
+
+    def sets(batches: Iterator):
+        for batch in batches:
+            out, held = [], 0
+            for text, digest, center, part, role in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:])):
+                raw = shingle_set(text.as_py()).tobytes()
+                if hashlib.blake2b(raw, digest_size=16).digest() == digest:
+                    out.append((center, part, role, digest, raw))
+                    held += len(raw)
+                if held >= BATCH_BYTES:
+                    yield packed(out)
+                    out, held = [], 0
+            if out:
+                yield packed(out)
+
+    return found.mapInArrow(sets, "center long, part long, role int, digest binary, values binary")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
@@ -111,33 +145,6 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, num: int, d
             F.col("b").alias("node"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK)).alias("part"), F.lit(1).alias("role"))
         .union(fan.select(F.col("a").alias("node"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)), F.lit(0))),
         "comparisons")
-    side = stored(
-        tasks.join(nodes.select("node", F.col("doc_id").alias("own"), "text_hash", "digest"), "node").select("text_hash", "own", "digest", "center", "part", "role"), "wanted")
-    # a list below a stated size goes to the texts, else both meet by a shuffle
-    if side.count() <= BROADCAST_NODES:
-        side = F.broadcast(side)
-    found = texts.join(side, "text_hash").filter(F.col("doc_id").eqNullSafe(F.col("own"))).select("text", "digest", "center", "part", "role")
-
-    def sets(batches: Iterator):
-        import pyarrow as pa
-
-        for batch in batches:
-            out: list[tuple] = []
-            for text, digest, center, part, role in zip(*(c.to_pylist() for c in batch.columns)):
-                values = shingle_set(text)
-                if hashlib.blake2b(values.tobytes(), digest_size=16).digest() == digest:
-                    out.append((center, part, role, digest, values.tobytes()))
-                if len(out) >= 500:
-                    yield packed(out)
-                    out = []
-            if out:
-                yield packed(out)
-
-    def packed(out):
-        import pyarrow as pa
-
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["center", "part", "role", "digest", "values"])
 
     def compare(batches: Iterator):
         import pyarrow as pa
@@ -159,17 +166,96 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, num: int, d
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], ["a", "digest"])
 
     linked = (
-        found.mapInArrow(sets, "center long, part long, role int, digest binary, values binary")
+        _full_sets(tasks, nodes, texts)
         .repartition(partitions(spark), "center", "part").sortWithinPartitions("center", "part", "role").mapInArrow(compare, "a long, digest binary"))
     return stored(linked.join(nodes.select(F.col("node").alias("b"), "digest"), "digest").select("a", "b").distinct(), "links")
 
 
-def _alike(sig_a: np.ndarray, sig_b: np.ndarray, least: int) -> np.ndarray:
-    """Which rows of two signature matrices agree in at least ``least`` minima, as a matrix."""
-    same = np.zeros((len(sig_a), len(sig_b)), np.int16)
-    for k in range(sig_a.shape[1]):
-        same += sig_a[:, k, None] == sig_b[None, :, k]
-    return same >= least
+def spanning_links(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Places (i, j) of linked sets, i in ``left`` and j in ``right``, of which each joins two components not joined so far.
+
+    Every pair of sets in different components is compared exactly; a pair
+    whose components an earlier link joined is not, as it adds nothing.
+    """
+    label = np.unique(roots, return_inverse=True)[1]
+    size = np.array([len(v) for v in sets])
+    columns = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    columns = np.split(columns, np.cumsum(size)[:-1])
+    mark = np.zeros(int(max(c.max() for c in columns)) + 1, np.int32)
+    all_right = np.concatenate([columns[j] for j in right])
+    links = []
+    for i in left:
+        near = (label[right] != label[i]) & (den * np.minimum(size[right], size[i]) >= num * np.maximum(size[right], size[i]))
+        some = right[near]
+        if not len(some):
+            continue
+        # few candidates: their columns alone; else those of the whole side, laid out once
+        those, gathered = (some, np.concatenate([columns[j] for j in some])) if 4 * len(some) < len(right) else (right, all_right)
+        mark[columns[i]] = 1
+        shared = np.add.reduceat(mark[gathered], np.concatenate(([0], np.cumsum(size[those])[:-1])))
+        mark[columns[i]] = 0
+        for j in those[den * shared >= num * (size[i] + size[those] - shared)]:
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _joining(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Links (a, b) between different components that share a bucket; None if no bucket holds two components.
+
+    Members of such a bucket are dealt to blocks of BLOCK_SHINGLES shingles on
+    average; a task holds two blocks and compares their full sets. A set goes
+    to each block of its buckets once, and a task gives at most one row per
+    set it holds. Buckets with the same members are compared once.
+    """
+    spark = members.sparkSession
+    rooted = members.drop("size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    unresolved = stored(
+        rooted.groupBy("key").agg(
+            F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("size"), F.sum("n").alias("shingles"),
+            F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
+        .filter("r < s").dropDuplicates(["size", "shingles", "h1", "h2"])
+        .select("key", F.least("size", F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")), "unresolved")
+    if unresolved.isEmpty():
+        return None
+    dealt = stored(
+        rooted.join(unresolved, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root"), "blocks")
+    wanted = dealt.select("node").distinct().select("node", F.col("node").alias("center"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("role"))
+    full = _full_sets(wanted, nodes, texts).select(F.col("center").alias("node"), "values").dropDuplicates(["node"])
+
+    def compare(batches: Iterator):
+        import pyarrow as pa
+
+        group, held = None, []
+
+        def links():
+            own, node, root = (np.array(c) for c in list(zip(*held))[:3])
+            if group is None or len(held) < 2 or (root == root[0]).all():
+                return
+            left, right = np.flatnonzero(own == group[1]), np.flatnonzero(own == group[2])
+            if len(left) and len(right):
+                pairs = spanning_links([np.frombuffer(h[3], np.uint64) for h in held], root, left, right, num, den)
+                if pairs:
+                    a, b = node[[i for i, _ in pairs]], node[[j for _, j in pairs]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            for key, x, y, own, node, root, values in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, x, y) != group:
+                    if held:
+                        yield from links()
+                    group, held = (key, x, y), []
+                held.append((own, node, root, values))
+        if held:
+            yield from links()
+
+    found = (
+        dealt.join(full, "node").select("key", "x", "y", "own", "node", "root", "values")
+        .repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(compare, PAIRED))
+    return stored(found.distinct(), "joining")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 75, den: int = 100) -> DataFrame:
@@ -183,9 +269,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Bands propose pairs: first every node with the center of a bucket that it
     meets most often, then, in buckets that still hold two components, all
-    pairs between different components block by block, as far as signatures
-    allow similarity (six deviations below the threshold). Pairs are confirmed
-    on full sets (64-bit shingle hashes).
+    pairs between different components, block by block. Both are decided on
+    full sets (64-bit shingle hashes).
     """
     rows, classes, roots = _grouped(docs, doc_id, text, num, den)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -245,7 +330,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> tup
         .select("node", "doc_id", "text_hash", "digest", "n", "sig").dropDuplicates(["node"]), "nodes")
     band = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * band + 1, band)) for k in range(BANDS)])
-    members = nodes.select("node", F.explode(keys).alias("key"))
+    members = nodes.select("node", "n", F.explode(keys).alias("key"))
     buckets = stored(members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = stored(members.join(buckets, "key"), "members")
     # a bucket's center is the member that meets the most others in all its buckets: an original rather than one of its copies
@@ -262,50 +347,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, num: int, den: int) -> tup
     links = _confirmed(first, nodes, ids, num, den)
     roots = components(links, "a", "b")
 
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_keys = stored(
-        rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max("size").alias("size")).filter("r < s").select("key", "size"), "unresolved")
-    if mixed_keys.count():
-        share = num / den
-        size = BANDS * ROWS
-        least = int(np.floor(size * share - 6 * np.sqrt(size * share * (1 - share))))
-        count = F.ceil(F.col("size") / BLOCK)
-        spread = (
-            rooted.drop("size").join(mixed_keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), count)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-            .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "root")
-            .join(nodes.select("node", "sig"), "node"))
-
-        def crossed(batches: Iterator):
-            import pyarrow as pa
-
-            group, held = None, []
-
-            def pairs():
-                if len(held) < 2:
-                    return
-                node, root = np.array([h[1] for h in held]), np.array([h[2] for h in held])
-                own = np.array([h[0] for h in held])
-                sig = np.frombuffer(b"".join(h[3] for h in held), "<u4").reshape(len(held), -1)
-                left, right = np.flatnonzero(own == group[1]), np.flatnonzero(own == group[2])
-                found = _alike(sig[left], sig[right], least) & (root[left][:, None] != root[right][None, :])
-                i, j = np.nonzero(found)
-                a, b = node[left[i]], node[right[j]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-            for batch in batches:
-                for key, x, y, own, node, root, sig in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (key, x, y) != group:
-                        yield from pairs()
-                        group, held = (key, x, y), []
-                    held.append((own, node, root, sig))
-            yield from pairs()
-
-        proposed = (
-            spread.select("key", "x", "y", "own", "node", "root", "sig").repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y")
-            .mapInArrow(crossed, PAIRED).distinct())
-        more = _confirmed(proposed, nodes, ids, num, den)
-        if not more.isEmpty():
-            roots = components(links.union(more), "a", "b")
+    more = _joining(members, roots, nodes, ids, num, den)
+    if more is not None and not more.isEmpty():
+        roots = components(links.union(more), "a", "b")
 
     return rows, classes, roots
