@@ -297,6 +297,22 @@ def test_chunk_ids_equal_the_tokenizer():
         assert b"".join(ids[c] for c in chunks) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_ids_are_those_of_the_tokenizer():
+    import random
+
+    from tokenizers import Tokenizer
+
+    plain, ids = Tokenizer.from_file(word_tokenizer()), packing.ChunkIds(word_tokenizer(), most=60)
+    draw = random.Random(5)
+    pieces = ["word", "Straße", "É", "ÉCOLE", "e\u0301", "\u0301", "İ", "İstanbul", "…", "“", "”", "—", "²", "½", "7", "2024", "don't", "'s", "<|", "|>", "<|endoftext|>", ".",
+              ",", "...", "$$$", "-", "_", "\u00a0", "\u2028", "\x1c", "\x85", "\t", "\n", " ", " ", " ", "中文", "한국", "\u1112\u1161", "ß", "ﬁ", "🙂", "\x00", "ǅ", "ª", "x²y"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 14))) for _ in range(3000)]
+    for at in range(0, len(texts), 40):
+        block = texts[at:at + 40]
+        for t, raw in zip(block, ids.of([t.encode() for t in block])):
+            assert np.frombuffer(raw, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 

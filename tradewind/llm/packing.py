@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tradewind.llm.common import encoded, kept, stored, workers_import
 
 _PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+#: Of a lower-cased text: runs of letters, ASCII or not, single digits, runs of marks.
+_RUNS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\s]+")
 _MARKS = ".,;:!?|()\"-"
 
 
@@ -21,19 +23,23 @@ class ChunkIds(dict):
     """Token ids (little-endian unsigned 32-bit) of white-space separated chunks, each made once.
 
     The tokenizer drops white space, lower-cases and never joins letters,
-    digits and marks, so a text's ids are those of its chunks in turn and a
-    chunk's those of its letter runs and marks. Words of letters alone are
+    digits and marks, so a text's ids are those of its runs of letters and
+    marks and its digits in turn (``runs``). A text where a run isn't certain,
+    as of bytes outside ASCII that aren't all letters, an apostrophe or a
+    special token, goes by its chunks instead. Words of letters alone are
     encoded many at once; the ids of one end where its last token carries the
-    word end. At most ``most`` entries stay in memory.
+    word end. At most ``most`` runs and as many chunks stay in memory.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 450_000):
         import json
 
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        #: Ids of runs; None of those that may join with their neighbours.
+        self.runs: dict[bytes, bytes | None] = {}
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
@@ -47,7 +53,7 @@ class ChunkIds(dict):
             return _PARTS.findall(chunk.lower())
         text = chunk.decode("utf-8", "replace")
         core = text.strip(_MARKS)
-        if core == text or not core.isalpha():
+        if core == text or not core.lower().isalpha():
             return [chunk]
         at = text.index(core)
         return [p.encode() for p in (text[:at], core, text[at + len(core):]) if p]
@@ -56,14 +62,8 @@ class ChunkIds(dict):
         ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Take up all chunks that are new."""
-        new = chunks.difference(self)
-        if len(self) + 2 * len(new) > self.most:
-            self.clear()
-            new = chunks
-        cut = {c: self.parts(c) for c in new}
-        words = [p for p in {p for parts in cut.values() for p in parts}.difference(self) if p.decode("utf-8", "replace").isalpha()]
+    def words(self, words: list[bytes], into: dict) -> None:
+        """Encode words of letters alone, many at once."""
         for at in range(0, len(words), 4096):
             block = words[at:at + 4096]
             ids = np.array(self.tokenizer.encode(b" ".join(block).decode("utf-8"), add_special_tokens=False).ids, "<u4")
@@ -71,9 +71,18 @@ class ChunkIds(dict):
             if len(stops) == len(block):
                 raw = ids.tobytes()
                 edges = [0, *(4 * stops).tolist()]
-                self.update((w, raw[a:b]) for w, a, b in zip(block, edges, edges[1:]))
+                into.update((w, raw[a:b]) for w, a, b in zip(block, edges, edges[1:]))
             else:
-                self.update((w, self.one(w)) for w in block)
+                into.update((w, self.one(w)) for w in block)
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Take up all chunks that are new."""
+        new = chunks.difference(self)
+        if len(self) + 2 * len(new) > self.most:
+            self.clear()
+            new = chunks
+        cut = {c: self.parts(c) for c in new}
+        self.words([p for p in {p for parts in cut.values() for p in parts}.difference(self) if _letters(p)], self)
         for chunk, parts in cut.items():
             if len(parts) == 1 and parts[0] in self:
                 self[chunk] = self[parts[0]]
@@ -83,6 +92,39 @@ class ChunkIds(dict):
                         self[p] = self.one(p)
                 self[chunk] = b"".join(self[p] for p in parts)
 
+    def learn_runs(self, runs: set[bytes]) -> None:
+        """Take up all runs that are new."""
+        new = runs.difference(self.runs)
+        if len(self.runs) + len(new) > self.most:
+            self.runs.clear()
+            new = runs
+        # of bytes alone isalpha() is of ASCII letters
+        self.words([r for r in new if r.isalpha() or not r.isascii() and _letters(r)], self.runs)
+        for r in new.difference(self.runs):
+            self.runs[r] = self.one(r) if r.isascii() else None
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        cut = [None if b"'" in t or b"<|" in t else _RUNS.findall(t.lower()) for t in texts]
+        self.learn_runs(set().union(*(c for c in cut if c)))
+        ids: list[bytes | None] = []
+        for runs in cut:
+            try:
+                ids.append(None if runs is None else b"".join(map(self.runs.__getitem__, runs)))
+            except TypeError:  # a run without certain ids
+                ids.append(None)
+        rest = [k for k, known in enumerate(ids) if known is None]
+        chunks = [texts[k].split() for k in rest]
+        self.learn(set().union(*chunks))
+        for k, c in zip(rest, chunks):
+            ids[k] = b"".join(map(self.__getitem__, c))
+        return ids
+
+
+def _letters(raw: bytes) -> bool:
+    """Whether it is UTF-8 of letters that stay letters when lower-cased."""
+    return raw.decode("utf-8", "replace").lower().isalpha()
+
 
 def ids_of(path: str) -> ChunkIds:
     held = kept("chunk ids")
@@ -192,10 +234,9 @@ def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 doc_type[:] = [batch.column(0).type]
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
-                    texts = [encoded(t).split() for t in part.column(1).to_pylist()]
-                    chunk_ids.learn(set().union(*texts))
-                    for key, chunks in zip(part.column(0).to_pylist(), texts):
-                        ids = b"".join(map(chunk_ids.__getitem__, chunks)) + end
+                    texts = chunk_ids.of([encoded(t) for t in part.column(1).to_pylist()])
+                    for key, ids in zip(part.column(0).to_pylist(), texts):
+                        ids += end
                         for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                             piece = ids[a:a + 4 * capacity]
                             yield key, k, a // 4, len(piece) // 4, zlib.crc32(piece)
