@@ -126,6 +126,41 @@ def test_url_rules_and_aliases(spark):
     assert urls.judged(frame.limit(0)).count() == 0
 
 
+def test_targets_of_links(spark, tmp_path):
+    """Every form of a target, against the address a browser would go to, in the operator and in its SQL."""
+    import duckdb
+
+    from tradewind.llm.queries import LLM_QUERIES
+
+    link, fresh = '<link rel="canonical" href="{}">', '<meta http-equiv=Refresh content="{}">'
+    page = "http://A.com/x/y/z.html?q=1"
+    forms = [
+        (link.format("/de/1"), "a.com/de/1"), (link.format("//B.com/de/x?y#z"), "b.com/de/x?y"), (link.format("de"), "a.com/x/y/de"), (link.format("../de/./1"), "a.com/x/de/1"),
+        (link.format("../../../../de/.."), "a.com/"), (link.format("?p=2&amp;r=3"), "a.com/x/y/z.html?p=2&r=3"), (link.format("HTTPS://c.com/de/?a=1&#38;b=2"), "c.com/de/?a=1&b=2"),
+        (link.format("mailto:x@y"), None), (link.format("#top"), None), (link.format(""), None), ("<!-- " + link.format("/de/1") + " -->", None),
+        ("<!-- open " + link.format("/de/1"), None), ("<link href='/de/2' rel='alternate\tCanonical'>", "a.com/de/2"), ("<link rel=canonical href=/de/3>", "a.com/de/3"),
+        ('<link rel="canonicals" href="/de/4">', None), ('<link rel="canonical" data-href="/de/5">', None), ('<link rel="next" href="/de/6">', None),
+        (fresh.format("0;url=/de/7"), "a.com/de/7"), (fresh.format("0.4 , URL = '/de/8'"), "a.com/de/8"), (fresh.format("3600; url=/de/9"), None), (fresh.format("0"), None),
+        ('<meta name="canonical" content="0;url=/de/10">', None), (link.format(" \n/de/\n11 "), "a.com/de/11"), ("", None), (None, None)]
+    rows = [(i, page, html) for i, (html, _) in enumerate(forms)] + [(100, "http://a.com", link.format("de/1")), (101, "plain", link.format("/de/1")), (102, None, link.format("/de/1"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = sorted((r.left, r.right) for r in urls.link_edges(frame).collect())
+    assert edges == sorted([("a.com/x/y/z.html?q=1", want) for _, want in forms if want is not None] + [("a.com", "a.com/de/1")])
+    # each page at an address of its own whose target is under a rule, so that a lost or false alias shows in its verdict
+    lone = [(i, f"http://h{i}.net/x/y?q", (html or "").replace('"/de', '"http://a.com/de').replace("'/de", "'//a.com/de").replace("=/de", "=//a.com/de")) for i, (html, _) in enumerate(forms)]
+    lone += [(200, "http://h200.net/p/q", link.format("../r")), (201, "http://h200.net/r", link.format("http://s.com/de/")), (202, "http://h202.net", link.format("?k&amp;m")),
+             (203, "http://h202.net?k&m", fresh.format("0;//s.com/de/1"))]
+    folder = str(tmp_path)
+    spark.createDataFrame(lone, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    got = sorted(tuple(r) for r in LLM_QUERIES["op10_url_filters"].run(spark, folder).select("page_id", "host", "path", "rule", "verdict").collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    want = sorted(db.execute(LLM_QUERIES["op10_url_filters"].sql).fetchall())
+    assert got == want
+    blocked = {r[0] for r in got if r[4] == "block"}
+    assert {1, 6, 12, 13, 17, 18, 200, 201, 202, 203} <= blocked and not {7, 8, 9, 10, 11, 14, 15, 16, 19, 20, 21, 23, 24} & blocked
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = cases.frame(spark)
     docs.write.parquet(f"{tmp_path}/documents.parquet")

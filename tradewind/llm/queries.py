@@ -153,6 +153,45 @@ def op8(table):
     return packing.packed(table("documents"), word_tokenizer())
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _attribute_sql(name: str) -> str:
+    parts = " || ".join(f"regexp_extract(tag, {_quoted(urls.attribute_pattern(name))}, {k}, 'is')" for k in (1, 2, 3))
+    return f"regexp_replace({parts}, {_quoted(urls.AMPERSAND)}, '&', 'gi')"
+
+
+def _without_dots_sql(path: str) -> str:
+    parts = f"list_transform(string_split(regexp_replace({path}, '(/\\.\\.?)\\z', '\\1/'), '/'), lambda x: [x])"
+    return (
+        f"array_to_string(list_reduce({parts}, lambda kept, x: CASE x[1] WHEN '..' THEN kept[:greatest(1, len(kept) - 1)] WHEN '.' THEN kept ELSE kept || x END), '/')")
+
+
+_LINKS_SQL = f"""tags AS (
+  SELECT host, path, host || rest AS src, unnest(regexp_extract_all(
+    regexp_replace(html, {_quoted(urls.COMMENT)}, '', 'gis'), {_quoted(urls.TAG)}, 0, 'is')) AS tag
+  FROM p WHERE url LIKE '%://%'),
+targets AS (
+  SELECT host, path, src, trim(regexp_replace(
+    CASE WHEN regexp_matches(tag, '^<link', 'i') THEN CASE WHEN regexp_matches({_attribute_sql("rel")}, {_quoted(urls.CANONICAL)}, 'is') THEN {_attribute_sql("href")} END
+      WHEN lower(trim({_attribute_sql("http-equiv")})) = 'refresh' THEN regexp_extract({_attribute_sql("content")}, {_quoted(urls.AT_ONCE)}, 1, 'is') END,
+    '[\\t\\n\\f\\r]', '', 'g')) AS target FROM tags),
+parts AS (
+  SELECT *, regexp_extract(target, '^([^?#]*)', 1, 's') AS own, regexp_extract(target, '^[^?#]*([^#]*)', 1, 's') AS query,
+    CASE WHEN target LIKE '//%' THEN 'x:' || target WHEN regexp_matches(target, '{urls.SCHEME}//', 'i') THEN target END AS whole
+  FROM targets WHERE target <> '' AND target NOT LIKE '#%'),
+links AS (
+  SELECT src AS a, CASE
+    WHEN whole IS NOT NULL THEN translate(regexp_extract(whole, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      || regexp_extract(whole, '^.*?://[^/?#]*([^#]*)', 1, 's')
+    WHEN target LIKE '/%' THEN host || {_without_dots_sql("own")} || query
+    WHEN target LIKE '?%' THEN host || path || query
+    ELSE host || {_without_dots_sql("(regexp_extract(path, '^(.*)/', 1, 's') || '/' || own)")} || query END AS b
+  FROM parts WHERE whole IS NOT NULL OR NOT regexp_matches(target, '{urls.SCHEME}', 'i')),
+"""
+
+
 @query("op10_url_filters", r"""
 WITH p AS (
   SELECT page_id, url, html,
@@ -162,15 +201,7 @@ WITH p AS (
   FROM pages),
 rules(verdict, h, path_start) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
   ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-tags AS (
-  SELECT host || rest AS src, regexp_extract(unnest(regexp_extract_all(html,
-    '<(?:link|meta)\b[^>]*\b(?:rel\s*=\s*["'']?canonical|http-equiv\s*=\s*["'']?refresh)\b[^>]*>', 0, 'is')),
-    '(?:href\s*=\s*["'']?|;\s*url\s*=\s*["'']?)\s*([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1, 'is') AS target
-  FROM p WHERE url LIKE '%://%'),
-links AS (
-  SELECT src AS a, translate(regexp_extract(target, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-    || regexp_extract(target, '^.*?://[^/?#]*([^#]*)', 1, 's') AS b FROM tags WHERE target <> ''),
-both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+""" + _LINKS_SQL + r"""both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM r JOIN both_ways l ON r.b = l.a) SELECT * FROM r),
 own AS (
   SELECT n, split_part(regexp_extract(n, '^([^/?#]*)', 1), '/', 1) AS host, regexp_extract(n, '^[^/?#]*([^?#]*)', 1) AS path

@@ -44,19 +44,71 @@ def matched(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return text, verdict
 
 
+#: Patterns, case-insensitive, in which ``.`` takes line ends too: comments, tags, a ``rel`` list, an immediate refresh.
+_WHITE = r"[ \t\n\f\r]"
+COMMENT = r"<!--.*?(?:-->|\z)"
+TAG = r"<(?:link|meta)\b[^>]*>"
+CANONICAL = rf"(?:^|{_WHITE})canonical(?:{_WHITE}|\z)"
+AT_ONCE = rf"""^{_WHITE}*0+(?:\.[0-9]*)?{_WHITE}*[;,]{_WHITE}*(?:url{_WHITE}*={_WHITE}*)?["']?([^"']+)"""
+AMPERSAND = r"&(?:amp|#38|#x26);"
+SCHEME = r"^[a-z][a-z0-9+.-]*:"
+
+
+def attribute_pattern(name: str) -> str:
+    """Three groups, of which one holds the value: in double quotes, in single quotes, bare."""
+    return rf"""[ \t\n\f\r"'/]{name}{_WHITE}*={_WHITE}*(?:"([^"]*)"|'([^']*)'|([^ \t\n\f\r"'>]+))"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of the tag's first attribute of that name, ampersands decoded; empty if it has none."""
+    value = F.concat(*[F.regexp_extract(tag, "(?is)" + attribute_pattern(name), k) for k in (1, 2, 3)])
+    return F.regexp_replace(value, "(?i)" + AMPERSAND, "&")
+
+
+def without_dots(path: Column) -> Column:
+    """The path with its segments ``.`` and ``..`` carried out; never above the host."""
+    parts = F.split(F.regexp_replace(path, r"(/\.\.?)\z", "$1/"), "/")
+    up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    return F.array_join(
+        F.aggregate(parts, F.array().cast("array<string>"), lambda kept, x: F.when(x == "..", up(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))), "/")
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """Address of a link's target seen from the page's URL: absolute, ``//host``, ``/path``, ``?query`` or relative; null for others."""
+    host, path = host_of(url), path_of(url)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*([^#]*)", 1)
+    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*)/", 1), F.lit("/"))
+    scheme = target.rlike("(?i)" + SCHEME)
+    return (
+        F.when(target.startswith("//"), address_of(F.concat(F.lit("x:"), target)))
+        .when(scheme & target.rlike("(?i)" + SCHEME + "//"), address_of(target))
+        .when(scheme | (target == "") | target.startswith("#"), F.lit(None))
+        .when(target.startswith("/"), F.concat(host, without_dots(own), rest))
+        .when(target.startswith("?"), F.concat(host, path, rest))
+        .otherwise(F.concat(host, without_dots(F.concat(folder, own)), rest)))
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(left, right) addresses joined by a canonical link or an immediate refresh in the page.
 
-    Only absolute targets count. Pages without such a tag are cut before any pattern runs.
+    ``rel`` may list other words too; a refresh counts if its delay is below a
+    second. Tags in comments don't count. Targets are resolved against the
+    page's URL (a ``base`` tag is not read); of character references only
+    those of the ampersand are decoded. Null pages and null or plain URLs
+    without ``://`` give no edge. Pages without such a tag are cut before any
+    pattern runs.
     """
     low = F.lower(F.col(html))
-    tags = F.regexp_extract_all(
-        F.col(html), F.lit(r"""(?is)<(?:link|meta)\b[^>]*\b(?:rel\s*=\s*["']?canonical|http-equiv\s*=\s*["']?refresh)\b[^>]*>"""), F.lit(0))
-    target = F.regexp_extract("tag", r"""(?is)(?:href\s*=\s*["']?|;\s*url\s*=\s*["']?)\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)""", 1)
+    shown = F.regexp_replace(F.col(html), "(?is)" + COMMENT, "")
+    tag = F.col("tag")
+    to = (
+        F.when(tag.rlike("(?i)^<link") & attribute(tag, "rel").rlike("(?is)" + CANONICAL), attribute(tag, "href"))
+        .when(tag.rlike("(?i)^<meta") & (F.lower(F.trim(attribute(tag, "http-equiv"))) == "refresh"), F.regexp_extract(attribute(tag, "content"), "(?is)" + AT_ONCE, 1)))
     return (
-        pages.filter(low.contains("canonical") | low.contains("http-equiv"))
-        .select(F.col(url).alias("url"), F.explode(tags).alias("tag"))
-        .select(address_of(F.col("url")).alias("left"), address_of(target).alias("right"))
+        pages.filter((low.contains("canonical") | low.contains("http-equiv")) & F.col(url).contains("://"))
+        .select(F.col(url).alias("url"), F.explode(F.regexp_extract_all(shown, F.lit("(?is)" + TAG), F.lit(0))).alias("tag"))
+        .select("url", F.trim(F.regexp_replace(to, r"[\t\n\f\r]", "")).alias("target"))
+        .select(address_of(F.col("url")).alias("left"), resolved(F.col("target"), F.col("url")).alias("right"))
         .filter("left is not null and right is not null")
     )
 
