@@ -112,6 +112,23 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.deduplicated(none).count() == 0
 
 
+def test_a_shard_is_built_once_for_many_documents(spark, monkeypatch):
+    import pyarrow as pa
+
+    items = spark.createDataFrame([(i, " ".join(f"v{i}x{k}" for k in range(30))) for i in range(60)], "item_id long, text string")
+    folder, shards = decontaminate.sharded_items(items, shard_words=200)
+    assert shards > decontaminate.HELD
+    built, plain = [], decontaminate.Matcher
+    monkeypatch.setattr(decontaminate, "Matcher", lambda *a: built.append(1) or plain(*a))
+    texts = [None, "", *(" ".join(f"v{i}x{k}" for k in range(5, 25)) for i in range(60))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    groups = list(decontaminate._gathered(iter([batch.slice(a, 7) for a in range(0, len(texts), 7)]), shards))
+    assert len(groups) == 1
+    rows = [r for part in decontaminate._found([b.column(0) for b in groups[0]], folder, shards, 13) for r in part]
+    assert len(built) <= shards
+    assert rows == [(0, [], []), (0, [], [])] + [(20, [(0, 20)], [str(i)]) for i in range(60)]
+
+
 def test_spanning_links_join_what_all_pairs_join():
     draw = np.random.default_rng(7)
     for _ in range(30):

@@ -15,6 +15,9 @@ from tradewind.llm.common import alnum_words, filesystem, kept, scratch, workers
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")  # of the text as it is, A-Z included
 
+#: Matchers a worker holds, and bytes of documents read against one shard after the other where there are more.
+HELD, GATHER_BYTES = 4, 48 << 20
+
 
 class Matcher:
     """Automaton of one shard of items with what a window needs: marked states and the items behind them."""
@@ -112,7 +115,7 @@ def sharded_items(items: DataFrame, item_id: str = "item_id", text: str = "text"
 
 
 def _matcher(folder: str, shard: int, window: int) -> Matcher | None:
-    """The matcher of a shard; a worker keeps the last four it has built."""
+    """The matcher of a shard; a worker keeps the last HELD it has built."""
     loaded, key = kept("matchers"), f"{folder}/{shard}/{window}"
     if key not in loaded:
         from pyarrow import fs as pafs
@@ -125,7 +128,7 @@ def _matcher(folder: str, shard: int, window: int) -> Matcher | None:
         rows = [
             r for info in fs.get_file_info(pafs.FileSelector(path)) if info.path.endswith(".parquet")
             for r in parquet.ParquetFile(fs.open_input_file(info.path)).read().to_pylist()]
-        while len(loaded) >= 4:
+        while len(loaded) >= HELD:
             loaded.pop(next(iter(loaded)))
         loaded[key] = Matcher(sorted((r["item"], r["words"].split()) for r in rows), window)
     return loaded[key]
@@ -142,14 +145,32 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _found(words: list[bytes], folder: str, shards: int, window: int) -> tuple[list[tuple[int, int]], list[str]]:
-    spans: list[tuple[int, int]] = []
-    items: set[str] = set()
-    for shard in range(shards):
-        matcher = _matcher(folder, shard, window)
-        if matcher is not None:
-            matcher.hits(words, spans, items)
-    return joined(spans), sorted(items)
+def _gathered(batches: Iterator, shards: int) -> Iterator[list]:
+    """Batches to read against one shard after the other: each alone if a worker holds all shards, else GATHER_BYTES at a time."""
+    group, held = [], 0
+    for batch in batches:
+        group.append(batch)
+        held += batch.nbytes
+        if shards <= HELD or held >= GATHER_BYTES:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def _found(columns: list, folder: str, shards: int, window: int) -> list[list[tuple[int, list[tuple[int, int]], list[str]]]]:
+    """(words, joined spans, items) of each text of each column; a shard is taken up once for all of them."""
+    found = [[(set(), [], [0]) for _ in column] for column in columns]
+    for shard in range(max(1, shards)):
+        matcher = _matcher(folder, shard, window) if shards else None
+        for column, rows in zip(columns, found):
+            for value, (items, spans, n) in zip(column, rows):
+                if matcher is not None or shard == 0:
+                    words = alnum_words(value.as_py())
+                    n[0] = len(words)
+                    if matcher is not None:
+                        matcher.hits(words, spans, items)
+    return [[(n[0], joined(spans), sorted(items)) for items, spans, n in rows] for rows in found]
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -167,21 +188,20 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     def scan(batches: Iterator):
         import pyarrow as pa
 
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = alnum_words(row[1])
-                spans, found = _found(words, folder, shards, window)
-                hit = sum(b - a for a, b in spans)
-                out.append((
-                    row[0], len(words), hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0 and share * hit >= len(words),
-                    max((b - a for a, b in spans), default=0), [{"start": a, "end": b} for a, b in spans]))
-            if out:
-                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                types = (batch.column(0).type, *[pa.int64()] * 3, pa.string(), pa.bool_(), pa.int64(), span)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), types)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_span", "spans"])
+        for group in _gathered(batches, shards):
+            for batch, rows in zip(group, _found([b.column(1) for b in group], folder, shards, window)):
+                out: list[tuple] = []
+                for key, (n, spans, found) in zip(batch.column(0).to_pylist(), rows):
+                    hit = sum(b - a for a, b in spans)
+                    out.append((
+                        key, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0 and share * hit >= n,
+                        max((b - a for a, b in spans), default=0), [{"start": a, "end": b} for a, b in spans]))
+                if out:
+                    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                    types = (batch.column(0).type, *[pa.int64()] * 3, pa.string(), pa.bool_(), pa.int64(), span)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*out), types)],
+                        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_span", "spans"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
@@ -193,8 +213,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_i
     """The documents without contamination, columns as they came.
 
     Documents over the coverage limit (one hit word in ``share``) go. In the
-    others every matched span is cut from the text; texts without a match are
-    left alone.
+    others every matched span is cut from the text; texts without a match, null
+    and empty ones are left alone. Repeated rows are judged each; an empty table
+    gives an empty one, and without items every document stays.
     """
     workers_import(docs.sparkSession)
     folder, shards = sharded_items(items, item_id, item_text, window)
@@ -203,17 +224,16 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_i
     def clean(batches: Iterator):
         import pyarrow as pa
 
-        for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), []
-            for i, value in enumerate(texts):
-                words = alnum_words(value)
-                spans, _ = _found(words, folder, shards, window)
-                hit = sum(b - a for a, b in spans)
-                keep.append(not (hit > 0 and share * hit >= len(words)))
-                if spans and keep[-1]:
-                    texts[i] = without(value, spans)
-            columns = [c if i != at else pa.array(texts, batch.schema.field(at).type) for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+        for group in _gathered(batches, shards):
+            for batch, rows in zip(group, _found([b.column(at) for b in group], folder, shards, window)):
+                texts, keep = batch.column(at).to_pylist(), []
+                for i, (n, spans, _) in enumerate(rows):
+                    hit = sum(b - a for a, b in spans)
+                    keep.append(not (hit > 0 and share * hit >= n))
+                    if spans and keep[-1]:
+                        texts[i] = without(texts[i], spans)
+                columns = [c if i != at else pa.array(texts, batch.schema.field(at).type) for i, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
 
