@@ -54,6 +54,37 @@ def test_members_in_foreign_bytes():
         assert found == [*records, None]
 
 
+def test_foreign_records(spark, tmp_path):
+    import base64
+
+    body, http = b"<p>x</p>", b"HTTP/1.1 200 OK\r\nX: \xff\r\nContent-Length: 99\r\n\r\n"
+    raw = hashlib.sha1(body).digest()
+
+    def record(kind, block, *fields, length=None):
+        head = [b"WARC/1.0", *([b"WARC-Type: " + kind] if kind else []), *fields]
+        head += [] if length == "none" else [b"Content-Length: " + (b"%d" % len(block) if length is None else length)]
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return packer.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+    sent = b"Content-Type: application/http; msgtype=response"
+    digest = lambda text: b"WARC-Payload-Digest: " + text
+    parts = [
+        (record(b"warcinfo", b"software: x\r\n"), ("warcinfo", 13, None)), (record(b"request", b"GET / HTTP/1.1\r\n\r\n", sent), ("request", 0, None)),
+        (record(b"response", http + body, sent, digest(b"sha1:" + base64.b32encode(raw))), ("response", 8, None)),
+        (record(b"response", http + body, sent, digest(b"SHA1:" + raw.hex().upper().encode()), length="none"), ("response", 8, None)),
+        (record(b"resource", body, digest(b"md5:abc"), b"WARC-Target-URI: \xff\xfe"), ("resource", 8, None)),
+        (record(b"response", http + b"other", sent, digest(b"sha1:" + base64.b32encode(raw).lower())), ("broken", 5, "payload differs from its digest")),
+        (record(b"metadata", body, length=b"900"), ("broken", None, "block shorter than its Content-Length")),
+        (record(b"metadata", body, length=b"x"), ("broken", None, "Content-Length is no number")),
+        (record(None, body), ("broken", 8, "no WARC-Type")), (record(b"metadata", body)[:-9], ("broken", None, "breaks off"))]
+    data = b"".join(p for p, _ in parts)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file:{tmp_path}/a.warc.gz", len(data), len(parts))], "path string, bytes long, records long")
+    for split in (61, 1 << 20):
+        got = sorted(((r.record_type, r.payload_bytes, r.reason) for r in warc.read_archives(manifest, split_bytes=split).collect()), key=repr)
+        assert got == sorted((want for _, want in parts), key=repr)
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(900, 12))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -15,6 +17,8 @@ from tradewind.llm.common import filesystem, partitions, scratch
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+#: What the reader returns: why a record is broken besides.
+READ = RECORD + ", reason string"
 
 
 def with_revisits(pages: DataFrame, page_id: str, url: str, payload: str, least_bytes: int = 1000) -> DataFrame:
@@ -152,20 +156,47 @@ def members(file, start: int, end: int, step: int = 1 << 20) -> Iterator[bytes |
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes, int | None]:
-    """(headers in lower case, payload, length the HTTP header states) of one record."""
+    """(headers in lower case, payload, length the HTTP header states) of one record.
+
+    Without a Content-Length the block is the rest of the record. The payload
+    is the HTTP body as it is stored: chunks and encodings are not undone.
+    """
     head, _, rest = record.partition(b"\r\n\r\n")
     headers = _fields(head)
-    block = rest[:int(headers["content-length"])]
+    size = _length(headers)
+    if size is not None and size > len(rest):
+        raise ValueError("block shorter than its Content-Length")
+    block = rest.removesuffix(b"\r\n\r\n") if size is None else rest[:size]
     if not headers.get("content-type", "").startswith("application/http"):
         return headers, block, None
     http, _, payload = block.partition(b"\r\n\r\n")
-    stated = _fields(http).get("content-length")
-    return headers, payload, None if stated is None else int(stated)
+    return headers, payload, _length(_fields(http))
+
+
+def _length(fields: dict[str, str]) -> int | None:
+    stated = fields.get("content-length")
+    if stated is None:
+        return None
+    if not (stated.isascii() and stated.isdigit()):
+        raise ValueError("Content-Length is no number")
+    return int(stated)
 
 
 def _fields(head: bytes) -> dict[str, str]:
     pairs = (line.partition(b":") for line in head.split(b"\r\n")[1:])
-    return {k.decode().lower(): v.strip().decode("utf-8", "surrogatepass") for k, _, v in pairs}
+    return {k.decode("utf-8", "replace").strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
+
+
+def sha1_of(stated: str) -> str | None:
+    """Lower-case hex of a stated SHA-1 in hex or base32 of any case; None for another or none."""
+    kind, mark, value = stated.rpartition(":")
+    if mark and kind.lower() not in ("sha1", "sha-1"):
+        return None
+    try:
+        raw = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value, casefold=True) if len(value) == 32 else b""
+    except (ValueError, binascii.Error):
+        return None
+    return raw.hex() if len(raw) == 20 else None
 
 
 def _number(urn: str | None) -> int | None:
@@ -176,10 +207,12 @@ def _number(urn: str | None) -> int | None:
 def read_archives(manifest: DataFrame, split_bytes: int = 8 << 20, with_payload: bool = True) -> DataFrame:
     """Records of all archives of a manifest (path, bytes), a task per byte range.
 
-    Returns the columns of RECORD. Length and digest of a response are taken
-    from the payload read and must equal the stated ones, else the task fails;
-    those of a revisit are as stated, for its payload is elsewhere. A record
-    that breaks off is returned with record_type ``broken``.
+    Returns the columns of READ. Records of every type are returned. Length
+    and digest are taken from the payload read; those of a revisit are as
+    stated, for its payload is elsewhere. A record that breaks off, has no
+    type, a wrong length or a SHA-1 that differs from its payload is returned
+    with record_type ``broken`` and the reason; other digests are not compared.
+    An id is a number only if this module's writer gave it, else null.
     """
     spark = manifest.sparkSession
     ranges = (
@@ -189,8 +222,8 @@ def read_archives(manifest: DataFrame, split_bytes: int = 8 << 20, with_payload:
     def read(batches: Iterator):
         import pyarrow as pa
 
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        names = [c.split()[0] for c in RECORD.split(", ")]
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+        names = [c.split()[0] for c in READ.split(", ")]
         out: list[tuple] = []
 
         def packed():
@@ -203,7 +236,7 @@ def read_archives(manifest: DataFrame, split_bytes: int = 8 << 20, with_payload:
                     held = 0
                     for record in members(file, row["start"], row["end"]):
                         out.append(_row(record, with_payload))
-                        held += len(out[-1][-1] or b"") + 200
+                        held += len(out[-1][-2] or b"") + 200
                         if held > 8 << 20:
                             yield packed()
                             out, held = [], 0
@@ -211,20 +244,24 @@ def read_archives(manifest: DataFrame, split_bytes: int = 8 << 20, with_payload:
                     yield packed()
                     out = []
 
-    return ranges.mapInArrow(read, RECORD)
+    return ranges.mapInArrow(read, READ)
 
 
 def _row(record: bytes | None, with_payload: bool) -> tuple:
     if record is None:
-        return None, None, "broken", None, None, None, None
-    headers, payload, stated = parse(record)
-    kind, digest = headers["warc-type"], headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    length = stated
+        return *[None] * 2, "broken", *[None] * 4, "breaks off"
+    try:
+        headers, payload, length = parse(record)
+    except ValueError as why:
+        return *[None] * 2, "broken", *[None] * 4, str(why)
+    number, url = _number(headers.get("warc-record-id")), headers.get("warc-target-uri")
+    kind, digest = headers.get("warc-type"), sha1_of(headers.get("warc-payload-digest", ""))
+    reason = None if kind else "no WARC-Type"
     if kind != "revisit":
-        length, found = len(payload), hashlib.sha1(payload).hexdigest()
-        if stated not in (None, length) or digest not in ("", found):
-            raise ValueError(f"payload of {headers.get('warc-record-id')} differs from its headers")
+        stated, length, found = digest, len(payload), hashlib.sha1(payload).hexdigest()
+        if stated not in (None, found):
+            reason = "payload differs from its digest"
         digest = found
     return (
-        _number(headers.get("warc-record-id")), headers.get("warc-target-uri"), kind, _number(headers.get("warc-refers-to")),
-        length, digest, payload if with_payload and kind != "revisit" else None)
+        number, url, "broken" if reason else kind, _number(headers.get("warc-refers-to")), length, digest,
+        payload if with_payload and kind != "revisit" else None, reason)
