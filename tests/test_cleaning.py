@@ -164,3 +164,27 @@ def test_scaler_leaves_constant_columns_alone(spark):
     assert out["c"] < 1e-9 and abs(out["m"]) < 1e-9 and out["s"] == pytest.approx(1.0)
     ranked = features.select_by_f_test(df.withColumn("y", F.col("x") + F.rand(3)), "y", ["x", "c"], 5)
     assert [r["feature"] for r in ranked.collect()] == ["x"]
+
+
+@pytest.mark.parametrize("sizes", [(12, 4), (2_000, 16)])
+def test_nearest_imputation_by_cells_equals_all_pairs(spark, monkeypatch, sizes):
+    """Many equal points, infinities, NaN, null and repeated keys; the cells give what all pairs give, and rows look in few of them."""
+    from tradewind.operators import nearest
+
+    monkeypatch.setattr(nearest, "PER_CELL", sizes[1])
+    monkeypatch.setattr(nearest, "LEAST", 30)
+    rng = np.random.default_rng(8)
+    data = np.column_stack([rng.integers(0, 6, 900) / 2, rng.normal(0, 30, 900).round(1), rng.exponential(9, 900)]).tolist()
+    data = [[None if rng.uniform() < 0.15 else v for v in row] for row in data]
+    data[3][0], data[4][0], data[5][1], data[6][2] = float("inf"), float("-inf"), float("nan"), float("inf")
+    rows = [(i, *r) for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows + rows[40:60] + [(None, None, 3.0, 1.0), (None, 1.0, 3.0, 1.0)], "id bigint, a double, b double, c double").repartition(5)
+    got = clean.impute_nearest(df, ["a", "b", "c"], "id", tile_rows=sizes[0])
+    monkeypatch.setattr(clean, "SPACES", 0)
+    want = clean.impute_nearest(df, ["a", "b", "c"], "id")
+    a, b = ([[None if v is None else repr(round(v, 9)) for v in r] for r in rows_of.collect()] for rows_of in (got, want))
+    assert sorted(a, key=str) == sorted(b, key=str)
+    points = rng.normal(0, 1, (4_000, 2))
+    tree = nearest.grow_cells(points[:500], np.ones(500, bool), 5, 16)
+    row, _, _ = nearest.reached(tree, points, 2, 5)
+    assert len(row) < 8 * len(points)
