@@ -188,3 +188,22 @@ def test_nearest_imputation_by_cells_equals_all_pairs(spark, monkeypatch, sizes)
     tree = nearest.grow_cells(points[:500], np.ones(500, bool), 5, 16)
     row, _, _ = nearest.reached(tree, points, 2, 5)
     assert len(row) < 8 * len(points)
+
+
+def test_forest_of_a_short_series_stays_in_its_task(spark, monkeypatch):
+    """No forest is stored or joined for series of one chunk, and its scores are those of the joined steps."""
+    from tradewind.operators import isolation
+
+    pool = np.random.default_rng(4).exponential(9, 90).round(1)
+    for sample, x in ((256, pool), (64, pool), (64, np.append(pool, [0.0, 99.0]))):
+        cuts, scores = isolation.step_forest(pool, 30, sample, 5)
+        assert (isolation.forest_scores(x, pool, 30, sample, 5) == scores[np.searchsorted(cuts, x, side="right")]).all()
+
+    def never(df):
+        raise AssertionError("stored")
+
+    monkeypatch.setattr(isolation, "checkpointed", never)
+    df = spark.createDataFrame([("a", i, i, float(x)) for i, x in enumerate(pool)] + [("a", 90, 90, 500.0)], "series_id string, ts int, id int, price double")
+    found = clean.series_anomalies(df, "price")
+    assert found.where("method = 'isolation_forest' and id = 90").first()["anomalies"] >= 1
+    assert "applyInArrow" not in str(found.where("method = 'statistical'")._jdf.queryExecution().optimizedPlan()) and found.where("method = 'statistical'").count() == 1
