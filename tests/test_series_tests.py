@@ -77,3 +77,11 @@ def test_level_stationarity(spark, data, hot):
         assert got[k]["lags"] == lags
         assert got[k]["statistic"] == pytest.approx((np.cumsum(e) ** 2).sum() / n**2 / long, rel=1e-9)
     assert got["noise"]["stationary"] and got["noise"]["p_value"] == 0.1
+
+
+def test_sums_of_one_series_of_a_slice():
+    """A batch of sums is read series by series, not turned into plain values as a whole."""
+    import pyarrow as pa
+
+    lists = pa.array([[{"_i": 0, "_v": 1.0}], [{"_i": 1, "_v": 2.0}, {"_i": -1, "_v": 3.0}], [], [{"_i": 5, "_v": 4.0}]]).slice(1)
+    assert [stationarity._sums_of(x) for x in lists] == [{1: 2.0, -1: 3.0}, {}, {5: 4.0}]

@@ -85,6 +85,12 @@ def _normal_sums(x: np.ndarray, first: int, start: int, lag: int) -> tuple[np.nd
     return index, value
 
 
+def _sums_of(one: pa.ListScalar) -> dict[int, float]:
+    """The sums of one series as plain values; a batch holds thousands of series, as plain values many times its size."""
+    index, value = one.values.flatten()
+    return dict(zip(index.to_pylist(), value.to_pylist()))
+
+
 def _solved(pieces: dict[int, float], lag: int, n: int, choose: bool) -> tuple[int, float]:
     """(lag, t value of the level): the lag of least AIC on common rows if one is to be chosen, then the fit on all its rows."""
     size = lag + 3
@@ -154,8 +160,8 @@ def unit_root(df: DataFrame, column: str, keys=KEYS, order=ORDER, max_lag: int |
 
     def solve(batches):
         for batch in batches:
-            g, n, lag = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_g", "_n", "_lag"))
-            answers = [_solved({x["_i"]: x["_v"] for x in one}, p, size, choose) for one, size, p in zip(g, n, lag)]
+            g, n, lag = (batch.column(batch.schema.get_field_index(c)) for c in ("_g", "_n", "_lag"))
+            answers = [_solved(_sums_of(one), p.as_py(), size.as_py(), choose) for one, size, p in zip(g, n, lag)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(keys)], pa.array([a for a, _ in answers], pa.int32()), pa.array([t for _, t in answers], pa.float64())], [*keys, "used_lag", "statistic"])
 
