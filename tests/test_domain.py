@@ -136,3 +136,19 @@ def test_covariance_of_many_names_in_small_blocks(spark):
         got = {(r["left"], r["right"]): r["covariance"] for r in strategy.covariance(df, names=names, dates=dates).collect()}
         assert got.keys() == want.keys()
         assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in want.items())
+
+
+def test_port_calls_do_not_gather_orders_by_port(spark):
+    """The few ports are broadcast; orders are not shuffled by them."""
+    import types
+
+    from tradewind.catalog.domain import port_calls
+
+    orders = spark.range(100).select(F.col("id").alias("o_orderkey"), (F.col("id") * 3).alias("o_custkey"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        calls = port_calls(types.SimpleNamespace(spark=spark, orders=orders))
+        plan = calls._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan and calls.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -31,7 +31,8 @@ def port_calls(t):
     b = places.toDF("_b", "destination", "lat2", "lon2")
     n = len(dims.PORTS)
     keyed = t.orders.select("o_orderkey", (F.col("o_custkey") % n).alias("_a"), (F.col("o_orderkey") % n).alias("_b"))
-    return keyed.join(a, "_a").join(b, "_b").drop("_a", "_b")
+    # the fixed ports alone are broadcast: their few keys would gather all orders in as few tasks
+    return keyed.join(F.broadcast(a), "_a").join(F.broadcast(b), "_b").drop("_a", "_b")
 
 
 @query("lane_volatility", f"""SELECT origin, destination, count(*) AS n_rates, avg(nullif(rate_40ft, 0)) AS mean_rate,
