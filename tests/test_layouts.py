@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helpers import same, series_frame
 from tradewind.operators import clean, series, strategy, vessels
+from tradewind.plans import blocks
 from tradewind.plans.blocks import is_hot, over_blocks, running, with_position
 
 HOT = {"hot_rows": 70}
@@ -104,3 +105,16 @@ def test_booking_in_blocks(spark):
         ((F.col("id") * 7 % 11 - 5) / 100.0).alias("target_weight"), (F.lit(10.0) + F.col("id") % 5).alias("price"))
     held = spark.createDataFrame([("S1", 50, 9.0)], "symbol string, shares bigint, entry_price double")
     same(strategy.book_orders(orders, held, 1e6), strategy.book_orders(orders, held, 1e6, hot_rows=50), ["seq"])
+
+
+def test_order_booking_carries_no_derived_columns(spark, monkeypatch):
+    """Shuffles and stored rows hold what the orders need; sizes, action, turnover and gains come after them, and the rows are counted once."""
+    carried, counted = [], []
+    cut = blocks.with_chunks
+    monkeypatch.setattr(blocks, "with_chunks", lambda df, *a, **kw: carried.append(df.columns) or counted.append(kw.get("rows")) or cut(df, *a, **kw))
+    orders = spark.range(300).select(
+        F.concat(F.lit("s"), F.col("id") % 5).alias("symbol"), F.col("id").alias("seq"), ((F.col("id") % 4 + 1) / 100.0).alias("target_weight"), (F.col("id") % 9 + 1.0).alias("price"))
+    held = spark.createDataFrame([("s1", 10, 2.0)], "symbol string, shares bigint, entry_price double")
+    out = strategy.book_orders(orders, held, 1e6, hot_rows=50)
+    assert not {"action", "turnover", "unrealized_pnl", "dollars", "sized_weight", "shares"} & set(carried[-1]) and counted[-1]
+    assert out.columns == ["symbol", "seq", "target_weight", "price", "dollars", "sized_weight", "target_shares", "action", "traded", "turnover", "unrealized_pnl", "cash"]

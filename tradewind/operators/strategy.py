@@ -127,20 +127,23 @@ def book_orders(signals: DataFrame, positions: DataFrame, capital: float, order:
     The holding before an order is the target of the previous order of that
     symbol, else the position held at the start; cash is a running sum.
     """
-    sized = size_orders(signals, capital).withColumn("target_shares", F.col("shares"))
-    filled = sized.where(F.col("shares") != 0)
+    sized = size_orders(signals, capital).where(F.col("shares") != 0).withColumn("target_shares", F.col("shares"))
+    # what follows from other columns is computed again at the end instead of being carried through the shuffles
+    filled = sized.drop("shares", "dollars", "sized_weight")
     held = positions.select("symbol", F.col("shares").alias("_held"), F.col("entry_price").alias("_entry"))
     joined = filled.join(held, "symbol", "left")
     joined = over_blocks(joined, ["symbol"], order, lambda w: {"_before": F.lag("target_shares", 1).over(w)}, back=1, **kw)
     before = F.coalesce("_before", "_held", F.lit(0))
     traded = F.col("target_shares") - before
-    booked = joined.withColumns({
+    spent = running(joined.where(traded != 0), [], list(order), {"_spent": ("sum", F.abs(traded * F.col("price")))}, **kw)
+    booked = size_orders(spent, capital).withColumns({
         "action": F.when(F.col("_before").isNull() & F.col("_held").isNull(), "new_position").otherwise("adjust_position"),
         "traded": traded, "turnover": F.abs(traded * F.col("price")),
         "unrealized_pnl": F.when(F.col("_entry").isNull(), 0.0).otherwise((F.col("price") - F.col("_entry")) * F.col("target_shares")),
-    }).where(F.col("traded") != 0)
-    with_cash = running(booked, [], list(order), {"_spent": ("sum", F.col("turnover"))}, **kw)
-    return with_cash.withColumn("cash", F.lit(capital) - F.col("_spent")).drop("_spent", "_before", "_held", "_entry", "shares")
+        "cash": F.lit(capital) - F.col("_spent"),
+    })
+    own = [c for c in signals.columns if c != "shares"]
+    return booked.select(*dict.fromkeys([*own, "dollars", "sized_weight", "target_shares", "action", "traded", "turnover", "unrealized_pnl", "cash"]))
 
 
 def mark_to_market(positions: DataFrame, ticks: DataFrame, value: float, order: Sequence[str]) -> DataFrame:
