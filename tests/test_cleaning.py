@@ -207,3 +207,16 @@ def test_forest_of_a_short_series_stays_in_its_task(spark, monkeypatch):
     found = clean.series_anomalies(df, "price")
     assert found.where("method = 'isolation_forest' and id = 90").first()["anomalies"] >= 1
     assert "applyInArrow" not in str(found.where("method = 'statistical'")._jdf.queryExecution().optimizedPlan()) and found.where("method = 'statistical'").count() == 1
+
+
+def test_cleaning_history_counts_each_state_once(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    counts, count = [], DataFrame.count
+    df = spark.createDataFrame([(float(i % 7), "a" if i % 3 else None) for i in range(40)], "x double, k string")
+    monkeypatch.setattr(DataFrame, "count", lambda self: counts.append(1) or count(self))
+    steps: list = []
+    clean.clean(df, history=steps)
+    assert len(counts) <= 8
+    monkeypatch.undo()
+    assert [(r["rows_in"], r["rows_out"]) for s in steps for r in s.collect()] == [(40, 40), (40, 14), *[(14, 14)] * 5]
