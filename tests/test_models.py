@@ -55,3 +55,10 @@ def test_cross_validation(spark):
     scores = ml.cross_validate(planted(spark, 400), ml.linear_regressor(["a", "b"], "y"), "y", ["id"]).collect()
     assert sorted(r["fold"] for r in scores) == list(range(5)) and all(r["score"] > 0.9 for r in scores)
     assert abs(scores[0]["mean_score"] - sum(r["score"] for r in scores) / 5) < 1e-12 and scores[0]["std_score"] < 0.1
+
+
+def test_training_parts_follow_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = planted(spark).repartition(3 * cores)
+    assert ml.packed(rows, 1500).rdd.getNumPartitions() == cores and ml.packed(rows, 1500, 750 // cores).rdd.getNumPartitions() == min(3 * cores, -(-1500 // (750 // cores)))
+    assert ml.packed(rows, 1500).count() == 1500

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Rows of a part of the training rows at most, where cores alone would make larger ones.
+PART_ROWS = 4_000_000
 
 
 def _steps(features: Sequence[str], estimator) -> Pipeline:
@@ -36,6 +39,15 @@ def split_rows(df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int =
     return rows.where(u >= test), rows.where(u < test)
 
 
+def packed(rows: DataFrame, n: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """The same ``n`` rows in as many parts as there are cores, more only for parts above ``part_rows``.
+
+    Trees are grown in hundreds of jobs that each send a result per part to the
+    driver, so their number follows the cluster and not the files of the input.
+    """
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / part_rows)))
+
+
 def forest_regressor(features: Sequence[str], label: str, trees: int = 100, depth: int = 10) -> Pipeline:
     return _steps(features, RandomForestRegressor(
         featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=SEED, subsamplingRate=1.0,
@@ -55,13 +67,14 @@ def train_regression(df: DataFrame, pipeline: Pipeline, label: str, key: Sequenc
     """Fitted model and one row of train and test scores."""
     train, test = split_rows(df, key, label=label)
     train, test = train.persist(), test.persist()
-    model = pipeline.fit(train)
+    sizes = train.count(), test.count()
+    model = pipeline.fit(packed(train, sizes[0]))
 
     def score(rows, metric):
         return RegressionEvaluator(labelCol=label, metricName=metric).evaluate(model.transform(rows))
 
     report = df.sparkSession.createDataFrame(
-        [(type(model.stages[-1]).__name__, train.count() + test.count(), score(train, "r2"), score(test, "r2"), score(test, "mse"))],
+        [(type(model.stages[-1]).__name__, sum(sizes), score(train, "r2"), score(test, "r2"), score(test, "mse"))],
         "model string, samples bigint, train_r2 double, test_r2 double, test_mse double")
     for rows in (train, test):
         rows.unpersist()
@@ -72,13 +85,14 @@ def train_classifier(df: DataFrame, pipeline: Pipeline, label: str, key: Sequenc
     """Fitted model with accuracy and AUC (0.5 when the test rows hold one class)."""
     train, test = split_rows(df, key, label=label)
     train, test = train.persist(), test.persist()
-    model = pipeline.fit(train)
+    sizes = train.count(), test.count()
+    model = pipeline.fit(packed(train, sizes[0]))
     predicted = model.transform(test).persist()
     facts = predicted.agg(
         F.count_distinct(label).alias("classes"), F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")).first()
     auc = BinaryClassificationEvaluator(labelCol=label).evaluate(predicted) if facts["classes"] == 2 else 0.5
     report = df.sparkSession.createDataFrame(
-        [(type(model.stages[-1]).__name__, train.count() + test.count(), facts["accuracy"], auc)],
+        [(type(model.stages[-1]).__name__, sum(sizes), facts["accuracy"], auc)],
         "model string, samples bigint, accuracy double, auc double")
     for rows in (train, test, predicted):
         rows.unpersist()
