@@ -10,10 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField
 
-from tradewind.plans.blocks import attach, group_stats, is_hot, over_blocks, running, with_position
+from tradewind.plans.blocks import attach, group_stats, is_hot, over_arrays, over_blocks, running, with_position
 from tradewind.plans.topk import top_k
 
 KEYS, ORDER = ("series_id",), ("ts", "id")
@@ -57,17 +60,75 @@ def rolling_features(
     only_full: bool = False, keys=KEYS, order=ORDER, **kw,
 ) -> DataFrame:
     """Rolling statistics by name, either from the first row on or only over full frames."""
+    return frame_statistics(df, {f"{c}_{f}_{k}": (c, f, k, only_full) for c in columns for k in windows for f in functions}, keys, order, **kw)
 
-    def build(w):
-        out = {}
-        for c in columns:
-            for k in windows:
-                for f in functions:
-                    agg = ROLLING[f](F.col(c))
-                    out[f"{c}_{f}_{k}"] = full(agg, F.col(c), w, k) if only_full else agg.over(_frame(w, k))
-        return out
 
-    return over_blocks(df, keys, order, build, back=max(windows) - 1, **kw)
+#: Statistics and column types that :func:`frame_statistics` takes as arrays.
+ON_ARRAYS = ("mean", "std", "min", "max", "median")
+PLAIN = (DoubleType(), LongType(), IntegerType())
+
+
+def frame_statistics(df: DataFrame, wanted: Mapping[str, tuple[str, str, int, bool]], keys=KEYS, order=ORDER, **kw) -> DataFrame:
+    """Statistics of the last k rows, as a map of names to (column, statistic of ``ROLLING``, k, only over full frames).
+
+    Window functions visit each frame anew for each row, and a median builds a
+    map of its frame; so frames of plain numbers are taken as arrays, batch by
+    batch. Other statistics and types use window functions.
+    """
+    plain = {o: x for o, x in wanted.items() if x[1] in ON_ARRAYS and df.schema[x[0]].dataType in PLAIN}
+    rest = {o: x for o, x in wanted.items() if o not in plain}
+    kw = _with_hot(df, keys, kw)
+    if rest:
+        def build(w):
+            return {o: full(ROLLING[f](F.col(c)), F.col(c), w, k) if only_full else ROLLING[f](F.col(c)).over(_frame(w, k))
+                    for o, (c, f, k, only_full) in rest.items()}
+
+        df = over_blocks(df, keys, order, build, back=max(k for _, _, k, _ in rest.values()) - 1, **kw)
+    if plain:
+        columns = sorted({c for c, *_ in plain.values()})
+        kinds = {o: df.schema[c].dataType if f in ("min", "max") else DoubleType() for o, (c, f, _, _) in plain.items()}
+        fields, types = [StructField(o, t) for o, t in kinds.items()], {o: _ARROW[type(t)] for o, t in kinds.items()}
+        df = over_arrays(df, keys, order, columns, fields, lambda seen, behind: _frames(seen, behind, plain, types), max(k for _, _, k, _ in plain.values()) - 1, **kw)
+    return df.select(*[c for c in df.columns if c not in wanted], *wanted)
+
+
+_ARROW = {DoubleType: pa.float64(), LongType: pa.int64(), IntegerType: pa.int32()}
+
+
+def _frames(seen: Mapping[str, tuple[np.ndarray, np.ndarray]], behind: np.ndarray, wanted, types) -> list[pa.Array]:
+    """The wanted statistics of a batch; all of one column and frame share its values."""
+    found = {}
+    for c, k in sorted({(c, k) for c, _, k, _ in wanted.values()}):
+        values, known = (np.lib.stride_tricks.sliding_window_view(x, k)[-len(behind) :] for x in seen[c])
+        held = known & (np.arange(k - 1, -1, -1) <= behind[:, None])
+        n = held.sum(axis=1)
+        for f in {f for x, f, y, _ in wanted.values() if (x, y) == (c, k)}:
+            found[c, f, k] = (*_statistic(f, values, held, n), n == k)
+    out = []
+    for o, (c, f, k, only_full) in wanted.items():
+        value, ok, whole = found[c, f, k]
+        out.append(pa.array(value, types[o], mask=~(ok & whole if only_full else ok), from_pandas=False))
+    return out
+
+
+def _statistic(name: str, values: np.ndarray, held: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, known) per frame, a row of ``values`` each. NaN is a value and the greatest one, as in Spark."""
+    with np.errstate(all="ignore"):
+        if name in ("min", "max"):
+            if values.dtype.kind == "i":
+                edge = np.iinfo(values.dtype)
+                return (np.where(held, values, edge.max).min(axis=1) if name == "min" else np.where(held, values, edge.min).max(axis=1)), n > 0
+            return (np.fmin.reduce(np.where(held, values, np.nan), axis=1) if name == "min" else np.where(held, values, -np.inf).max(axis=1)), n > 0
+        values = values.astype(float, copy=False)
+        if name == "median":
+            ranked = np.sort(np.where(held, values, np.nan), axis=1)  # NaN comes last
+            low, high = (np.take_along_axis(ranked, np.maximum(at, 0)[:, None], axis=1)[:, 0] for at in ((n - 1) // 2, np.minimum(n // 2, ranked.shape[1] - 1)))
+            return np.where(low == high, low, low * 0.5 + high * 0.5), n > 0
+        mean = np.where(held, values, 0.0).sum(axis=1) / n
+        if name == "mean":
+            return mean, n > 0
+        away = np.where(held, values - mean[:, None], 0.0)
+        return np.sqrt((away * away).sum(axis=1) / (n - 1)), n > 1
 
 
 def padded_change(df: DataFrame, column: str, periods=(1,), prefix: str | None = None, keys=KEYS, order=ORDER, **kw) -> DataFrame:
@@ -86,10 +147,17 @@ def padded_change(df: DataFrame, column: str, periods=(1,), prefix: str | None =
     return over_blocks(filled, keys, order, build, back=max(periods), **kw).drop("_fill")
 
 
-def z_scores(df: DataFrame, column: str, keys=KEYS) -> DataFrame:
-    """(x - mean) / (sample std + 1e-8) per group, through partial aggregates."""
+def z_scores(df: DataFrame, column: str, keys=KEYS, hot: bool | None = None) -> DataFrame:
+    """(x - mean) / (sample std + 1e-8) per group, through partial aggregates.
+
+    Callers that window the same groups anyway and know that none is hot pass
+    ``hot=False``: the rows stay where they are, and no join is needed.
+    """
     stats = {"_m": F.avg(column), "_s": F.stddev_samp(column)}
     z = (F.col(column) - F.col("_m")) / (F.col("_s") + 1e-8)
+    if hot is False:
+        group = Window.partitionBy(*keys)
+        return df.withColumns({o: c.over(group) for o, c in stats.items()}).withColumn(f"{column}_zscore", z).drop(*stats)
     return group_stats(df, keys, stats).withColumn(f"{column}_zscore", z).drop("_m", "_s")
 
 
@@ -194,16 +262,17 @@ def rsi_stages(columns: Sequence[str], k: int = 14) -> tuple[Callable[[WindowSpe
         return out
 
     def build(w):
-        out = {}
-        for c in columns:
-            gain, loss = (full(F.avg(x), F.col(x), w, k) for x in (f"_gain_{c}", f"_loss_{c}"))
-            out[f"{c}_rsi"] = F.when((loss == 0) & (gain > 0), 100.0).otherwise(
-                F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + F.try_divide(gain, loss)))
-        return out
+        return {f"{c}_rsi": rsi_of(*[full(F.avg(x), F.col(x), w, k) for x in (f"_gain_{c}", f"_loss_{c}")]) for c in columns}
 
     return moves, build
 
 
+def rsi_of(gain: Column, loss: Column) -> Column:
+    """The index from the mean gain and the mean loss."""
+    return F.when((loss == 0) & (gain > 0), 100.0).otherwise(
+        F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + F.try_divide(gain, loss)))
+
+
 def rsi(df: DataFrame, column: str, k: int = 14, keys=KEYS, order=ORDER, **kw) -> DataFrame:
     """Relative strength from simple means of gains and losses; the first difference counts as 0."""
     moves, build = rsi_stages([column], k)
@@ -213,7 +282,11 @@ def rsi(df: DataFrame, column: str, k: int = 14, keys=KEYS, order=ORDER, **kw) -
 def bollinger_columns(column: str, w: WindowSpec, names: Sequence[str], k: int = 20) -> dict[str, Column]:
     """Upper and lower band, their distance, and with a fourth name the value's place between them."""
     c = F.col(column)
-    mean, dev = full(F.avg(c), c, w, k), full(F.stddev_samp(c), c, w, k)
+    return bands_of(c, full(F.avg(c), c, w, k), full(F.stddev_samp(c), c, w, k), names)
+
+
+def bands_of(c: Column, mean: Column, dev: Column, names: Sequence[str]) -> dict[str, Column]:
+    """The same from mean and deviation."""
     upper, lower = mean + dev * 2, mean - dev * 2
     return dict(zip(names, (upper, lower, upper - lower, F.try_divide(c - lower, upper - lower))))
 
