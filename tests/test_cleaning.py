@@ -1,5 +1,8 @@
+import datetime as dt
+
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helpers import rows
@@ -220,3 +223,75 @@ def test_cleaning_history_counts_each_state_once(spark, monkeypatch):
     assert len(counts) <= 8
     monkeypatch.undo()
     assert [(r["rows_in"], r["rows_out"]) for s in steps for r in s.collect()] == [(40, 40), (40, 14), *[(14, 14)] * 5]
+
+
+def test_series_anomalies_query_has_both_methods(spark, tmp_path):
+    """One planted value a series; the query gives the rows of |z| > 3 and those of each series' forest."""
+    from __spark_entry__ import queries
+
+    rng = np.random.default_rng(6)
+    events = [(211 * 11 * s + 1 + 11 * i, dt.datetime(2024, 1, 1, 0, i), s, "view", 900.0 if i == 7 else float(x), "") for s in (1, 2) for i, x in enumerate(rng.normal(50, 2, 60))]
+    events += [(5_000_001 + 11 * i, dt.datetime(2024, 1, 1, 0, i), 3, "view", 9.0 * i, "") for i in range(10)]  # too short for a forest
+    spark.createDataFrame(events, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = queries()["series_anomalies"](spark, str(tmp_path)).collect()
+    assert {r["method"] for r in found} == {"statistical", "isolation_forest"} and {r["series_id"] for r in found} == {1, 2}
+    for method in ("statistical", "isolation_forest"):
+        for s in (1, 2):
+            own = [r for r in found if (r["method"], r["series_id"]) == (method, s)]
+            assert max(r["price"] for r in own) > 800 and all(r["anomalies"] == len(own) for r in own)
+            assert len(own) == 1 if method == "statistical" else 2 <= len(own) <= 7
+    halves = [rows(queries()[f"series_{h}_anomalies"](spark, str(tmp_path)), "series_id", "method", "ts", "anomalies") for h in ("statistical", "forest")]
+    assert sorted(halves[0] + halves[1], key=str) == sorted([(r["series_id"], r["method"], r["ts"], r["anomalies"]) for r in found], key=str)
+
+
+def test_trees_of_a_series_draw_from_all_its_rows(spark, monkeypatch):
+    """The first 4,096 rows by hash are equal and the trees must reach the others; chunks of a series draw the same rows as the whole."""
+    from tradewind.operators import isolation
+
+    ids = spark.range(6_000).select(F.lit("a").alias("series_id"), F.col("id").cast("int").alias("ts"), "id")
+    first = F.row_number().over(Window.partitionBy("series_id").orderBy(F.xxhash64(F.lit(42), "ts", "id"))) <= 4_096
+    df = ids.withColumn("price", F.when(first, 5.0).otherwise(5.0 + F.col("id") % 400)).repartition(4)
+
+    def found(**kw):
+        some = df.withColumn("price", F.col("id") % 997 * 1.0) if kw else df
+        return rows(isolation.series_outliers(some, "price", ["series_id"], ["ts", "id"], **kw).withColumn("score", F.round("score", 9)))
+
+    whole, few = found(), found(trees=20, sample=16)  # 320 rows at most are drawn, of 6,000
+    assert len({r[3] for r in whole}) > 50 and 5.0 not in {r[3] for r in whole}
+    monkeypatch.setattr(isolation, "CHUNK", 500)
+    assert found() == whole and found(trees=20, sample=16) == few and few
+
+
+def test_rows_drawn_stand_for_any_of_the_series():
+    """Few rows in random order are enough for trees that draw from many: each tree has different rows, all rows are alike."""
+    from tradewind.operators import isolation
+
+    rng, seen, n = np.random.default_rng(2), np.zeros(40), 40
+    for seed in range(400):
+        order = rng.permutation(n)
+        drawn = [d for d in _drawn(isolation, order[:12].astype(float), 3, 4, seed, n)]
+        assert all(len(set(d)) == 4 for d in drawn)
+        for d in drawn:
+            seen[np.array(d, int)] += 1
+    assert abs(seen / 400 - 3 * 4 / n).max() < 0.12  # 0.3 a row
+
+
+def _drawn(isolation, pool, trees, size, seed, n):
+    """The values that each tree is grown from."""
+    took, pieces = [], isolation._pieces
+    try:
+        isolation._pieces = lambda values, *a: took.append(values) or pieces(values, *a)
+        list(isolation._grown(pool, trees, size, seed, n))
+    finally:
+        isolation._pieces = pieces
+    return took
+
+
+def test_nan_and_infinite_values_of_a_series_are_no_anomalies(spark):
+    """NaN is left out as NULL is; a series of infinite range has no part and does not end the others."""
+    data = [(k, i, i, float(i % 5)) for k in ("nan", "inf", "plain") for i in range(40)] + [(k, 40, 40, 90.0) for k in ("nan", "inf", "plain")]
+    data += [("nan", 41, 41, float("nan")), ("inf", 41, 41, float("inf"))]
+    found = clean.series_anomalies(spark.createDataFrame(data, "series_id string, ts int, id int, price double"), "price").collect()
+    assert {(r["series_id"], r["id"]) for r in found if r["method"] == "statistical"} == {("nan", 40), ("plain", 40)}
+    assert {("nan", 40), ("plain", 40)} <= {(r["series_id"], r["id"]) for r in found if r["method"] == "isolation_forest"}
+    assert not any(r["series_id"] == "inf" or r["id"] == 41 for r in found)
